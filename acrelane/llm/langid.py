@@ -14,7 +14,7 @@ from acrelane.llm.common import col, map_texts
 #: A dictionary is made of at most SLOTS pieces of at most PIECE_CHARS characters of each language: the documented bound of
 #: the sample that is learned from.
 SLOTS, PIECE_CHARS = 64, 1024
-LEVEL = 3
+LEVEL = 7
 #: Texts are compressed in blocks of so many bytes, each from the dictionary alone, so that a long text does not become its own.
 BLOCK = 2048
 #: Margin (share by which the best size is below the second best) under which a prediction is rejected.
@@ -24,7 +24,7 @@ FULL_MARGIN = 0.25
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = SLOTS, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a bounded sample of labelled rows.
+    """Raw-content dictionaries by language, from a bounded sample of labelled rows; the most frequent language first.
 
     Rows are dealt to slots by a hash of the id and one row of each (language, slot) is drawn by another hash: at most slots
     pieces of piece_chars characters a language come to the driver.  Rows with null text, id or language, and texts without a
@@ -32,14 +32,15 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     rows = labelled.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).filter("id is not null and lang is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("slot", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slots))).withColumn("draw", F.xxhash64(F.lit(2), "id"))
-    drawn = rows.groupBy("lang", "slot").agg(F.min("draw").alias("draw"))
+    drawn = rows.groupBy("lang", "slot").agg(F.min("draw").alias("draw"), F.count("*").alias("n"))
     if drawn.select("lang").distinct().count() > 512:
         raise ValueError("over 512 languages: the labels are not a language column")
-    pieces = rows.join(F.broadcast(drawn), ["lang", "slot", "draw"]).groupBy("lang", "slot").agg(F.min(F.substring("text", 1, piece_chars)).alias("piece"))
+    pieces = rows.join(F.broadcast(drawn), ["lang", "slot", "draw"]).groupBy("lang", "slot").agg(F.min(F.substring("text", 1, piece_chars)).alias("piece"), F.min("n").alias("n"))
     by: dict[str, list] = {}
-    for lang, slot, piece in pieces.collect():  # bounded: languages * slots pieces
-        by.setdefault(lang, []).append((slot, piece))
-    return {lang: "\n".join(p for _, p in sorted(v)).lower().encode() for lang, v in sorted(by.items())}
+    for lang, slot, piece, n in pieces.collect():  # bounded: languages * slots pieces
+        by.setdefault(lang, []).append((slot, piece, n))
+    order = sorted(by, key=lambda lang: (-sum(n for *_, n in by[lang]), lang))
+    return {lang: "\n".join(p for _, p, _ in sorted(by[lang])).lower().encode() for lang in order}
 
 
 class Classifier:
@@ -51,15 +52,14 @@ class Classifier:
             self.models.append((lang, zstandard.ZstdCompressor(dict_data=raw, level=level, write_content_size=False, write_checksum=False, write_dict_id=False).compress))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, margin); ("und", 0.0) for null or a text without a letter; equal sizes: the first by name."""
+        """(language, margin); ("und", 0.0) for null or a text without a letter; equal sizes: the language that is more frequent."""
         if not text or not any(map(str.isalpha, text)) or not self.models:
             return "und", 0.0
         data, step = text.lower().encode(), self.block
         blocks = [data[i : i + step] for i in range(0, len(data), step)]
-        sizes = sorted((sum(len(pack(b)) for b in blocks), lang) for lang, pack in self.models)
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+        sizes = sorted((sum(len(pack(b)) for b in blocks), i) for i, (_, pack) in enumerate(self.models))
+        lang = self.models[sizes[0][1]][0]
+        return lang, 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
 @lru_cache(maxsize=2)
@@ -73,7 +73,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     rejected: no letter, or a margin below least_margin.  A null text or one without a letter is 'und' with score 0.  Repeated
     rows give repeated rows; an empty table gives none; columns beside id and keep are not carried.
     """
-    model = tuple(sorted(dictionaries.items()))
+    model = tuple(dictionaries.items())
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded: 64 KB a language
 
     def fn(texts: list) -> dict:

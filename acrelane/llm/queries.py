@@ -36,11 +36,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", limit=1024)
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_packing": op3_token_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
