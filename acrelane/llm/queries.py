@@ -42,8 +42,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2)
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.edit_embedding import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_edit_embedding": op2_edit_embedding,
     "op3_token_packing": op3_token_packing,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
