@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acrelane.llm import chat as _chat
 from acrelane.llm.common import table
 
 
@@ -54,10 +55,24 @@ def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.chat import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_edit_embedding": op2_edit_embedding,
     "op3_token_packing": op3_token_packing,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_perspective_rotation": op5_perspective_rotation,
+    "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
@@ -65,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_perspective_rotation": _chat.SQL}
