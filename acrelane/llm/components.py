@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,43 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+#: In a bucket of up to so many nodes all pairs are compared.
+PAIR_BUCKET = 16
+
+
+def bucket_links(rows: DataFrame, check: Callable[[DataFrame], DataFrame], pair_bucket: int = PAIR_BUCKET, rounds: int = 32) -> DataFrame:
+    """Edges (a, b) that connect what the true pairs within buckets connect.  rows(key, node) are distinct; check keeps the true pairs
+    of a frame (a, b).
+
+    Small buckets compare all pairs.  In a large bucket one member a round leads and is compared with the others; the next leader comes
+    from outside the first one's component, and a bucket whose members are in one component is done.  So a bucket of n copies costs n
+    comparisons, not n squared.  What is open after the last round is compared in full, so nothing is lost.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(rows.join(sizes, "key"), "buckets")
+
+    def pairs(some: DataFrame) -> DataFrame:
+        x, y = some.select("key", F.col("node").alias("a")), some.select("key", F.col("node").alias("b"))
+        return x.join(y, "key").filter("a < b").select("a", "b").distinct()
+
+    edges = check(pairs(met.filter(F.col("n") <= pair_bucket)))
+    still = met.filter(F.col("n") > pair_bucket).select("key", "node")
+    if still.isEmpty():
+        return edges
+    edges, still = written(edges, "links"), still.withColumn("component", F.col("node"))
+    for _ in range(rounds):
+        leads = still.groupBy("key").agg(F.max(F.struct("component", "node")).alias("x")).select("key", F.col("x.node").alias("lead"))
+        others = written(still.join(leads, "key").filter("node <> lead").select("key", "node", "lead"), "leads")
+        near = check(others.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+        edges = written(edges.unionAll(near), "links")
+        names = written(connected_components(edges), "names").withColumnRenamed("node", "n")
+        state = others.join(names, others["node"] == names["n"], "left").select("key", "node", "lead", F.coalesce("component", "node").alias("component"))
+        state = written(state, "state")
+        named_leads = state.select("key", "lead").distinct().join(names, F.col("lead") == F.col("n"), "left").select("key", F.coalesce("component", "lead").alias("lc"))
+        split = state.select("key", "component").unionAll(named_leads.select("key", F.col("lc").alias("component"))).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        still = written(state.join(split, "key", "left_semi").select("key", "node", "component"), "open")
+        if still.isEmpty():
+            return edges
+    return edges.unionAll(check(pairs(still)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrelane.llm.common import arrow_map, col, map_texts, slices, written
-from acrelane.llm.components import connected_components
+from acrelane.llm.components import bucket_links, connected_components
 
 #: Samples of a fingerprint; each is a hexadecimal digit.
 SAMPLES = 128
@@ -201,36 +201,17 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_digits: int = BAND_DIGITS, least: float = LEAST_LIKENESS) -> DataFrame:
     """(id, fingerprint, component_id): texts whose fingerprints share a band and agree in at least the given share of digits.
 
-    Bands sample digits of the fingerprint at fixed random places.  Equal fingerprints are one node.  In a band's bucket every
-    fingerprint is checked against the bucket's least one, and those that are not like it go on in a bucket of their own at the next
-    turn, so no bucket is turned into pairs; a bucket that stays after several turns is finished pairwise in slices.
+    Bands sample digits of the fingerprint at fixed random places.  Equal fingerprints are one node, and colliding ones are verified
+    on all digits; see bucket_links for large buckets.  component_id is the least id that links reach.  A null text is empty;
+    repeated rows give repeated rows; an empty table gives none; other columns are not carried.
     """
     prints = written(with_fingerprint(df, [("id", col(id_col))], col(text_col), "print"), "prints")
     nodes = prints.groupBy("print").agg(F.min("id").alias("least_id"))
     rng = random.Random(SEED + 1)
     places = [sorted(rng.sample(range(SAMPLES), band_digits)) for _ in range(bands)]
     keys = F.array(*[F.concat(F.lit(f"{b}:"), *[F.substring("print", p + 1, 1) for p in ps]) for b, ps in enumerate(places)])
-    rows = nodes.select("print", F.explode(keys).alias("key"))
-    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
-    edges = None
-    open_rows = written(rows, "bands")
-    for _ in range(64):
-        leads = open_rows.groupBy("key").agg(F.min("print").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-        met = open_rows.join(leads.select("key", "lead"), "key").filter("print <> lead").withColumn("near", likeness(F.col("print"), F.col("lead")) >= least)
-        met = written(met, "leads")
-        found = met.filter("near").select(F.col("print").alias("a"), F.col("lead").alias("b"))
-        edges = found if edges is None else edges.unionAll(found)
-        open_rows = met.select("key", "print")  # every text but the leader meets the next leader too
-        if met.isEmpty():
-            break
-        known = connected_components(edges.distinct())
-        # a bucket whose members are all in one component needs no further comparison
-        state = open_rows.join(known.withColumnRenamed("node", "print"), "print", "left").withColumn("c", F.coalesce("component", "print"))
-        done = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        open_rows = written(open_rows.join(done.select("key"), "key", "left_semi"), "bands")
-    else:
-        slices_of = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.print") < F.col("y.print")))
-        edges = edges.unionAll(slices_of.filter(likeness(F.col("x.print"), F.col("y.print")) >= least).select(F.col("x.print").alias("a"), F.col("y.print").alias("b")))
+    rows = nodes.select(F.col("print").alias("node"), F.explode(keys).alias("key"))
+    edges = bucket_links(rows, lambda pairs: pairs.filter(likeness(F.col("a"), F.col("b")) >= least))
     parts = connected_components(edges.distinct())
     joined = nodes.join(parts.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     named = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -49,6 +49,12 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"))
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.paragraph_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from acrelane.llm.edit_embedding import edited_fingerprints
 
@@ -68,6 +74,7 @@ def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_edit_embedding": op2_edit_embedding,
     "op3_token_packing": op3_token_packing,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
