@@ -73,7 +73,7 @@ def text_fold(texts: Column) -> Column:
         low_held, low = F.lower(held), F.lower(x)
         return F.when(x.isNull() | (x == ""), held).when(held.isNull(), x).when(F.contains(low_held, low), held).when(F.contains(low, low_held), x).otherwise(F.concat(held, F.lit(rule), x))
 
-    return F.aggregate(F.transform(texts, F.trim), F.lit(None).cast("string"), step)
+    return F.aggregate(F.transform(texts, lambda x: F.trim(x)), F.lit(None).cast("string"), step)
 
 
 def longest(texts: Column) -> Column:

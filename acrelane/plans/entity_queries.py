@@ -1 +1,165 @@
-"""Queries."""
+"""Queries on duplicate companies and facilities."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from acrelane.functions.text import text_fold
+from acrelane.operators import entities
+from acrelane.plans.facility_queries import CLEAN_STREET, COMPANY_KEY
+from acrelane.plans.registry import query
+
+
+def sql_text(c):
+    return f"nullif(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+
+
+def sql_fold(texts):
+    """Fold of a DuckDB list of texts."""
+    rule = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    kept = f"list_filter(list_transform({texts}, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '')"
+    step = f"CASE WHEN contains(lower(a), lower(b)) THEN a WHEN contains(lower(b), lower(a)) THEN b ELSE a || {rule} || b END"
+    return f"CASE WHEN len({kept}) > 0 THEN list_reduce({kept}, lambda a, b: {step}) END"
+
+
+@query("text_fold", f"SELECT c_nationkey AS id, {sql_fold('list(t ORDER BY c_custkey)')} AS folded FROM (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN ' note ' || CAST(c_custkey % 6 AS VARCHAR) ELSE 'Note ' || CAST(c_custkey % 30 AS VARCHAR) END AS t FROM {{customer}} c) x GROUP BY c_nationkey")
+def text_fold_query(t):
+    k = F.col("c_custkey")
+    text = F.when(k % 4 == 0, None).when(k % 4 == 1, F.concat(F.lit(" note "), (k % 6).cast("string"))).otherwise(F.concat(F.lit("Note "), (k % 30).cast("string")))
+    rows = t("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), text.alias("t")))).alias("xs"))
+    return rows.select(F.col("c_nationkey").alias("id"), text_fold(F.transform("xs", lambda x: x["t"])).alias("folded"))
+
+
+def _filled(c, w):
+    return f"CASE WHEN trim({c}) <> '' THEN {w} ELSE 0 END"
+
+
+_COMPANIES = f"(SELECT *, {COMPANY_KEY} AS key, {_filled('name', 3)} + {_filled('website', 2)} + {_filled('phone', 2)} + {_filled('notes', 2)} AS score FROM {{company_dup}} c)"
+_ORDER = "ORDER BY score DESC, company_id"
+_PROPOSED = f"(SELECT key, first(company_id {_ORDER}) AS base_id, list(company_id ORDER BY company_id) AS member_ids, first(name {_ORDER}) AS name, first({sql_text('website')} {_ORDER}) FILTER (WHERE {sql_text('website')} IS NOT NULL) AS website, first({sql_text('phone')} {_ORDER}) FILTER (WHERE {sql_text('phone')} IS NOT NULL) AS phone, {sql_fold(f'list(notes {_ORDER})')} AS notes FROM {_COMPANIES} c WHERE key <> '' GROUP BY key HAVING count(*) > 1)"
+
+
+@query("company_merge_proposal", f"SELECT key, base_id, array_to_string(member_ids, ',') AS members, name, website, phone, notes FROM {_PROPOSED} p")
+def company_merge_proposal(t):
+    return entities.propose_companies(t("company_dup")).select("key", "base_id", F.array_join("member_ids", ",").alias("members"), "name", "website", "phone", "notes")
+
+
+_TRIVIAL = " AND ".join(f"count(DISTINCT coalesce({sql_text(c)}, '')) = 1 AND count({sql_text(c)}) > 0" for c in ("website", "phone", "notes"))
+
+
+@query("trivial_merge_flag", f"SELECT key, ({_TRIVIAL}) AND count(DISTINCT name) > 1 AS trivial FROM (SELECT company_id, key, name, coalesce(website, 'x' || key) AS website, 'p' AS phone, coalesce(notes, CASE WHEN company_id % 2 = 0 THEN 'Note 1' ELSE 'Note 2' END) AS notes FROM {_COMPANIES} c) d WHERE key <> '' GROUP BY key HAVING count(*) > 1")
+def trivial_merge_flag(t):
+    from acrelane.functions.text import norm_company
+
+    c = t("company_dup").withColumns({"website": F.coalesce("website", F.concat(F.lit("x"), norm_company(F.col("name")))), "phone": F.lit("p"), "notes": F.coalesce("notes", F.when(F.col("company_id") % 2 == 0, "Note 1").otherwise("Note 2"))})
+    return entities.trivial_companies(c)
+
+
+_PLACE = "CAST(company_id AS VARCHAR) || '|' || lower(coalesce(" + sql_text("city") + ", '')) || '|' || lower(coalesce(" + sql_text("state") + ", ''))"
+_GROUPS = f"""(WITH a AS (SELECT *, lower({CLEAN_STREET}) AS street, {_PLACE} AS place FROM {{fac_dup}} f WHERE status = 'ACTIVE'),
+ b AS (SELECT *, CASE WHEN street <> '' THEN 'a|' || place || '|' || street END AS ka, 'n|' || place || '|' || lower(coalesce({sql_text('name')}, '')) AS kn FROM a),
+ c AS (SELECT *, ka IS NOT NULL AND count(*) OVER (PARTITION BY ka) > 1 AS ina FROM b),
+ d AS (SELECT *, count(*) OVER (PARTITION BY kn) > 1 AND NOT bool_or(ina) OVER (PARTITION BY kn) AS inn FROM c)
+ SELECT *, CASE WHEN ina THEN ka ELSE kn END AS group_key, CASE WHEN ina THEN 'address' ELSE 'name' END AS kind FROM d WHERE ina OR inn)"""
+
+
+@query("dup_groups", f"SELECT facility_id, group_key, kind FROM {_GROUPS} g")
+def dup_groups(t):
+    return entities.duplicate_groups(t("fac_dup")).select("facility_id", "group_key", "kind")
+
+
+@query("trivial_facility_flag", f"SELECT group_key, {' AND '.join(f'count(DISTINCT coalesce({sql_text(c)}, {chr(39)}{chr(39)})) = 1' for c in ('city', 'state'))} AND count(DISTINCT lower({sql_text('name')})) <= 1 AND count(DISTINCT lower({CLEAN_STREET})) <= 1 AND (count(DISTINCT name) > 1 OR count(DISTINCT coalesce(address, '')) > 1) AS trivial FROM (SELECT * REPLACE ('E' || kind AS name) FROM {_GROUPS} g) h GROUP BY group_key")
+def trivial_facility_flag(t):
+    groups = entities.duplicate_groups(t("fac_dup")).withColumn("name", F.concat(F.lit("E"), "kind"))
+    return entities.trivial_facilities(groups, ["city", "state"])
+
+
+# distances within a group differ by multiples of thousandths of a degree; the fold is checked by a recursive query
+_XY = "(SELECT group_key, facility_id, lon, lat, row_number() OVER (PARTITION BY group_key ORDER BY facility_id) AS rn FROM " + _GROUPS + " g)"
+_DIST = "sqrt(pow((radians(s.ax) - radians(x.lon)) * 6378137e0, 2) + pow(ln(tan(pi() / 4 + radians(s.ay) / 2)) * 6378137e0 - ln(tan(pi() / 4 + radians(x.lat) / 2)) * 6378137e0, 2))"
+_CLUSTERS = f"""WITH RECURSIVE x AS (SELECT * FROM {_XY} q), s AS (SELECT group_key, facility_id, rn, 0 AS no, lon AS ax, lat AS ay FROM x WHERE rn = 1
+ UNION ALL SELECT x.group_key, x.facility_id, x.rn, s.no + CASE WHEN coalesce({_DIST} > 250, FALSE) THEN 1 ELSE 0 END, CASE WHEN coalesce({_DIST} > 250, FALSE) THEN x.lon ELSE s.ax END, CASE WHEN coalesce({_DIST} > 250, FALSE) THEN x.lat ELSE s.ay END FROM s JOIN x ON x.group_key = s.group_key AND x.rn = s.rn + 1)
+ SELECT group_key, cluster_no, facility_id FROM (SELECT group_key, CAST(no AS INT) AS cluster_no, facility_id, count(*) OVER (PARTITION BY group_key, no) AS n FROM s) z WHERE n > 1"""
+
+
+@query("cluster_split", _CLUSTERS)
+def cluster_split(t):
+    return entities.split_clusters(entities.duplicate_groups(t("fac_dup")), 250.0)
+
+
+_FSCORE = " + ".join(_filled(f"CAST({c} AS VARCHAR)", w) for c, w in entities.FACILITY_WEIGHTS.items())
+_FG = f"(SELECT *, {_FSCORE} AS score, {CLEAN_STREET} AS clean FROM {_GROUPS} g)"
+_FO = "ORDER BY score DESC, facility_id"
+
+
+def _ff(c):
+    return f"first({sql_text(c)} {_FO}) FILTER (WHERE {sql_text(c)} IS NOT NULL) AS {c}"
+
+
+_TITLE = "array_to_string(list_transform(string_split(first(clean {o}) FILTER (WHERE clean <> ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')".replace("{o}", _FO)
+_FPROP = f"(SELECT group_key, first(facility_id {_FO}) AS base_id, list(facility_id ORDER BY facility_id) AS member_ids, first({sql_text('name')} ORDER BY length({sql_text('name')}) DESC, score DESC, facility_id) AS name, {_TITLE} AS address, {', '.join(map(_ff, ('city', 'state', 'postal_code', 'phone', 'website')))}, {sql_fold('list(notes ORDER BY coalesce(length(notes), 0) DESC, facility_id)')} AS notes, first(lon {_FO}) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS lon, first(lat {_FO}) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS lat, 'ACTIVE' AS status FROM {_FG} g GROUP BY group_key)"
+
+
+@query("facility_merge_proposal", f"SELECT group_key, base_id, array_to_string(member_ids, ',') AS members, name, address, city, state, postal_code, phone, website, notes, lon, lat, status FROM {_FPROP} p")
+def facility_merge_proposal(t):
+    p = entities.propose_facilities(entities.duplicate_groups(t("fac_dup")))
+    return p.withColumn("members", F.array_join("member_ids", ",")).drop("member_ids")
+
+
+_APPLY = f"""WITH p AS (SELECT * FROM {_FPROP} q), m AS (SELECT group_key, unnest(member_ids) AS facility_id, base_id, name AS pn, city AS pc, state AS ps FROM p),
+ tg AS (SELECT m.group_key, coalesce(min(f.facility_id) FILTER (WHERE f.name IS NOT DISTINCT FROM pn AND f.city IS NOT DISTINCT FROM pc AND f.state IS NOT DISTINCT FROM ps), min(base_id)) AS target FROM m JOIN {{fac_dup}} f ON f.facility_id = m.facility_id GROUP BY m.group_key)"""
+
+
+@query("merge_apply", f"""{_APPLY} SELECT f.facility_id, f.company_id, CASE WHEN n.group_key IS NOT NULL THEN n.name ELSE f.name END AS name, CASE WHEN n.group_key IS NOT NULL THEN n.address ELSE f.address END AS address, CASE WHEN n.group_key IS NOT NULL THEN n.notes ELSE f.notes END AS notes,
+ CASE WHEN n.group_key IS NOT NULL THEN 'ACTIVE' WHEN o.facility_id IS NOT NULL THEN 'INACTIVE' ELSE f.status END AS status
+ FROM {{fac_dup}} f LEFT JOIN (SELECT p.*, target FROM p JOIN tg ON p.group_key = tg.group_key) n ON f.facility_id = n.target LEFT JOIN (SELECT m.facility_id FROM m JOIN tg ON m.group_key = tg.group_key WHERE m.facility_id <> target) o ON f.facility_id = o.facility_id""")
+def merge_apply(t):
+    p = entities.propose_facilities(entities.duplicate_groups(t("fac_dup")))
+    return entities.apply_merge(t("fac_dup"), p)["facility"].select("facility_id", "company_id", "name", "address", "notes", "status")
+
+
+_IDS = f"(SELECT old_id, base_id AS new_id FROM (SELECT unnest(member_ids) AS old_id, base_id FROM {_PROPOSED} p) u WHERE old_id <> base_id)"
+
+
+def company_ids(t):
+    return entities.id_map(entities.propose_companies(t("company_dup")))
+
+
+def small_facilities(t):
+    """Facilities spread over the duplicate companies."""
+    return t("fac_dup").withColumn("company_id", F.col("facility_id") % 80).select("facility_id", "company_id", F.concat(F.lit("F"), (F.col("facility_id") % 9).cast("string")).alias("name"), F.when(F.col("facility_id") % 4 != 0, F.col("city")).alias("city"), "state")
+
+
+_SMALL = "(SELECT facility_id, facility_id % 80 AS company_id, 'F' || CAST(facility_id % 9 AS VARCHAR) AS name, CASE WHEN facility_id % 4 <> 0 THEN city END AS city, state FROM {fac_dup} q)"
+_CONFLICTS = f"(SELECT facility_id FROM (SELECT f.facility_id, row_number() OVER (PARTITION BY i.new_id, f.name, coalesce(f.city, ''), f.state ORDER BY f.facility_id) AS rn, EXISTS (SELECT 1 FROM {_SMALL} k WHERE k.company_id = i.new_id AND k.name = f.name AND coalesce(k.city, '') = coalesce(f.city, '') AND k.state = f.state) AS there FROM {_SMALL} f JOIN {_IDS} i ON f.company_id = i.old_id) x WHERE there OR rn > 1)"
+
+
+@query("exists_conflict", f"SELECT facility_id, company_id, name FROM {_SMALL} f WHERE facility_id IN (SELECT facility_id FROM {_CONFLICTS} c)")
+def exists_conflict(t):
+    return entities.name_conflicts(small_facilities(t), company_ids(t)).select("facility_id", "company_id", "name")
+
+
+@query("fk_repoint", f"SELECT f.facility_id, CASE WHEN c.facility_id IS NOT NULL THEN f.company_id ELSE coalesce(i.new_id, f.company_id) END AS company_id FROM {_SMALL} f LEFT JOIN {_IDS} i ON f.company_id = i.old_id LEFT JOIN {_CONFLICTS} c ON f.facility_id = c.facility_id")
+def fk_repoint(t):
+    f, ids = small_facilities(t), company_ids(t)
+    kept = {"facility": ("facility_id", entities.name_conflicts(f, ids))}
+    return entities.repoint({"facility": f}, [("facility", "company_id")], ids, kept)["facility"].select("facility_id", "company_id")
+
+
+@query("archive_snapshot", f"SELECT company_id AS original_id, 'MERGED' AS reason, new_id, 'company merge' AS detail, '{{{{\"company_id\":' || company_id || ',\"name\":\"' || name || '\",\"phone\":' || CASE WHEN phone IS NULL THEN 'null' ELSE '\"' || phone || '\"' END || '}}}}' AS row_json FROM {{company_dup}} c JOIN {_IDS} i ON c.company_id = i.old_id")
+def archive_snapshot(t):
+    return entities.archive(t("company_dup").select("company_id", "name", "phone"), company_ids(t), "company_id", "company merge")
+
+
+def _deactivated(rest):
+    return f"SELECT company_id FROM {{company_dup}} c WHERE company_id NOT IN (SELECT old_id FROM {_IDS} i WHERE old_id NOT IN ({rest}))"
+
+
+@query("company_deactivate", _deactivated(f"SELECT f.company_id FROM {_SMALL} f JOIN {_CONFLICTS} k ON f.facility_id = k.facility_id"))
+def company_deactivate(t):
+    return entities.deactivate(t("company_dup"), company_ids(t), small_facilities(t))[0].select("company_id")
+
+
+@query("company_deactivate_delete", f"SELECT facility_id, coalesce(i.new_id, f.company_id) AS company_id FROM {_SMALL} f LEFT JOIN {_IDS} i ON f.company_id = i.old_id WHERE facility_id NOT IN (SELECT facility_id FROM {_CONFLICTS} c)")
+def company_deactivate_delete(t):
+    return entities.deactivate(t("company_dup"), company_ids(t), small_facilities(t), on_conflict="delete")[1].select("facility_id", "company_id")
