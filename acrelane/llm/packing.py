@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from acrelane.llm.bpe import encoder
+from acrelane.llm.bpe import read_ranks
 from acrelane.llm.common import arrow_map, col, slices
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
@@ -20,6 +22,11 @@ WIDTH = 2048
 WINDOW_TOKENS = 4 << 20
 
 
+@lru_cache(maxsize=2)
+def _encoding(path: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
 class FreeSpace:
     """Bins by free space 0..width: finds the bin with the least free space that holds a length, in log(width) steps."""
 
@@ -88,8 +95,8 @@ def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     kind = df.select(col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        form = np.dtype("<u2") if max(max(bpe.tokens), end_id or 0, pad_id, width) < 1 << 16 else np.dtype("<u4")
+        encode = _encoding(path)
+        form = np.dtype("<u2") if max(encode.max_token_value, end_id or 0, pad_id, width) < 1 << 16 else np.dtype("<u4")
         ids, owners, starts, held, window = [], [], [], 0, 0
         task = TaskContext.get().partitionId()
         ramp = np.arange(width, dtype=form)
@@ -111,7 +118,9 @@ def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             id_type = batch.schema.types[0]
             for part in slices(batch, 1, 1 << 20):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tokens = np.array(bpe.encode(text or "") + ([] if end_id is None else [end_id]), dtype=form)
+                    tokens = encode.encode_to_numpy(text or "", disallowed_special=()).astype(form)
+                    if end_id is not None:
+                        tokens = np.append(tokens, form.type(end_id))
                     for start in range(0, len(tokens), width):
                         ids.append(tokens[start : start + width])
                         owners.append(doc)
