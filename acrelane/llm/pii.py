@@ -89,10 +89,7 @@ def _phone(text: str, key: bytes) -> str | None:
     country, local = digits[:-10], digits[-10:]
     if len(local) != 10 or country not in ("", "1"):
         return None
-    # area codes are dealt as any three digits that do not begin with 0, exchanges and numbers as any digits
-    if local[0] == "0":
-        return None
-    return _refill(text, country + str(permute(int(local) - 10**9, 9 * 10**9, key, "phone") + 10**9))
+    return _refill(text, country + str(permute(int(local), 10**10, key, "phone")).zfill(10))
 
 
 def _address(text: str, key: bytes) -> str | None:
