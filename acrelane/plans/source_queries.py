@@ -56,12 +56,12 @@ def src_jdbc(t):
     return readers.read_table(t.spark, f"{t.sf_dir}/customer.parquet", "c_custkey < 500 and c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
 
 
-@query("src_road_graph", "SELECT e.src, e.dst, e.length_m, e.highway FROM {edges} e JOIN {nodes} a ON e.src = a.node JOIN {nodes} b ON e.dst = b.node WHERE (a.lon BETWEEN -98.9 AND -98.75 AND a.lat BETWEEN 38.05 AND 38.3) OR (b.lon BETWEEN -98.9 AND -98.75 AND b.lat BETWEEN 38.05 AND 38.3)")
+@query("src_road_graph", "SELECT e.src, e.dst, e.length_m, e.highway FROM {edges} e JOIN {nodes} a ON e.src = a.node JOIN {nodes} b ON e.dst = b.node WHERE (a.lon BETWEEN -98.9 AND -98.75 AND a.lat BETWEEN 38.0 AND 38.3) OR (b.lon BETWEEN -98.9 AND -98.75 AND b.lat BETWEEN 38.0 AND 38.3)")
 def src_road_graph(t):
     path = shared_path(t.spark, "graph")
     t("nodes").write.parquet(f"{path}/nodes")
     t("edges").write.parquet(f"{path}/edges")
-    return readers.read_road_graph(t.spark, path, (-98.9, 38.05, -98.75, 38.3))[1].select("src", "dst", "length_m", "highway")
+    return readers.read_road_graph(t.spark, path, (-98.9, 38.0, -98.75, 38.3))[1].select("src", "dst", "length_m", "highway")
 
 
 @query("src_speed_table", "SELECT highway, count(*) AS n_edges, max(CASE highway WHEN 'primary' THEN 60e0 WHEN 'motorway' THEN 70e0 WHEN 'unclassified' THEN 40e0 END) AS mph FROM {edges} e GROUP BY highway")
