@@ -100,3 +100,32 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
     """The rows of docs, all columns, whose id is in no contaminated pair; rows with a null id are judged like any other."""
     bad = contaminated(docs, benchmark, id_col, **options).select(col(id_col).alias("_bad")).distinct()
     return docs.join(bad, col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+
+
+#: The same rows by laying every document beside every item at all equal words.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws
+  FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM b),
+hits AS (SELECT doc_id, item_id, n, p - i AS doc_start, i FROM dw JOIN bw USING (w)),
+busy AS (
+  SELECT doc_id, item_id, n, doc_start, count(*) AS n_matched FROM hits GROUP BY ALL
+  HAVING CASE WHEN n < 11 THEN count(*) = n ELSE count(*) >= 0.8 * n OR count(*) >= 0.8 * 24 END),
+runs AS (
+  SELECT doc_id, item_id, doc_start, max(k) AS most FROM (
+    SELECT h.doc_id, h.item_id, h.doc_start, count(*) OVER (
+      PARTITION BY h.doc_id, h.item_id, h.doc_start ORDER BY h.i RANGE BETWEEN CURRENT ROW AND 23 FOLLOWING) AS k
+    FROM hits h JOIN busy USING (doc_id, item_id, doc_start)) GROUP BY ALL),
+found AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, doc_start) AS rn
+  FROM busy JOIN runs USING (doc_id, item_id, doc_start)
+  WHERE n_matched >= 0.8 * n OR most >= 0.8 * 24)
+SELECT doc_id, item_id, CAST(n_matched AS INT) AS n_matched, CAST(n AS INT) AS n_item,
+       round(n_matched / n, 6) AS overlap, CAST(doc_start AS INT) AS doc_start
+FROM found WHERE rn = 1
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from acrelane.llm import chat as _chat
+from acrelane.llm import decontamination as _decontamination
 from acrelane.llm.common import table
 
 
@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {"op5_perspective_rotation": _chat.SQL}
+SQL: dict[str, str] = {"op5_perspective_rotation": _chat.SQL, "op8_spaced_seed_decontamination": _decontamination.SQL}
