@@ -55,40 +55,38 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 #: In a bucket of up to so many nodes all pairs are compared.
-PAIR_BUCKET = 16
+PAIR_BUCKET = 40
 
 
-def bucket_links(rows: DataFrame, check: Callable[[DataFrame], DataFrame], pair_bucket: int = PAIR_BUCKET, rounds: int = 32) -> DataFrame:
-    """Edges (a, b) that connect what the true pairs within buckets connect.  rows(key, node) are distinct; check keeps the true pairs
-    of a frame (a, b).
+def bucket_links(rows: DataFrame, measure: Callable[[DataFrame], DataFrame], least: float, pair_bucket: int = PAIR_BUCKET, rounds: int = 16) -> DataFrame:
+    """Edges (a, b) that connect what all pairs within buckets with a likeness of least or more connect.
 
-    Small buckets compare all pairs.  In a large bucket one member a round leads and is compared with the others; the next leader comes
-    from outside the first one's component, and a bucket whose members are in one component is done.  So a bucket of n copies costs n
-    comparisons, not n squared.  What is open after the last round is compared in full, so nothing is lost.
+    rows(key, node) are distinct; measure adds the column likeness to a frame (a, b), and 1 - likeness must be a metric.
+
+    Small buckets compare all pairs.  In a large bucket the least member leads a round: all others are measured against it, and those that are
+    alike are linked.  By the triangle inequality a linked member y can be like a member x that is not linked only if its distance from the
+    leader is at least x's less 1 - least; so linked members that are nearer than that for every such x have nothing left to find and leave
+    the bucket, which ends when all are linked.  n copies cost n comparisons, and groups of copies a round each.  What is
+    open after the last round is compared in full, so nothing is lost.
     """
+    reach = 1 - least
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(rows.join(sizes, "key"), "buckets")
 
-    def pairs(some: DataFrame) -> DataFrame:
+    def linked(some: DataFrame) -> DataFrame:
         x, y = some.select("key", F.col("node").alias("a")), some.select("key", F.col("node").alias("b"))
-        return x.join(y, "key").filter("a < b").select("a", "b").distinct()
+        return measure(x.join(y, "key").filter("a < b").select("a", "b").distinct()).filter(F.col("likeness") >= least).select("a", "b")
 
-    edges = check(pairs(met.filter(F.col("n") <= pair_bucket)))
+    edges = linked(met.filter(F.col("n") <= pair_bucket))
     still = met.filter(F.col("n") > pair_bucket).select("key", "node")
-    if still.isEmpty():
-        return edges
-    edges, still = written(edges, "links"), still.withColumn("component", F.col("node"))
     for _ in range(rounds):
-        leads = still.groupBy("key").agg(F.max(F.struct("component", "node")).alias("x")).select("key", F.col("x.node").alias("lead"))
-        others = written(still.join(leads, "key").filter("node <> lead").select("key", "node", "lead"), "leads")
-        near = check(others.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-        edges = written(edges.unionAll(near), "links")
-        names = written(connected_components(edges), "names").withColumnRenamed("node", "n")
-        state = others.join(names, others["node"] == names["n"], "left").select("key", "node", "lead", F.coalesce("component", "node").alias("component"))
-        state = written(state, "state")
-        named_leads = state.select("key", "lead").distinct().join(names, F.col("lead") == F.col("n"), "left").select("key", F.coalesce("component", "lead").alias("lc"))
-        split = state.select("key", "component").unionAll(named_leads.select("key", F.col("lc").alias("component"))).groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        still = written(state.join(split, "key", "left_semi").select("key", "node", "component"), "open")
         if still.isEmpty():
             return edges
-    return edges.unionAll(check(pairs(still)))
+        leads = still.groupBy("key").agg(F.min("node").alias("lead"))
+        others = still.join(leads, "key").filter("node <> lead")
+        likeness = measure(others.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+        known = written(others.join(likeness, (F.col("lead") == F.col("a")) & (F.col("node") == F.col("b"))).select("key", "node", "lead", (1 - F.col("likeness")).alias("far")), "measured")
+        edges = edges.unionAll(known.filter(F.col("far") <= reach + 1e-12).select(F.col("lead").alias("a"), F.col("node").alias("b")))
+        rest = known.filter(F.col("far") > reach + 1e-12).groupBy("key").agg(F.min("far").alias("nearest"))
+        still = written(known.join(rest, "key").filter(F.col("far") >= F.col("nearest") - reach - 1e-9).select("key", "node"), "open")
+    return edges.unionAll(linked(still))

@@ -9,6 +9,7 @@ so that two texts which share WINDOW_SPAN + WINDOW_WORDS - 1 words in a row (51)
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,31 +45,61 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    inverse = np.uint64(pow(int(_POWER), -1, 1 << 64))
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64) for base in (_POWER, inverse))
+
+
+def prefix_sums(words: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any stretch of words follows at once."""
+    _, inverse = _powers(1 << max(16, len(words).bit_length()))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * inverse[: len(words)], dtype=np.uint64)])
+
+
+def stretch_hashes(sums: np.ndarray, starts: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """Hashes of the n words from each start; they do not depend on where the words stand."""
+    powers, _ = _powers(1 << max(16, (len(sums) - 1).bit_length()))
+    return _scramble((sums[starts + n] - sums[starts]) * powers[starts + n - 1])
+
+
+def gram_hashes(words: np.ndarray, n: int, sums: np.ndarray | None = None) -> np.ndarray:
     """A hash of each n successive words (of all, if they are fewer)."""
     n = min(n, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * _POWER + words[k : k + len(out)]
-    return _scramble(out)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """Hashes of the bands of the MinHash signature."""
-    least = np.array([_scramble(shingles * m + a).min() for m, a in zip(_MIX, _ADD, strict=True)]).reshape(BANDS, BAND_ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        out = _scramble(out * _POWER + least[:, k])
+    return stretch_hashes(prefix_sums(words) if sums is None else sums, np.arange(len(words) - n + 1), n)
+
+
+def band_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the bands of the MinHash signatures of paragraphs: one row each; a paragraph's shingles begin at its start."""
+    out = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+            key = _scramble(key * _POWER + np.minimum.reduceat(shingles * _MIX[k] + _ADD[k], starts))
+        out[:, band] = key
     return out
 
 
+def _sliding(x: np.ndarray, span: int, least) -> np.ndarray:
+    """least (np.minimum or np.maximum) of each span successive elements, by doubling."""
+    width = 1
+    while width * 2 <= span:
+        x = least(x[:-width], x[width:])
+        width *= 2
+    return least(x[: len(x) - (span - width)], x[span - width :]) if width < span else x
+
+
 def winnowed(grams: np.ndarray, span: int = WINDOW_SPAN) -> np.ndarray:
-    """Positions of the least hash of each span successive ones (of the whole, if it is shorter); the rightmost of equal ones."""
+    """Positions that hold the least hash of some span successive ones (of the whole, if it is shorter); of a run of equal hashes the first."""
     if len(grams) <= span:
-        return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))]) if len(grams) else np.zeros(0, int)
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    picked = np.concatenate([np.arange(i, min(i + 4096, len(view))) + span - 1 - view[i : i + 4096, ::-1].argmin(axis=1) for i in range(0, len(view), 4096)])
-    return np.unique(picked)
+        return np.array([int(np.argmin(grams))]) if len(grams) else np.zeros(0, int)
+    least = _sliding(grams, span, np.minimum)
+    # the greatest of the minima over the windows that hold a position is its own hash only if it is the least of one of them
+    padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
+    picked = _sliding(padded, span, np.maximum) == grams
+    picked[1:] &= grams[1:] != grams[:-1]
+    return np.flatnonzero(picked)
 
 
 def paragraphs(text: str) -> list[list[str]]:
@@ -89,29 +120,42 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                owner, line, start, words, unit, bands = [], [], [], [], [], []
+                owner, line, start, words, unit = [], [], [], [], []  # paragraphs
+                w_owner, w_start, w_unit = [], [], []  # windows, an array a text
+                shingles, begins, held = [], [], 0
                 for i, text in enumerate(part.column(1).to_pylist()):
                     lines = paragraphs(text or "")
                     hashes = word_hashes([w for ws in lines for w in ws])
+                    if len(hashes) < min(WINDOW_WORDS, min_words):
+                        continue
+                    sums = prefix_sums(hashes)
+                    grams = gram_hashes(hashes, SHINGLE_WORDS, sums)
+                    first = len(unit)
                     at = 0
                     for k, ws in enumerate(lines):
                         n = len(ws)
                         if n >= min_words:
-                            own = hashes[at : at + n]
                             owner.append(i), line.append(k), start.append(at), words.append(n)
-                            unit.append(gram_hashes(own, n).view(np.int64)[0])
-                            bands.append(_signed(band_keys(gram_hashes(own, SHINGLE_WORDS))))
+                            unit.append(0)
+                            own = grams[at : at + n - SHINGLE_WORDS + 1] if n >= SHINGLE_WORDS else gram_hashes(hashes[at : at + n], n)
+                            shingles.append(own)
+                            begins.append(held)
+                            held += len(own)
                         at += n
+                    if len(unit) > first:
+                        unit[first:] = stretch_hashes(sums, np.array(start[first:]), np.array(words[first:])).tolist()
                     if at >= WINDOW_WORDS:
-                        grams = gram_hashes(hashes, WINDOW_WORDS)
-                        places = winnowed(grams)
-                        owner += [i] * len(places)
-                        line += [-1] * len(places)
-                        start += places.tolist()
-                        words += [WINDOW_WORDS] * len(places)
-                        unit += _signed(grams[places]).tolist()
-                        bands += [None] * len(places)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(line, pa.int32()), pa.array(start, pa.int32()), pa.array(words, pa.int32()), pa.array(unit, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=names)
+                        wide = gram_hashes(hashes, WINDOW_WORDS, sums)
+                        places = winnowed(wide)
+                        w_owner.append(np.full(len(places), i))
+                        w_start.append(places)
+                        w_unit.append(wide[places])
+                keys = band_keys(np.concatenate(shingles), np.array(begins)) if begins else np.zeros((0, BANDS), np.uint64)
+                n_windows = sum(map(len, w_unit))
+                empty = np.zeros(0, np.uint64)
+                bands = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(owner) + n_windows + 1), len(owner)) * BANDS, pa.int32()), pa.array(_signed(keys.ravel())))
+                columns = [np.concatenate([owner, *w_owner]), np.concatenate([line, np.full(n_windows, -1)]), np.concatenate([start, *w_start]), np.concatenate([words, np.full(n_windows, WINDOW_WORDS)])]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0].astype(np.int64))), *(pa.array(c.astype(np.int32)) for c in columns[1:]), pa.array(_signed(np.concatenate([empty, np.array(unit, np.uint64), *w_unit]))), bands], names=names)
 
     out = arrow_map(df.select(col(id_col).alias("k0"), col(text_col).alias("text")), run, f"k0 {kind}, line int, start int, words int, unit bigint, bands array<bigint>")
     return out.withColumnRenamed("k0", "id")
@@ -170,11 +214,11 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = lines.join(_small(lines, nodes), "unit").groupBy("unit").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line", "unit")
     sets = written(_shingles(df, id_col, text_col, written(wanted, "wanted")), "shingles")
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def measure(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("unit").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").filter(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("likeness"))
 
-    parts = written(connected_components(bucket_links(met, check)), "parts")
+    parts = written(connected_components(bucket_links(met, measure, least)), "parts")
     # groups: paragraphs by component, windows by their own hash
     named = lines.join(_small(lines, parts), F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
     windows = places.filter("line < 0").select("id", "line", "start", "words", F.col("unit").alias("component"))
