@@ -32,6 +32,8 @@ SEED = 20240917
 PERIOD, CLASSES = 4093, 128
 #: Cells of one block of texts that walk together.
 BLOCK_CELLS = 1 << 21
+#: Rows that share a window in which each looks for the next, and the greatest number of such windows.
+STRETCH_ROWS, MOST_STRETCHES = 200, 20_000
 #: Banding: bands of digits, and the likeness that candidates must have.
 BANDS, BAND_DIGITS, LEAST_LIKENESS = 24, 5, 0.8
 
@@ -140,27 +142,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(same) / F.lit(float(SAMPLES))
 
 
-def next_documents(df: DataFrame, id_col: str, text_col: str, cuts: int = 512) -> DataFrame:
+def _stretch(cut_points: list, id_type: str) -> Column:
+    """How many of the ascending cut points are at or below the id, by bisection; 0 for a null id."""
+    edges = F.array(*map(F.lit, cut_points)).cast(f"array<{id_type}>")
+
+    def halve(span, _):
+        middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(edges, middle) <= F.col("id"), F.lit(False))
+        busy = span["lo"] < span["hi"]
+        return F.struct(F.when(busy & below, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(busy & ~below, middle).otherwise(span["hi"]).alias("hi"))
+
+    turns = F.sequence(F.lit(1), F.lit(len(cut_points).bit_length() + 1))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.lit(len(cut_points)).alias("hi")), halve)["lo"]
+
+
+def next_documents(df: DataFrame, id_col: str, text_col: str, stretch_rows: int = STRETCH_ROWS, most_stretches: int = MOST_STRETCHES) -> DataFrame:
     """(id, body, next_body): each text beside the following one by ascending id (ties: by text), the first after the last.
 
-    Ids are cut at about equal counts (only the cut values reach the driver: at most cuts of them) and each stretch is a window of its
-    own.  The first row of a stretch is lent to the one before, so no stretch needs another.  A null id comes first, a null text is
-    empty.
+    Ids are cut into stretches of about stretch_rows, each a window of its own; their number grows with the table (up to most_stretches, from
+    where on they grow, and spill).  The cut points, which decide nothing but the split of the work, come from a sample of the ids.  The first
+    row of a stretch is lent to the one before, so no stretch needs another.  A null id comes first, a null text is empty.
     """
     rows = df.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("body"))
     ids = rows.select("id")
-    edges = ids.agg(F.percentile_approx("id", [i / cuts for i in range(1, cuts)], 20000).alias("e")).first()["e"] or []
-    edges = F.array(*[F.lit(e) for e in sorted(set(edges))]).cast(f"array<{ids.schema[0].dataType.simpleString()}>")
-    stretch = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("id"))), F.lit(0))
+    total = ids.count()
+    cuts = min(most_stretches, max(1, total // stretch_rows))
+    sample = ids.sample(min(1.0, 100.0 * cuts / total), seed=SEED) if total else ids
+    edges = sample.agg(F.percentile_approx("id", [i / cuts for i in range(1, cuts)], max(1000, 20 * cuts)).alias("e")).first()["e"] if cuts > 1 else None
+    edges = sorted(set(edges or []))
+    stretch = _stretch(edges, ids.schema[0].dataType.simpleString()) if edges else F.lit(0)
+    # every stretch but the first holds its own cut point, so none of them is empty
     firsts = ids.groupBy(stretch.alias("stretch")).agg(F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls"))
     firsts = firsts.select("stretch", F.when(F.col("nulls") == 0, F.col("least")).alias("least"))
-    numbers = sorted(r["stretch"] for r in firsts.select("stretch").collect())  # one number a stretch
-    if not numbers:
-        return rows.withColumn("next_body", F.col("body"))
-    lender = F.create_map(*[F.lit(v) for s, before in zip(numbers, [numbers[-1], *numbers]) for v in (s, before)])
+    head = firsts.agg(F.min("stretch").alias("m")).first()["m"]
+    lender = F.when(F.col("stretch") == head, len(edges)).otherwise(F.col("stretch") - 1)
     rows = rows.withColumn("stretch", stretch)
-    heads = rows.alias("r").join(F.broadcast(firsts).alias("f"), (F.col("r.stretch") == F.col("f.stretch")) & F.col("r.id").eqNullSafe(F.col("f.least")))
-    heads = heads.groupBy("r.stretch").agg(F.min("body").alias("body")).select(F.lit(None).cast(ids.schema[0].dataType).alias("id"), "body", lender[F.col("stretch")].alias("stretch"), F.lit(True).alias("lent"))
+    heads = rows.alias("r").join(F.broadcast(firsts).alias("f"), (F.col("r.stretch") == F.col("f.stretch")) & F.col("r.id").eqNullSafe(F.col("f.least")))  # a row a stretch
+    heads = heads.groupBy("r.stretch").agg(F.min("body").alias("body")).select(F.lit(None).cast(ids.schema[0].dataType).alias("id"), "body", lender.alias("stretch"), F.lit(True).alias("lent"))
     w = Window.partitionBy("stretch").orderBy("lent", "id", "body")
     both = rows.withColumn("lent", F.lit(False)).unionByName(heads)
     return both.withColumn("next_body", F.lead("body").over(w)).filter(~F.col("lent")).select("id", "body", "next_body")
