@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelane.llm.common import arrow_map, col, slices, written
-from acrelane.llm.components import bucket_links, connected_components
+from acrelane.llm.components import PAIR_BUCKET, bucket_links, connected_components
 
 #: Shorter paragraphs (greetings, licence lines) are left alone.
 MIN_WORDS = 20
@@ -26,8 +26,8 @@ SHINGLE_WORDS, LEAST_JACCARD = 5, 0.8
 #: 10 bands of 3: a pair of similarity 0.8 collides in one of them with probability 0.999.
 BANDS, BAND_ROWS = 10, 3
 WINDOW_WORDS, WINDOW_SPAN = 20, 32
-#: A side of a join with at most so many rows of a number each is broadcast.
-SMALL_SIDE = 1_000_000
+#: A side of a join that is counted to have at most so many rows (a few numbers, or one document's line numbers) is broadcast.
+SMALL_SIDE = 250_000
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240917)
 _MIX = _RNG.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * 2 + 1
@@ -189,6 +189,24 @@ def _shingles(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
     return arrow_map(chosen, run, "unit bigint, shingles array<bigint>").dropDuplicates(["unit"])
 
 
+def _split_crowds(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """met(key, node) with the members of crowded buckets dealt by their rarest shingles instead of by bands.
+
+    Paragraphs that hold one very common passage crowd in a band though they are not alike.  Two sets that are alike share one of the
+    size - ceil(least * size) + 1 rarest shingles of each (by how often they occur in crowds), so these are their keys: no pair of a crowd is
+    lost, and a common passage gives no key unless it is most of the paragraph.
+    """
+    sizes = written(met.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    calm = met.join(sizes.filter(F.col("n") <= PAIR_BUCKET).select("key"), "key", "left_semi").select("key", "node")
+    crowd = met.join(sizes.filter(F.col("n") > PAIR_BUCKET).select("key"), "key", "left_semi").select(F.col("node").alias("unit")).distinct()
+    rows = written(sets.join(crowd, "unit").select("unit", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "crowds")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "shingle").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("xs"))  # bounded by a paragraph
+    rare = F.slice("xs", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
+    keys = ranked.select(F.explode(F.transform(rare, lambda x: F.when(x["often"] > 1, F.xxhash64(F.lit(3), x["shingle"])))).alias("key"), F.col("unit").alias("node")).filter("key is not null")
+    return calm.unionByName(keys)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
@@ -218,7 +236,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("unit").alias("b"), F.col("shingles").alias("sb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("likeness"))
 
-    parts = written(connected_components(bucket_links(met, measure, least)), "parts")
+    edges = bucket_links(_split_crowds(met, sets, least), measure, least)
+    parts = written(connected_components(edges), "parts")
     # groups: paragraphs by component, windows by their own hash
     named = lines.join(_small(lines, parts), F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
     windows = places.filter("line < 0").select("id", "line", "start", "words", F.col("unit").alias("component"))
