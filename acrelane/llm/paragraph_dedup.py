@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs that repeat, alike or as a passage inside of another paragraph.
 
-Paragraphs (lines of at least MIN_WORDS words) are compared by MinHash over five-word shingles: bands of signatures, a join of colliding
+Paragraphs (lines of at least MIN_WORDS words, as many as a shingle has) are compared by MinHash over five-word shingles: bands of signatures, a join of colliding
 paragraphs, exact Jaccard similarity, components.  A passage may also stand in the middle of longer lines that are not alike.
 For these, every text gives winnowed windows: of each WINDOW_SPAN successive windows of WINDOW_WORDS words the one with the least hash,
 so that two texts which share WINDOW_SPAN + WINDOW_WORDS - 1 words in a row (51) always share a window.
@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 from acrelane.llm.common import arrow_map, col, slices, written
 from acrelane.llm.components import PAIR_BUCKET, bucket_links, connected_components
 
-#: Shorter paragraphs (greetings, licence lines) are left alone.
-MIN_WORDS = 20
 SHINGLE_WORDS, LEAST_JACCARD = 5, 0.8
+#: Shorter lines hold no shingle; with a lower min_words they are compared as wholes.
+MIN_WORDS = SHINGLE_WORDS
 #: 10 bands of 3: a pair of similarity 0.8 collides in one of them with probability 0.999.
 BANDS, BAND_ROWS = 10, 3
 WINDOW_WORDS, WINDOW_SPAN = 20, 32
 #: A side of a join that is counted to have at most so many rows (a few numbers, or one document's line numbers) is broadcast.
 SMALL_SIDE = 250_000
-_WORD = re.compile(r"\w+")
+#: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): each character is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _RNG = np.random.default_rng(20240917)
 _MIX = _RNG.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * 2 + 1
 _ADD = _RNG.integers(0, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64)

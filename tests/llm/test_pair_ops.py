@@ -209,6 +209,15 @@ def test_paragraph_query_against_brute_force(spark, sf_dir, docs):
     assert got == {p: (sizes[t], p == t) for p, t in want.items() if sizes[t] > 1}
 
 
+def test_short_and_unspaced_lines_are_paragraphs(spark):
+    rows = [(1, "released under the open license\nown words of the first text"), (2, "x\nReleased under the open license."), (3, "東京都は日本の首都です。\nsomething else"), (4, "東京都は日本の首都です。"), (5, "see you soon"), (6, "see you soon")]
+    got = {(r["doc_id"], r["line"]): (r["n_places"], r["keeps"]) for r in paragraph_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert got == {(1, 0): (2, True), (2, 1): (2, False), (3, 0): (2, True), (4, 0): (2, False)}
+    shorter = paragraph_dedup.repeated_passages(frame(spark, rows), min_words=1).collect()
+    assert {(r["doc_id"], r["line"]) for r in shorter} == {*got, (5, 0), (6, 0)}
+
+
+
 def laid(rows, items):
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     found = {}
