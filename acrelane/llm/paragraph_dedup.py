@@ -3,7 +3,8 @@
 Paragraphs (lines of at least MIN_WORDS words, as many as a shingle has) are compared by MinHash over five-word shingles: bands of signatures, a join of colliding
 paragraphs, exact Jaccard similarity, components.  A passage may also stand in the middle of longer lines that are not alike.
 For these, every text gives winnowed windows: of each WINDOW_SPAN successive windows of WINDOW_WORDS words the one with the least hash,
-so that two texts which share WINDOW_SPAN + WINDOW_WORDS - 1 words in a row (51) always share a window.
+so that two texts which share WINDOW_SPAN + WINDOW_WORDS - 1 words in a row (51) always share a window.  A shared window is an anchor: its two
+texts are laid side by side there, and the whole run of equal words around it is the passage.
 """
 
 from __future__ import annotations
@@ -209,17 +210,92 @@ def _split_crowds(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return calm.unionByName(keys)
 
 
+def equal_run(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int = 256) -> tuple[int, int]:
+    """How many words before a[i] and b[j], and from there on, are equal in a row."""
+    back = ahead = 0
+    while (n := min(step, i - back, j - back)) > 0:
+        differ = np.flatnonzero(a[i - back - n : i - back] != b[j - back - n : j - back])
+        if len(differ):
+            back += n - 1 - int(differ[-1])
+            break
+        back += n
+    while (n := min(step, len(a) - i - ahead, len(b) - j - ahead)) > 0:
+        differ = np.flatnonzero(a[i + ahead : i + ahead + n] != b[j + ahead : j + ahead + n])
+        if len(differ):
+            ahead += int(differ[0])
+            break
+        ahead += n
+    return back, ahead
+
+
+@lru_cache(maxsize=16)
+def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and their sums; the same first text often comes several times in a row."""
+    hashes = word_hashes([w for ws in paragraphs(text) for w in ws])
+    return hashes, prefix_sums(hashes)
+
+
+def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> DataFrame:
+    """(id, start, words, unit, copies) of the runs of equal words around windows (id, start, unit) that occur more than once, each against
+    the first place of its window; a run is given at both places, and copies says how many rows are alike in id and text."""
+    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
+    spots = windows.groupBy("unit", "id", "start").agg(F.count("*").alias("copies"))
+    firsts = spots.groupBy("unit").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "start", "copies")).alias("first")).filter("n > 1")
+    firsts = written(firsts, "anchors")
+    placed = spots.join(_small(spots, firsts), "unit")
+    # the first place is laid beside itself only if several rows are alike
+    alone = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start")) & (F.col("copies") == 1)
+    placed = written(placed.filter(~alone).select("id", "start", "copies", F.col("first.id").alias("other"), F.col("first.start").alias("at"), F.col("first.copies").alias("others"), "unit"), "anchors")
+    few = placed.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    pairs = placed.groupBy("id", "other").agg(F.collect_list(F.struct("start", "at", "unit", "copies", "others")).alias("xs"))  # bounded by a document's own windows
+    docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
+    mine = docs.join(F.broadcast(pairs) if few else pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
+    heads = placed.select(F.col("other").alias("head")).distinct()
+    theirs = docs.join(_small(docs, written(heads, "heads")), F.col("owner").eqNullSafe(F.col("head")), "left_semi").withColumnRenamed("text", "first_text")
+    laid = mine.join(theirs, F.col("other").eqNullSafe(F.col("owner")))
+    laid = laid.select("text", "first_text", "id", "other", *[F.col(f"xs.{c}").alias(f"x_{c}") for c in ("start", "at", "unit", "copies", "others")])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 0):
+                row, numbers = [], []
+                texts = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                for k, (pair, starts, ats, units_, copies, others) in enumerate(zip(texts, *(c.to_pylist() for c in part.columns[4:]), strict=True)):
+                    (a, sums), (b, _) = (_hashed(t or "") for t in pair)
+                    done = {}  # by diagonal, the end of the last run
+                    for i, j, unit, n_a, n_b in sorted(zip(starts, ats, units_, copies, others, strict=True)):
+                        if i < done.get(i - j, 0) or i + WINDOW_WORDS > len(a) or j + WINDOW_WORDS > len(b):
+                            continue
+                        if stretch_hashes(sums, np.array([i]), WINDOW_WORDS).view(np.int64)[0] != unit:  # an id may come with several texts
+                            continue
+                        back, ahead = equal_run(a, b, i, j)
+                        if ahead < WINDOW_WORDS:
+                            continue
+                        done[i - j] = i + ahead
+                        n = back + ahead
+                        row.append(k)
+                        numbers.append((i - back, j - back, n, int(stretch_hashes(sums, np.array([i - back]), n).view(np.int64)[0]), n_a, n_b))
+                at = pa.array(row, pa.int64())
+                columns = list(zip(*numbers, strict=True)) or [()] * 6
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(2).take(at), part.column(3).take(at), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "other", "start", "at", "words", "unit", "copies", "others"])
+
+    runs = written(arrow_map(laid, run, f"id {kind}, other {kind}, start int, at int, words int, unit bigint, copies bigint, others bigint"), "runs")
+    both = runs.select("id", "start", "words", "unit", "copies").unionAll(runs.select("other", "at", "words", "unit", "others"))
+    return both.groupBy("id", "start", "words", "unit").agg(F.max("copies").alias("copies"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_JACCARD, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, line, start_word, n_words, component_id, n_places, keeps) of every paragraph or window that occurs more than once.
+    """(id, line, start_word, n_words, component_id, n_places, keeps) of every paragraph or passage that occurs more than once.
 
-    line is the paragraph's line number, or -1 for a window of words inside a passage that repeats at another place; start_word counts the
-    words of the text from 0.  component_id names the group of equal or near paragraphs (or equal windows), n_places how often it
-    occurs, keeps the first place by id, line and start; all other places are for removal.
+    line is the paragraph's line number, or -1 for a passage: all the words in a row, across lines too, that are equal to those around the first
+    place of a shared window; start_word counts the words of the text from 0.  component_id names the group of equal or near paragraphs
+    (or equal passages), n_places how often it was found, keeps the first place by id, line and start; all other places are for removal.
 
     Null and empty texts have no paragraphs; repeated rows are further places; ids that are null take part (and come
     first); an empty table gives no rows; documents without repetition give none; other columns are not carried.
@@ -242,8 +318,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = written(connected_components(edges), "parts")
     # groups: paragraphs by component, windows by their own hash
     named = lines.join(_small(lines, parts), F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
-    windows = places.filter("line < 0").select("id", "line", "start", "words", F.col("unit").alias("component"))
-    both = named.unionAll(windows)
+    passages = _runs(df, id_col, text_col, places.filter("line < 0").select("id", "start", "unit"))
+    passages = passages.withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select("id", F.lit(-1).alias("line"), "start", "words", F.col("unit").alias("component"))
+    both = named.unionAll(written(passages, "passages"))
     groups = both.groupBy("component", (F.col("line") >= 0).alias("whole")).agg(F.count("*").alias("n_places"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n_places > 1")
     groups = written(groups, "groups")
     found = both.withColumn("whole", F.col("line") >= 0).join(_small(both, groups), ["component", "whole"])
@@ -251,12 +328,71 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), "line", F.col("start").alias("start_word"), F.col("words").alias("n_words"), F.col("component").alias("component_id"), "n_places", F.coalesce(first, F.lit(False)).alias("keeps"))
 
 
+def _cut(text: str, lines: list[int], words: list[tuple[int, int, list]]) -> str:
+    """text without some lines and some stretches of words (start, number, holes that stay: start and number within the stretch)."""
+    low = text.lower()
+    # a character may be longer in lower case
+    origin = None if len(low) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
+    gone = np.zeros(len(_WORD.findall(low)), bool)
+    for start, n, holes in words:
+        part = np.ones(n, bool)
+        for at, size in holes:
+            part[max(0, at) : at + size] = False
+        gone[start : start + n] |= part[: max(0, len(gone) - start)]
+    kept, lines, at, word = [], set(lines), 0, 0
+    for k, line in enumerate(low.split("\n")):
+        spans = [(m.start() + at, m.end() + at) for m in _WORD.finditer(line)]
+        own = gone[word : word + len(spans)]
+        end = at + len(line)
+        if k not in lines and not (len(own) and own.all()):
+            pieces, begin, i = [], at, 0
+            while i < len(spans):
+                if not own[i]:
+                    i += 1
+                    continue
+                first = i
+                while i < len(spans) and own[i]:
+                    i += 1
+                pieces.append((begin, spans[first][0]))
+                begin = spans[i - 1][1]
+                while begin < end and low[begin].isspace():
+                    begin += 1
+            pieces.append((begin, end))
+            place = (lambda x: x) if origin is None else (lambda x: origin[x] if x < len(origin) else len(text))
+            kept.append("".join(text[place(a) : place(b)] for a, b in pieces))
+        at, word = end + 1, word + len(spans)
+    return "\n".join(kept)
+
+
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with every line removed that repeated_passages names for removal as a whole paragraph; all columns stay.
+    """df without the lines and the passages that repeated_passages names for removal; all columns stay.
 
-    Lines are found by document id, so ids should be unique; a row whose lines all go keeps an empty text.
+    A passage stays as far as its first place lies in a line that goes (for it is near another, but not equal).  Lines are found by
+    document id, so ids should be unique; a row whose lines all go keeps an empty text.
     """
-    gone = repeated_passages(df, id_col, text_col, **options).filter("line >= 0 and not keeps").groupBy(col(id_col).alias("_id")).agg(F.collect_set("line").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(col(text_col), "\n"), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False))), "\n")
-    out = df.join(gone, col(id_col).eqNullSafe(F.col("_id")), "left")
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), col(text_col)).otherwise(kept)).drop("_id", "_gone")
+    found = written(repeated_passages(df, id_col, text_col, **options).withColumnRenamed(id_col, "_id"), "repeats")
+    gone = found.filter("line >= 0 and not keeps")
+    passages = found.filter("line < 0")
+    heads = passages.filter("keeps").select("component_id", F.col("_id").alias("head"), F.col("start_word").alias("at"), F.col("n_words").alias("n")).distinct()
+    inside = (F.col("start_word") < F.col("at") + F.col("n")) & (F.col("at") < F.col("start_word") + F.col("n_words"))
+    holes = heads.join(gone, F.col("head").eqNullSafe(F.col("_id")) & inside).select(heads["component_id"], F.struct((F.col("start_word") - F.col("at")).alias("at"), F.col("n_words").alias("n")).alias("hole"))
+    holes = holes.groupBy("component_id").agg(F.collect_set("hole").alias("holes"))  # bounded by a passage's lines
+    cuts = passages.filter("not keeps").join(holes, "component_id", "left").select("_id", F.struct(F.col("start_word").alias("start"), F.col("n_words").alias("n"), "holes").alias("cut"))
+    each = gone.select("_id", "line", F.lit(None).cast(cuts.schema["cut"].dataType).alias("cut")).unionAll(cuts.select("_id", F.lit(None).cast("int"), "cut"))
+    lists = each.groupBy("_id").agg(F.collect_set("line").alias("_lines"), F.collect_list("cut").alias("_cuts"))
+    joined = df.join(lists, col(id_col).eqNullSafe(F.col("_id")), "left").select(*[df[f"`{c}`"] for c in df.columns], "_lines", "_cuts")
+    where = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, where):
+                texts = part.column(where).to_pylist()
+                for i, (lines, cuts_) in enumerate(zip(part.column(len(df_names)).to_pylist(), part.column(len(df_names) + 1).to_pylist(), strict=True)):
+                    if texts[i] is not None and lines is not None:
+                        texts[i] = _cut(texts[i], lines, [(c["start"], c["n"], [(h["at"], h["n"]) for h in c["holes"] or ()]) for c in cuts_])
+                columns = part.columns[: len(df_names)]
+                columns[where] = pa.array(texts, columns[where].type)
+                yield pa.RecordBatch.from_arrays(columns, names=df_names)
+
+    df_names = df.columns
+    return arrow_map(joined, run, df.schema)

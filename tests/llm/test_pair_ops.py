@@ -218,6 +218,29 @@ def test_short_and_unspaced_lines_are_paragraphs(spark):
 
 
 
+def test_passages_are_whole_and_removed(spark):
+    rng = random.Random(16)
+    passage = [f"P{w}" for w in words(rng, 131)]
+    own = [words(rng, 40) for _ in range(6)]
+    other = ["İx", *words(rng, 39)]
+    rows = [(3, " ".join([*own[0], *passage, *own[1]])), (4, " ".join([*own[2], *passage[:60]]) + ",\n" + " ".join([*passage[60:], *own[3]])), (5, " ".join([*other, *passage[20:90], "and", *own[5]])), (6, " ".join(own[4]))]
+    got = [(r["doc_id"], r["start_word"], r["n_words"], r["n_places"], r["keeps"]) for r in paragraph_dedup.repeated_passages(frame(spark, rows)).collect()]
+    assert sorted(got) == [(3, 40, 131, 2, True), (3, 60, 70, 2, True), (4, 40, 131, 2, False), (5, 41, 70, 2, False)]  # İ is two words in lower case
+    kept = {r["doc_id"]: (r["text"], r["x"]) for r in paragraph_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert kept == {3: (rows[0][1], "extra"), 4: (" ".join(own[2]) + " ,\n" + " ".join(own[3]), "extra"), 5: (" ".join([*other, "and", *own[5]]), "extra"), 6: (rows[3][1], "extra")}
+
+
+def test_passage_in_a_removed_line_stays_elsewhere(spark):
+    rng = random.Random(17)
+    line, new = words(rng, 400), words(rng, 52)
+    near = [*line[:200], *new[:30], *line[200:]]
+    rows = [(1, " ".join(line)), (2, " ".join(near)), (3, " ".join([*words(rng, 90), *new[:30], *words(rng, 90)]))]
+    found = {(r["doc_id"], r["line"]): r["keeps"] for r in paragraph_dedup.repeated_passages(frame(spark, rows)).collect() if r["line"] >= 0}
+    assert found == {(1, 0): True, (2, 0): False}
+    kept = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert kept == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
 def laid(rows, items):
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     found = {}
