@@ -1,8 +1,7 @@
-"""Benchmark decontamination by spaced seeds.  Column expressions only.
+"""Benchmark decontamination by seeds.  Column expressions only.
 
-A mask selects token positions; the others are ignored.  Documents and benchmark items that agree in the selected positions of a mask
-share a hash.  Around every shared hash the item is laid beside the document and equal tokens are counted, so substituted words, also
-inside the mask's gaps, do no harm.
+Documents and benchmark items that agree in a mask of successive tokens share a hash.  Around every shared hash the item is laid beside
+the document and equal tokens are counted, so substituted words do no harm.
 """
 
 from __future__ import annotations
@@ -12,8 +11,11 @@ from pyspark.sql import functions as F
 
 from acrelane.llm.common import col, written
 
-#: Selected offsets of each mask.  The first leaves out one residue modulo 5, so a passage with every fifth word changed still hits.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 5, 6, 8), (0, 2, 4, 5, 7, 10))
+#: Tokens in a row that a seed takes.  With a fifth of n tokens changed, the longest run of equal tokens has four at least, of 11 and of 15 three.
+#: The same holds for a stretch of 24.  So no placement of the changed tokens hides a pair, which sparser masks of more tokens do not give.
+RUN, SHORT_RUN, SHORT_RUN_ITEMS = 4, 3, (11, 15)
+#: Items of fewer tokens must occur as they are.
+EXACT_BELOW = 11
 #: Share of equal tokens that counts as contamination, over the whole item or over a stretch of so many of its tokens.
 LEAST_OVERLAP, STRETCH = 0.8, 24
 #: Items of one broadcast; more items go in several passes over the documents.
@@ -34,14 +36,20 @@ def _seed(tokens: Column, at: Column, mask_no: int, offsets: tuple[int, ...]) ->
     return F.when(at + offsets[-1] < F.size(tokens), F.xxhash64(F.lit(mask_no), *parts))
 
 
+def item_mask(n: int) -> tuple[int, ...]:
+    """The offsets that make the seeds of an item of n tokens."""
+    return tuple(range(n if n < EXACT_BELOW else SHORT_RUN if n in SHORT_RUN_ITEMS else RUN))
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, tokens, key, part): distinct token sequences of at most ITEM_TOKENS, with the ids that have them counted by key."""
     rows = benchmark.select(col(id_col).alias("item"), token_hashes(col(text_col)).alias("all")).filter("size(all) > 0")
-    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(ITEM_TOKENS))
+    # parts overlap, so each stretch lies whole in one of them
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - STRETCH), F.lit(ITEM_TOKENS - STRETCH + 1))
     rows = rows.select("item", "all", F.explode(starts).alias("start"))
     # a short rest is taken with the tokens before it
     first = F.when(F.col("start") + ITEM_TOKENS > F.size("all"), F.greatest(F.lit(0), F.size("all") - ITEM_TOKENS)).otherwise(F.col("start"))
-    return rows.select("item", F.slice("all", first + 1, F.lit(ITEM_TOKENS)).alias("tokens")).withColumn("key", F.xxhash64("tokens"))
+    return rows.select("item", F.slice("all", first + 1, F.lit(ITEM_TOKENS)).alias("tokens")).distinct().withColumn("key", F.xxhash64("tokens"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -49,7 +57,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A pair is reported if, item laid beside document at some shared seed, at least the given share of the item's tokens (or of STRETCH
     tokens in a row of it) are equal; overlap is the share of the whole item (of its part, where the item is cut), doc_start
-    the first token's number, negative if the item begins before the document.  Items shorter than a mask must occur as they are.
+    the first token's number, negative if the item begins before the document.  Items of under EXACT_BELOW tokens must occur as they are.
 
     Items without a token match nothing; null texts are empty; items with equal tokens are looked for once and reported each; null and
     repeated ids are groups of their own; empty tables give no rows; other columns are not carried.
@@ -57,9 +65,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = written(_items(benchmark, item_col, item_text_col), "items")
     distinct = items.groupBy("key").agg(F.first("tokens").alias("tokens"))
     total = distinct.count()
-    longest_mask = max(m[-1] for m in MASKS) + 1
-    short = sorted(r["n"] for r in distinct.select(F.size("tokens").alias("n")).filter(f"n < {longest_mask}").distinct().collect())  # ten lengths at most
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    lengths = [r["n"] for r in distinct.select(F.size("tokens").alias("n")).distinct().collect()]  # ITEM_TOKENS at most
+    masks = {}  # the lengths of items by mask
+    for n in sorted(lengths):
+        masks.setdefault((n < EXACT_BELOW, item_mask(n)), []).append(n)
+    masks = [(offsets, ns) for (_, offsets), ns in masks.items()]
     passes = -(-total // block_items)
     found = None
     for block in range(passes):
@@ -74,13 +84,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return each.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("x.n_matched").alias("n_matched"), F.col("x.n_item").alias("n_item"), F.round(F.col("x.n_matched") / F.col("x.n_item"), 6).alias("overlap"), F.negative("x.late").alias("doc_start"))
 
 
-def _pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, masks: list[tuple[int, ...]], least: float) -> DataFrame:
+def _pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, masks: list[tuple[tuple[int, ...], list[int]]], least: float) -> DataFrame:
     """Verified hits of a bounded set of items; that set is broadcast, the documents are scanned once and not shuffled."""
-    def seeds(tokens: Column, at: Column) -> Column:
-        return F.array(*[_seed(tokens, at, m, offsets) for m, offsets in enumerate(masks)])
+    def seeds(tokens: Column, at: Column, own: bool = False) -> Column:
+        each = [(_seed(tokens, at, m, offsets), F.size(tokens).isin(ns)) for m, (offsets, ns) in enumerate(masks)]
+        return F.array(*[F.when(mine, seed) if own else seed for seed, mine in each])
 
     places = items.select("key", "tokens", F.posexplode("tokens").alias("at", "_"))
-    places = places.select("key", "at", F.explode(seeds(F.col("tokens"), F.col("at"))).alias("seed")).filter("seed is not null")
+    places = places.select("key", "at", F.explode(seeds(F.col("tokens"), F.col("at"), True)).alias("seed")).filter("seed is not null")
     # a seed of one item is looked up as (key, at); the tokens come from a second, smaller broadcast
     tokens = docs.select(col(id_col).alias("id"), token_hashes(col(text_col)).alias("doc")).filter("size(doc) > 0")
     rows = tokens.select("id", "doc", F.posexplode("doc").alias("p", "_"))
@@ -92,7 +103,7 @@ def _pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, masks:
     n = F.aggregate("equal", F.lit(0), lambda a, b: a + b)
     checked = checked.withColumn("n_matched", n)
     stretch = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_item") - STRETCH + 1)), lambda i: F.aggregate(F.slice("equal", i, STRETCH), F.lit(0), lambda a, b: a + b) >= least * STRETCH)
-    exact_if_short = F.when(F.col("n_item") < max(m[-1] for m in MASKS) + 1, F.col("n_matched") == F.col("n_item")).otherwise(True)
+    exact_if_short = F.when(F.col("n_item") < EXACT_BELOW, F.col("n_matched") == F.col("n_item")).otherwise(True)
     return checked.filter(exact_if_short & ((F.col("n_matched") >= least * F.col("n_item")) | ((F.col("n_matched") >= least * STRETCH) & stretch))).select("id", "key", "doc_start", "n_item", "n_matched")
 
 

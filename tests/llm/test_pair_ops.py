@@ -283,6 +283,25 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_every_placement_of_substitutions_leaves_a_seed():
+    from itertools import combinations
+
+    for n in range(11, 25):
+        mask = decontamination.item_mask(n)
+        for changed in combinations(range(n), n // 5):
+            assert any(all(i + o not in changed for o in mask) for i in range(n - mask[-1])), (n, changed)
+
+
+def test_decontamination_of_short_items_and_of_cuts(spark):
+    rng = random.Random(18)
+    short, long = words(rng, 11), words(rng, 700)
+    changed = [w if i not in (3, 7) else "other" for i, w in enumerate(short)]
+    rows = [(1, " ".join([*words(rng, 9), *changed, *words(rng, 9)])), (2, " ".join([*words(rng, 30), *long[500:524], *words(rng, 30)]))]
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1): 9, (2, 2): 24}
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello é"), (1, 70, "ann", None), (2, 0, None, "x"), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, None, "cy", "lost")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
