@@ -172,8 +172,8 @@ def _small(df: DataFrame, side: DataFrame) -> DataFrame:
 def _shingles(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(unit, shingles array) of wanted paragraphs (id, line, unit), once a unit."""
     lists = wanted.groupBy("id").agg(F.collect_set(F.struct("line", "unit")).alias("want"))  # bounded by a document's own lines
-    docs = df.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    chosen = docs.join(_small(docs, lists), "id").select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
+    docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
+    chosen = docs.join(_small(docs, lists), F.col("owner").eqNullSafe(F.col("id"))).select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
 
     def run(batches):
         for batch in batches:

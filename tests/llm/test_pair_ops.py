@@ -241,6 +241,15 @@ def test_passage_in_a_removed_line_stays_elsewhere(spark):
     assert kept == {1: rows[0][1], 2: "", 3: rows[2][1]}
 
 
+def test_near_paragraphs_of_null_ids(spark):
+    rng = random.Random(19)
+    line = words(rng, 60)
+    near = [*line[:57], "changed", *line[58:]]
+    rows = [(None, " ".join(line)), (1, " ".join(line)), (2, " ".join(near))]
+    got = {(r["doc_id"], r["n_places"], r["keeps"]) for r in paragraph_dedup.repeated_passages(frame(spark, rows)).filter("line >= 0").collect()}
+    assert got == {(None, 3, True), (1, 3, False), (2, 3, False)}
+
+
 def laid(rows, items):
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     found = {}
