@@ -2,7 +2,7 @@
 
 The bytes of a word, read as Latin-1, run through an Aho-Corasick automaton of all tokens.  From the longest match at a
 position the encoder goes on as long as each new token may stand behind its left neighbour; a dead end gives up the
-last token and tries the next shorter one.  A sequence in which every adjacent pair is its own BPE encoding is the encoding
+last token and tries the next shorter one, and is entered once.  A sequence in which every adjacent pair is its own BPE encoding is the encoding
 of the whole, so this gives the same merges as the merge loop.  Whether a pair is compatible is memoised.
 """
 
@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -22,22 +24,50 @@ from pyspark.sql import DataFrame
 from acrelane.llm.common import arrow_map, col, map_texts
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries that a worker keeps of words that it has met.
-CACHE_WORDS = 250_000
+#: Entries that a worker keeps of words that it has met, and as many older ones.
+CACHE_WORDS = 200_000
 #: Pairs of tokens whose compatibility a worker keeps.
 KEPT_PAIRS = 2_000_000
 #: A word of more bytes is encoded each time it comes and not kept.
 CACHE_BYTES = 200
-#: No white space of any kind that the split pattern or Python knows of stands next to such a space.
-_SPACED = re.compile(r"\s |  | \s|^ | $")
+#: Marks that often end a word.
+MARKS = ".,;:!?"
+#: Between two characters that are not white space, a space always begins a match of the split pattern.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Spaces(Exception):
+    """A space stands beside other white space, so the text must not be cut at every space."""
+
+
+class _Memo(dict):
+    """Results of make by key, for short keys.  When CACHE_WORDS are kept they become the old ones, of which those that still occur are taken over."""
+
+    def __init__(self, make: Callable):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+def _joined(*parts: tuple[tuple[int, ...], str, bytes]) -> tuple[tuple[int, ...], str, bytes]:
+    ids, decimal, data = zip(*parts)
+    return tuple(chain.from_iterable(ids)), ",".join(decimal), b"".join(data)
+
+
 class BytePairEncoder:
     """Encoder and decoder of one rank file."""
 
@@ -54,9 +84,15 @@ class BytePairEncoder:
             self.shorter[ranks[token]] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in own), -1)
         self.automaton.make_automaton()
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        self.reach = max(map(len, own))
         #: Memo of whether two tokens may stand side by side.
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of words; of pieces of a text the ids, their decimal text and the bytes that they decode to.
+        self.known = _Memo(lambda word: tuple(self.encode_word(word.encode())))
+        self.pieces = _Memo(self._piece)
+        self.head = _Memo(lambda piece: self._common(self.head, "", piece))
+        self.spaced = _Memo(lambda piece: self._common(self.spaced, " ", piece))
+        self.marks = {mark: self._piece(mark) for mark in MARKS}
 
     def _merge(self, word: bytes) -> list[int]:
         """The defining merge loop; for single tokens and pairs of them only, hence short."""
@@ -87,20 +123,22 @@ class BytePairEncoder:
         text = word.decode("latin-1")
         greedy = [rank for _, rank in self.automaton.iter_long(text)]
         known = self.pairs
-        for pair in zip(greedy, greedy[1:]):
+        for i, pair in enumerate(zip(greedy, greedy[1:])):
             good = known.get(pair)
             if good is None:
                 good = self._fits(pair)
             if not good:
-                return self._backtrack(text)
+                return self._backtrack(text, greedy[: i + 1], greedy[i + 1])
         return greedy
 
-    def _backtrack(self, text: str) -> list[int]:
-        """From the longest match at each position, shorter tokens first and then other left neighbours."""
-        n, longest, lengths, shorter, known = len(text), self.automaton.iter_long, self.lengths, self.shorter, self.pairs
-        out: list[int] = []
+    def _longest(self, text: str, at: int) -> int:
+        return next(self.automaton.iter_long(text[at : at + self.reach]))[1]
+
+    def _backtrack(self, text: str, out: list[int], token: int) -> list[int]:
+        """Goes on behind the good tokens out, before token: from the longest match at each position to shorter tokens, then to other left neighbours."""
+        n, lengths, shorter, known = len(text), self.lengths, self.shorter, self.pairs
         dead = bytearray(n + 1)
-        at, token, last = 0, next(longest(text, 0))[1], -1
+        at, last = sum(lengths[t] for t in out), out[-1]
         while True:
             end = at + lengths[token]
             good = not dead[end]
@@ -112,7 +150,7 @@ class BytePairEncoder:
                 out.append(token)
                 if end == n:
                     return out
-                at, last, token = end, token, next(longest(text, end))[1]
+                at, last, token = end, token, self._longest(text, end)
                 continue
             token = shorter[token]
             while token < 0:  # nothing fits here behind the last token
@@ -123,41 +161,50 @@ class BytePairEncoder:
                 at -= lengths[gone]
                 token, last = shorter[gone], out[-1] if out else -1
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        known = self.known
-        got = known.get(piece)
-        if got is None:
-            ids: list[int] = []
-            for word in self.words(piece):
-                got = known.get(word)
-                if got is None:
-                    got = tuple(self.encode_word(word.encode()))
-                    self._keep(word, got)
-                ids += got
-            got = tuple(ids)
-            self._keep(piece, got)
-        return got
-
-    def _keep(self, word: str, ids: tuple[int, ...]) -> None:
-        if len(word) <= CACHE_BYTES:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[word] = ids
+    @staticmethod
+    def _sound(piece: str) -> str:
+        """piece, if it has no white space at an end."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Spaces
+        return piece
+
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str, bytes]:
+        return self._entry(tuple(chain.from_iterable(map(self.known.__getitem__, self.words(piece)))))
+
+    def _entry(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
+        return ids, ",".join(map(str, ids)), self.decode(ids)
+
+    def _common(self, memo: _Memo, before: str, piece: str) -> tuple[tuple[int, ...], str, bytes]:
+        """A piece, which stands behind before, by its parts: letters are one match, and so is a mark behind them."""
+        if piece.isalpha():
+            return self._entry(tuple(self.encode_word((before + piece).encode())))
+        mark = self.marks.get(piece[-1:])
+        if mark and piece[:-1].isalpha():
+            return _joined(memo[piece[:-1]], mark)
+        return self._piece(before + self._sound(piece))
+
+    def _parts(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        """The text's pieces, encoded.  A space between two characters that are not white space begins a match, so texts are cut there."""
+        first, *others = text.split(" ")
+        try:
+            return [self.head[first], *map(self.spaced.__getitem__, others)]
+        except _Spaces:
+            first, *others = _SAFE.split(text)
+            return [self.pieces[piece] for piece in (first, *(" " + p for p in others)) if piece]
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text.  A space between two characters that are not white space always begins a match, so the text is cut there."""
-        known, piece_of = self.known, self._piece
-        if _SPACED.search(text):
-            pieces = _SAFE.split(text)
-        else:
-            pieces = text.split(" ")
-        out = list(piece_of(pieces[0]))
-        for piece in pieces[1:]:
-            piece = " " + piece
-            out += known.get(piece) or piece_of(piece)
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
+        """Ids of a text."""
+        return [i for ids, _, _ in self._parts(text) for i in ids]
+
+    def round_trip(self, text: str) -> tuple[int, str, bytes]:
+        """Number of ids, the ids in decimal joined by commas, and the bytes that they decode to."""
+        parts = self._parts(text)
+        if not parts:
+            return 0, "", b""
+        ids, decimal, data = zip(*parts)
+        return sum(map(len, ids)), ",".join(decimal), b"".join(data)
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -207,10 +254,10 @@ def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         bpe = encoder(_path(ranks))
         counts, ids_sha, text_sha = [], [], []
         for text in texts:
-            ids = bpe.encode(text or "")
-            counts.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            n, decimal, data = bpe.round_trip(text or "")
+            counts.append(n)
+            ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
+            text_sha.append(hashlib.sha256(data).hexdigest())
         return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
     kind = df.select(col(id_col)).schema[0].dataType.simpleString()

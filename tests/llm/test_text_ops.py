@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -61,6 +62,32 @@ def test_bpe_on_random_strings(multi):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_bpe_of_long_matches_is_exact_and_linear(multi):
+    own = bpe.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rng = random.Random(2)
+    for letters in ("abcdefghij", "aé漢🙂", "a", "=-"):
+        text = "".join(rng.choice(letters) for _ in range(30_000))
+        assert own.encode(text) == multi.encode_ordinary(text)
+    seconds = []
+    for n in (50_000, 200_000):
+        text = "".join(rng.choice("klmnopqrst") for _ in range(n))
+        own.encode(text[:5000])
+        began = time.process_time()
+        assert own.decode(own.encode(text)) == text.encode()
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * seconds[0] + 0.2
+
+
+def test_bpe_memo_keeps_what_recurs(multi, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    own = bpe.BytePairEncoder(ranks("byte_bpe_multi_50k.tiktoken"))
+    rng = random.Random(3)
+    for _ in range(200):
+        text = " ".join(rng.choice(["the", "a.", "b\nc", "d'll", "12", "x" * 300, f"w{rng.randrange(400)},"]) for _ in range(60))
+        assert own.encode(text) == multi.encode_ordinary(text)
+    assert len(own.spaced) <= 50 and len(own.spaced.old) <= 50
+
+
 def test_bpe_edges(spark, edge, multi):
     got = sorted((r["doc_id"] or -1, tuple(r["ids"])) for r in bpe.encode_texts(edge).collect())
     assert got == sorted((i or -1, tuple(multi.encode_ordinary(t or ""))) for i, t in EDGE)
