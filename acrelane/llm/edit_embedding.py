@@ -229,7 +229,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = [sorted(rng.sample(range(SAMPLES), band_digits)) for _ in range(bands)]
     keys = F.array(*[F.concat(F.lit(f"{b}:"), *[F.substring("print", p + 1, 1) for p in ps]) for b, ps in enumerate(places)])
     rows = nodes.select(F.col("print").alias("node"), F.explode(keys).alias("key"))
-    edges = bucket_links(rows, lambda pairs: pairs.withColumn("likeness", likeness(F.col("a"), F.col("b"))), least)
+    # a share s of equal digits is a Jaccard similarity of s / (2 - s) of the sets of (place, digit)
+    digits = F.transform(F.split("print", ""), lambda c, i: (i * 16 + F.conv(c, 16, 10).cast("int")).cast("bigint"))
+    edges = bucket_links(rows, nodes.select(F.col("print").alias("node"), digits.alias("items")), least / (2 - least))
     parts = connected_components(edges.distinct())
     joined = nodes.join(parts.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     named = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))

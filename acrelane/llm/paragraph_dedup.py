@@ -3,7 +3,7 @@
 Paragraphs (lines of at least MIN_WORDS words, as many as a shingle has) are compared by MinHash over five-word shingles: bands of signatures, a join of colliding
 paragraphs, exact Jaccard similarity, components.  A passage may also stand in the middle of longer lines that are not alike.
 For these, every text gives winnowed windows: of each WINDOW_SPAN successive windows of WINDOW_WORDS words the one with the least hash,
-so that two texts which share WINDOW_SPAN + WINDOW_WORDS - 1 words in a row (51) always share a window.  A shared window is an anchor: its two
+so that two texts which share PASSAGE_WORDS (51) words in a row always share a window.  A shared window is an anchor: its two
 texts are laid side by side there, and the whole run of equal words around it is the passage.
 """
 
@@ -15,11 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acrelane.llm.common import arrow_map, col, slices, written
-from acrelane.llm.components import PAIR_BUCKET, bucket_links, connected_components
+from acrelane.llm.components import bucket_links, connected_components
 
 SHINGLE_WORDS, LEAST_JACCARD = 5, 0.8
 #: Shorter lines hold no shingle; with a lower min_words they are compared as wholes.
@@ -27,6 +27,8 @@ MIN_WORDS = SHINGLE_WORDS
 #: 10 bands of 3: a pair of similarity 0.8 collides in one of them with probability 0.999.
 BANDS, BAND_ROWS = 10, 3
 WINDOW_WORDS, WINDOW_SPAN = 20, 32
+#: A shorter run of equal words is no passage, if its window stands at two places only; at more, two others may share a longer one around it.
+PASSAGE_WORDS = WINDOW_WORDS + WINDOW_SPAN - 1
 #: A side of a join that is counted to have at most so many rows (a few numbers, or one document's line numbers) is broadcast.
 SMALL_SIDE = 250_000
 #: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): each character is a word.
@@ -192,24 +194,6 @@ def _shingles(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
     return arrow_map(chosen, run, "unit bigint, shingles array<bigint>").dropDuplicates(["unit"])
 
 
-def _split_crowds(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """met(key, node) with the members of crowded buckets dealt by their rarest shingles instead of by bands.
-
-    Paragraphs that hold one very common passage crowd in a band though they are not alike.  Two sets that are alike share one of the
-    size - ceil(least * size) + 1 rarest shingles of each (by how often they occur in crowds), so these are their keys: no pair of a crowd is
-    lost, and a common passage gives no key unless it is most of the paragraph.
-    """
-    sizes = written(met.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    calm = met.join(sizes.filter(F.col("n") <= PAIR_BUCKET).select("key"), "key", "left_semi").select("key", "node")
-    crowd = met.join(sizes.filter(F.col("n") > PAIR_BUCKET).select("key"), "key", "left_semi").select(F.col("node").alias("unit")).distinct()
-    rows = written(sets.join(crowd, "unit").select("unit", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "crowds")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    ranked = rows.join(often, "shingle").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("xs"))  # bounded by a paragraph
-    rare = F.slice("xs", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
-    keys = ranked.select(F.explode(F.transform(rare, lambda x: F.when(x["often"] > 1, F.xxhash64(F.lit(3), x["shingle"])))).alias("key"), F.col("unit").alias("node")).filter("key is not null")
-    return calm.unionByName(keys)
-
-
 def equal_run(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int = 256) -> tuple[int, int]:
     """How many words before a[i] and b[j], and from there on, are equal in a row."""
     back = ahead = 0
@@ -245,25 +229,25 @@ def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> Data
     placed = spots.join(_small(spots, firsts), "unit")
     # the first place is laid beside itself only if several rows are alike
     alone = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start")) & (F.col("copies") == 1)
-    placed = written(placed.filter(~alone).select("id", "start", "copies", F.col("first.id").alias("other"), F.col("first.start").alias("at"), F.col("first.copies").alias("others"), "unit"), "anchors")
+    placed = written(placed.filter(~alone).select("id", "start", "copies", F.col("first.id").alias("other"), F.col("first.start").alias("at"), F.col("first.copies").alias("others"), "unit", "n"), "anchors")
     few = placed.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    pairs = placed.groupBy("id", "other").agg(F.collect_list(F.struct("start", "at", "unit", "copies", "others")).alias("xs"))  # bounded by a document's own windows
+    pairs = placed.groupBy("id", "other").agg(F.collect_list(F.struct("start", "at", "unit", "copies", "others", "n")).alias("xs"))  # bounded by a document's own windows
     docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
     mine = docs.join(F.broadcast(pairs) if few else pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
     heads = placed.select(F.col("other").alias("head")).distinct()
     theirs = docs.join(_small(docs, written(heads, "heads")), F.col("owner").eqNullSafe(F.col("head")), "left_semi").withColumnRenamed("text", "first_text")
     laid = mine.join(theirs, F.col("other").eqNullSafe(F.col("owner")))
-    laid = laid.select("text", "first_text", "id", "other", *[F.col(f"xs.{c}").alias(f"x_{c}") for c in ("start", "at", "unit", "copies", "others")])
+    laid = laid.select("text", "first_text", "id", "other", *[F.col(f"xs.{c}").alias(f"x_{c}") for c in ("start", "at", "unit", "copies", "others", "n")])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 0):
                 row, numbers = [], []
                 texts = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                for k, (pair, starts, ats, units_, copies, others) in enumerate(zip(texts, *(c.to_pylist() for c in part.columns[4:]), strict=True)):
+                for k, (pair, starts, ats, units_, copies, others, places) in enumerate(zip(texts, *(c.to_pylist() for c in part.columns[4:]), strict=True)):
                     (a, sums), (b, _) = (_hashed(t or "") for t in pair)
                     done = {}  # by diagonal, the end of the last run
-                    for i, j, unit, n_a, n_b in sorted(zip(starts, ats, units_, copies, others, strict=True)):
+                    for i, j, unit, n_a, n_b, n_places in sorted(zip(starts, ats, units_, copies, others, places, strict=True)):
                         if i < done.get(i - j, 0) or i + WINDOW_WORDS > len(a) or j + WINDOW_WORDS > len(b):
                             continue
                         if stretch_hashes(sums, np.array([i]), WINDOW_WORDS).view(np.int64)[0] != unit:  # an id may come with several texts
@@ -271,8 +255,10 @@ def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> Data
                         back, ahead = equal_run(a, b, i, j)
                         if ahead < WINDOW_WORDS:
                             continue
-                        done[i - j] = i + ahead
                         n = back + ahead
+                        if n < PASSAGE_WORDS and n_places == 2:
+                            continue
+                        done[i - j] = i + ahead
                         row.append(k)
                         numbers.append((i - back, j - back, n, int(stretch_hashes(sums, np.array([i - back]), n).view(np.int64)[0]), n_a, n_b))
                 at = pa.array(row, pa.int64())
@@ -285,11 +271,6 @@ def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> Data
     return both.groupBy("id", "start", "words", "unit").agg(F.max("copies").alias("copies"))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
-
-
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_JACCARD, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line, start_word, n_words, component_id, n_places, keeps) of every paragraph or passage that occurs more than once.
 
@@ -308,14 +289,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = written(bands.join(_small(bands, written(keys, "keys")), "key"), "collisions")
     nodes = written(met.select(F.col("node").alias("unit")).distinct(), "nodes")
     wanted = lines.join(_small(lines, nodes), "unit").groupBy("unit").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line", "unit")
-    sets = written(_shingles(df, id_col, text_col, written(wanted, "wanted")), "shingles")
-
-    def measure(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("unit").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("likeness"))
-
-    edges = bucket_links(_split_crowds(met, sets, least), measure, least)
-    parts = written(connected_components(edges), "parts")
+    sets = written(_shingles(df, id_col, text_col, written(wanted, "wanted")), "shingles").select(F.col("unit").alias("node"), F.col("shingles").alias("items"))
+    parts = written(connected_components(bucket_links(met.select("key", "node"), sets, least)), "parts")
     # groups: paragraphs by component, windows by their own hash
     named = lines.join(_small(lines, parts), F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
     passages = _runs(df, id_col, text_col, places.filter("line < 0").select("id", "start", "unit"))

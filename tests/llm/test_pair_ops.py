@@ -51,15 +51,49 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_bucket_links_lose_nothing(spark):
+def near_sets(rng, n, size, spots):
+    """Copies of one base set of which runs of items are replaced, so that many pairs lie just above and just below the threshold."""
+    base = rng.sample(range(1 << 40), size)
+    out = []
+    for _ in range(n):
+        items = list(base)
+        for _ in range(rng.choice(spots)):
+            at, other = rng.randrange(size), rng.choice([rng.randrange(1 << 40), rng.randrange(5)])
+            for k in range(at, min(size, at + 5)):
+                items[k] = other * 100 + k - at
+        out.append(sorted(set(items[: size - rng.choice([0, 0, 0, 2])])))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [2, 16, 1000])
+def test_bucket_links_lose_nothing(spark, bucket):
     rng = random.Random(2)
-    rows = [(k, rng.randrange(120)) for k in range(3) for _ in range(90)]
-    near = lambda pairs: pairs.selectExpr("a", "b", "1 - abs(a - b) / 200 as likeness")
-    want = closed({n for _, n in rows}, [(a, b) for k, a in rows for j, b in rows if k == j and a != b and abs(a - b) <= 1])
-    for rounds, bucket in ((32, 4), (1, 4), (32, 1000)):
-        df = spark.createDataFrame(sorted(set(rows)), "key long, node long")
-        got = {r["node"]: r["component"] for r in components.connected_components(components.bucket_links(df, near, 1 - 1.5 / 200, bucket, rounds)).collect()}
-        assert all(got.get(n, n) == want[n] for n in want)
+    groups = [near_sets(rng, 90, 56, [1]), near_sets(rng, 60, 56, [0, 1, 2]), near_sets(rng, 60, 30, [0, 1]), near_sets(rng, 40, 8, [0, 1]), [sorted(rng.sample(range(60), 12)) for _ in range(70)], near_sets(rng, 30, 120, [3, 8])]
+    sets = {node: items for node, items in enumerate(x for g in groups for x in g)}
+    ends = [sum(map(len, groups[:k])) for k in range(len(groups) + 1)]
+    rows = {(k, node) for k in range(len(groups)) for node in range(ends[k], ends[k + 1])}
+    rows |= {(100 + k, rng.randrange(len(sets))) for k in range(4) for _ in range(80)}  # buckets that mix them
+    members = defaultdict(list)
+    for k, node in rows:
+        members[k].append(node)
+    pairs = {(a, b) for nodes in members.values() for a in nodes for b in nodes if a < b}
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) - 1e-9
+    linked = [p for p in pairs if alike(*p)]
+    want = closed(sets, linked)
+    assert len(set(want.values())) > 100 and len(linked) > 300
+    edges = components.bucket_links(spark.createDataFrame(sorted(rows), "key long, node long"), spark.createDataFrame(list(sets.items()), "node long, items array<long>"), 0.8, bucket)
+    found = {(min(r), max(r)) for r in edges.collect()}
+    assert all(alike(*p) for p in found)
+    assert closed(sets, found) == want
+
+
+def test_bucket_links_do_not_pair_crowds(spark):
+    rng = random.Random(12)
+    sets = list(enumerate(near_sets(rng, 1500, 56, [1])))
+    rows = [(k, node) for k in range(3) for node, _ in sets]
+    edges = components.bucket_links(spark.createDataFrame(rows, "key long, node long"), spark.createDataFrame(sets, "node long, items array<long>"), 0.8)
+    assert edges.count() < 60 * len(sets)
+    assert components.bucket_links(spark.createDataFrame([], "key long, node long"), spark.createDataFrame(sets, "node long, items array<long>"), 0.8).count() == 0
 
 
 def plain_simhash(text):
@@ -230,6 +264,15 @@ def test_passages_are_whole_and_removed(spark):
     assert kept == {3: (rows[0][1], "extra"), 4: (" ".join(own[2]) + " ,\n" + " ".join(own[3]), "extra"), 5: (" ".join([*other, "and", *own[5]]), "extra"), 6: (rows[3][1], "extra")}
 
 
+def test_short_runs_are_no_passages(spark):
+    rng = random.Random(20)
+    short, inner = words(rng, 40), words(rng, 30)
+    wide = [*words(rng, 25), *inner, *words(rng, 25)]
+    rows = [(1, " ".join([*words(rng, 30), *short, *words(rng, 30)])), (2, " ".join([*words(rng, 33), *short, *words(rng, 30)])), (3, " ".join([*words(rng, 30), *inner, *words(rng, 30)])), (4, " ".join([*words(rng, 40), *wide])), (5, " ".join([*wide, *words(rng, 40)]))]
+    got = paragraph_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert {1, 2}.isdisjoint(r["doc_id"] for r in got) and {4, 5} <= {r["doc_id"] for r in got}
+
+
 def test_passage_in_a_removed_line_stays_elsewhere(spark):
     rng = random.Random(17)
     line, new = words(rng, 400), words(rng, 52)
