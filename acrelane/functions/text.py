@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 #: Addresses that stand for none.  Fixed values.
 PLACEHOLDERS = ("n/a", "na", "none", "unknown", "null", "-", "--")
 #: Words that company names lose anywhere.  Fixed values.
-COMPANY_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "limited", "co", "company", "corp", "corporation")
+COMPANY_SUFFIXES = (
+    "inc", "inc.", "incorporated",
+    "corp", "corp.", "corporation",
+    "llc", "l.l.c", "l.l.c.", "ltd", "ltd.",
+    "co", "co.", "company",
+)
 TRUE_WORDS, FALSE_WORDS = ("t", "true", "y", "yes", "1"), ("f", "false", "n", "no", "0")
 
 

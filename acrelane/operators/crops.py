@@ -34,7 +34,7 @@ def region_spans(regions: DataFrame, rows_from: int = 0) -> DataFrame:
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     # rows whose centre y satisfies low <= y < high
     first, last = F.ceil(low - 0.5).cast("int"), (F.ceil(high - 0.5) - 1).cast("int")
-    crossing = edge.filter(first <= last).select("region_id", F.explode(F.sequence(F.greatest(first, F.lit(rows_from)), last)).alias("row_no"), "ax", "ay", "bx", "by")
+    crossing = edge.filter(F.greatest(first, F.lit(rows_from)) <= last).select("region_id", F.explode(F.sequence(F.greatest(first, F.lit(rows_from)), last)).alias("row_no"), "ax", "ay", "bx", "by")
     x = F.col("ax") + (F.col("row_no") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
     line = crossing.groupBy("region_id", "row_no").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # bounded by a region's edges
     pair = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", 2 * i).alias("x0"), F.get("xs", 2 * i + 1).alias("x1")))
@@ -42,18 +42,18 @@ def region_spans(regions: DataFrame, rows_from: int = 0) -> DataFrame:
 
 
 def zonal_counts(pixels: DataFrame, regions: DataFrame, nodata: int | None = None, skip: Sequence[int] = SKIP_CODES, min_pixels: int = 10) -> DataFrame:
-    """(region_id, code, pixel_count, acres) of pixels (col_no, row_no, code) whose centre lies in a region.
+    """(region_id, code, pixel_count, acres) of pixels (col_no, row_no, code) whose centre lies in a region; with a column year, by year too.
 
-    Pixels of one (row, column block) are joined with the spans that touch the block, so a join key is never a whole row.
+    Pixels are not shuffled where the spans are few enough for Spark to broadcast them; else pixels of one (row, column block) are joined with the spans that touch the block, so a join key is never a whole row.
     """
     width = 256
     spans = region_spans(regions)
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))))
     dots = pixels if nodata is None else pixels.filter(F.col("code") != nodata)
-    # counts by block first: pixels of one place and code are one row
-    dots = dots.groupBy("row_no", "col_no", "code").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("col_no") / width))
+    years = ["year"] if "year" in pixels.columns else []
+    dots = dots.select("row_no", "col_no", "code", *years, F.floor(F.col("col_no") / width).alias("block"))
     inside = dots.join(spans, ["row_no", "block"]).filter((F.col("col_no") + 0.5 >= F.col("x0")) & (F.col("col_no") + 0.5 < F.col("x1")))
-    counts = inside.groupBy("region_id", "code").agg(F.sum("n").alias("pixel_count"))
+    counts = inside.groupBy("region_id", *years, "code").agg(F.count("*").alias("pixel_count"))
     return keep_crop_counts(counts, skip, min_pixels).withColumn("acres", pixels_to_acres(F.col("pixel_count")))
 
 

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from acrelane.functions.geo import mercator_metres
 from acrelane.functions.text import clean_street, longest, norm_company, norm_text, text_fold
+from acrelane.shared import with_ordinal, written
 
 #: Weights of filled fields in a row's score.  Fixed values.
 COMPANY_WEIGHTS = {"name": 3, "website": 2, "phone": 2, "notes": 2}
-FACILITY_WEIGHTS = {"name": 3, "address": 3, "city": 2, "state": 1, "postal_code": 1, "lat": 2, "lon": 2, "phone": 1, "website": 1, "notes": 1}
+FACILITY_WEIGHTS = {"description": 5, "notes": 4, "website": 2, "phone": 2, "email": 2, "address": 3, "city": 2, "state": 2, "postal_code": 2, "lat": 2, "lon": 2, "geom": 3}
+#: What a facility's score gains by being active, and by a place that was found from its address.  Fixed values.
+ACTIVE_BONUS, FROM_ADDRESS_BONUS = 2, 1
 
 
 def filled(c: str) -> Column:
@@ -27,9 +30,21 @@ def score(weights: dict[str, int]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(filled(c), w).otherwise(0) for c, w in weights.items()])
 
 
-def _members(rows: DataFrame, group: Sequence[str], id_col: str, fields: Sequence[str], weights: dict[str, int]) -> DataFrame:
+def facility_score(columns: Sequence[str]) -> Column:
+    """A facility row's completeness by the columns that there are; without geom, a point counts as such."""
+    parts = [score({c: w for c, w in FACILITY_WEIGHTS.items() if c in columns})]
+    if "geom" not in columns and {"lon", "lat"} <= set(columns):
+        parts.append(F.when(filled("lon") & filled("lat"), FACILITY_WEIGHTS["geom"]).otherwise(0))
+    if "status" in columns:
+        parts.append(F.when(F.upper(F.trim("status")) == "ACTIVE", ACTIVE_BONUS).otherwise(0))
+    if "geom_from_address" in columns:
+        parts.append(F.when(F.col("geom_from_address").cast("boolean"), FROM_ADDRESS_BONUS).otherwise(0))
+    return reduce(lambda a, b: a + b, parts)
+
+
+def _members(rows: DataFrame, group: Sequence[str], id_col: str, fields: Sequence[str], points: Column) -> DataFrame:
     """(group, xs): members of groups of two or more, best score first, then lowest id."""
-    members = F.array_sort(F.collect_list(F.struct(F.negative(score(weights)).alias("rank"), F.col(id_col).alias("id"), *[F.col(f) for f in fields])))
+    members = F.array_sort(F.collect_list(F.struct(F.negative(points).alias("rank"), F.col(id_col).alias("id"), *[F.col(f) for f in fields])))
     return rows.groupBy(*group).agg(members.alias("xs")).filter("size(xs) > 1")
 
 
@@ -43,7 +58,7 @@ def propose_companies(company: DataFrame) -> DataFrame:
     The base has the best score (ties: lowest id); website and phone are the first that are filled, notes are folded.
     """
     rows = company.withColumn("key", norm_company(F.col("name"))).filter("key <> ''")
-    g = _members(rows, ["key"], "company_id", ["name", "website", "phone", "notes"], COMPANY_WEIGHTS)
+    g = _members(rows, ["key"], "company_id", ["name", "website", "phone", "notes"], score(COMPANY_WEIGHTS))
     return g.select("key", F.get("xs", F.lit(0))["id"].alias("base_id"), F.array_sort(F.transform("xs", lambda x: x["id"])).alias("member_ids"), F.get("xs", F.lit(0))["name"].alias("name"), _first_filled("website").alias("website"), _first_filled("phone").alias("phone"), text_fold(F.transform("xs", lambda x: x["notes"])).alias("notes"))
 
 
@@ -104,7 +119,7 @@ def propose_facilities(groups: DataFrame) -> DataFrame:
     """(group_key, base_id, member_ids, fields): base by weighted completeness; longest name; address parts and contacts base first; notes folded,
     longest first; coordinates base first; status ACTIVE; address in title case."""
     fields = ["name", "address", "city", "state", "postal_code", "phone", "website", "notes", "lon", "lat"]
-    g = _members(groups, ["group_key"], "facility_id", fields, FACILITY_WEIGHTS)
+    g = _members(groups, ["group_key"], "facility_id", fields, facility_score(groups.columns))
     placed = F.get(F.filter("xs", lambda x: x["lon"].isNotNull() & x["lat"].isNotNull()), F.lit(0))
     notes = F.transform(F.array_sort(F.transform("xs", lambda x: F.struct(F.negative(F.coalesce(F.length(x["notes"]), F.lit(0))).alias("l"), x["id"].alias("id"), x["notes"].alias("t")))), lambda x: x["t"])
     street = F.get(F.filter(F.transform("xs", lambda x: clean_street(x["address"])), lambda v: v != ""), F.lit(0))
@@ -165,17 +180,31 @@ def deactivate(company: DataFrame, ids: DataFrame, facility: DataFrame, on_confl
 def apply_merge(facility: DataFrame, proposals: DataFrame, accept: Column | None = None) -> dict[str, DataFrame]:
     """New versions: facility (the target with the proposed fields, the others INACTIVE), ids (old_id, new_id), archive.
 
-    The target is the proposal's base, unless a member already holds the proposed key (company, name, city, state): then that one, lowest id.
+    The target is the member that already holds the proposed key (the group's company, name, city, state; null city and state as ''), else another
+    row that holds it, lowest ids first; else a new row with the next free id, in order of group_key; groups with one key share it.
     """
     chosen = proposals if accept is None else proposals.filter(accept)
     member = chosen.select("group_key", F.explode("member_ids").alias("facility_id"), "base_id", F.col("name").alias("_name"), F.col("city").alias("_city"), F.col("state").alias("_state"))
-    held = facility.select("facility_id", "name", "city", "state").join(member, "facility_id")
-    holds = F.col("name").eqNullSafe(F.col("_name")) & F.col("city").eqNullSafe(F.col("_city")) & F.col("state").eqNullSafe(F.col("_state"))
-    target = held.groupBy("group_key").agg(F.coalesce(F.min(F.when(holds, F.col("facility_id"))), F.min("base_id")).alias("target_id"))
+    company = member.join(facility.select(F.col("facility_id").alias("base_id"), F.col("company_id").alias("_company")), "base_id").select("group_key", "_company").distinct()
+    wanted = chosen.join(company, "group_key").select("group_key", "_company", F.col("name").alias("_name"), F.coalesce("city", F.lit("")).alias("_city"), F.coalesce("state", F.lit("")).alias("_state"))
+    on = (F.col("company_id") == F.col("_company")) & (F.col("name") == F.col("_name")) & (F.coalesce("city", F.lit("")) == F.col("_city")) & (F.coalesce("state", F.lit("")) == F.col("_state"))
+    holders = facility.select("facility_id", "company_id", "name", "city", "state").join(wanted, on).select("group_key", "facility_id")
+    own = holders.join(member.select("group_key", "facility_id", F.lit(True).alias("_own")), ["group_key", "facility_id"], "left")
+    target = own.groupBy("group_key").agg(F.min(F.struct(F.col("_own").isNull(), "facility_id"))["facility_id"].alias("target_id"))
+    fresh = wanted.join(target, "group_key", "left_anti")
+    key = ["_company", "_name", "_city", "_state"]
+    numbered = with_ordinal(fresh.groupBy(*key).agg(F.min("group_key").alias("_lead")), "_lead", "_no").toDF(*[f"{c}_n" for c in key], "_lead", "_no")
+    fresh = fresh.join(numbered, [F.col(c).eqNullSafe(F.col(f"{c}_n")) for c in key])
+    last = facility.agg(F.coalesce(F.max("facility_id"), F.lit(0)).alias("_last"))
+    fresh = fresh.join(F.broadcast(last)).select("group_key", (F.col("_last") + F.col("_no")).alias("target_id"))  # last is one row
+    target = written(target.unionByName(fresh), "targets")
     fields = ["name", "address", "city", "state", "postal_code", "phone", "website", "notes", "lon", "lat", "status"]
-    new = chosen.join(target, "group_key").select(F.col("target_id").alias("facility_id"), *[F.col(c).alias(f"_{c}") for c in fields])
+    new = chosen.join(target, "group_key").join(company, "group_key").select(F.col("target_id").alias("facility_id"), "group_key", "_company", *[F.col(c).alias(f"_{c}") for c in fields])
+    # several groups may lead to one row, which takes the fields of the last
+    new = new.groupBy("facility_id").agg(F.max_by(F.struct(*new.columns[2:]), "group_key").alias("_x")).select("facility_id", "_x.*")
     ids = member.join(target, "group_key").filter("facility_id <> target_id").select(F.col("facility_id").alias("old_id"), F.col("target_id").alias("new_id"))
-    rows = facility.join(new, "facility_id", "left").join(ids, F.col("facility_id") == F.col("old_id"), "left")
+    rows = facility.join(new, "facility_id", "full").join(ids, F.col("facility_id") == F.col("old_id"), "left")
     values = {c: F.when(F.col("_status").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields if c != "status"}
+    values["company_id"] = F.coalesce("company_id", "_company")
     values["status"] = F.when(F.col("_status").isNotNull(), F.col("_status")).when(F.col("old_id").isNotNull(), "INACTIVE").otherwise(F.col("status"))
     return {"facility": rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in facility.columns]), "ids": ids, "archive": archive(facility, ids, "facility_id", "facility merge")}

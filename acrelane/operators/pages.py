@@ -11,11 +11,23 @@ from pyspark.sql import functions as F
 from acrelane.functions.text import page_text
 from acrelane.shared import written
 
-#: Words that speak for a page of grain bids.  Fixed values; parameters of score_pages.
-BID_WORDS = ("cash bid", "cash price", "grain bid", "bids", "basis", "futures", "delivery", "new crop", "market")
-CROP_WORDS = ("wheat", "corn", "soybean", "milo", "sorghum", "sunflower")
-SKIP_FILES = r"(?i)\.(pdf|jpg|jpeg|png|gif|css|js|zip|xml|ico|svg|mp4|docx?|xlsx?)(\?.*)?$"
-SKIP_SCHEMES = r"(?i)^(#|mailto:|tel:|javascript:)"
+#: Words that speak for a page of grain bids, crops, the crops that count once more, and how prices are written.  Fixed values.
+BID_WORDS = (
+    "cash bid", "cash price", "cash grain", "grain bid", "grain price",
+    "new crop", "new crop bid", "new crop price",
+    "corn bid", "corn price", "corn cash",
+    "milo bid", "milo price", "milo cash", "sorghum bid", "sorghum price",
+    "wheat bid", "wheat price", "wheat cash",
+    "grain prices", "commodity prices", "bid sheet", "price sheet",
+    "daily bid", "daily price", "market price",
+)
+CROP_WORDS = ("corn", "milo", "sorghum", "wheat", "grain")
+NAMED_CROPS = ("corn", "milo", "sorghum", "wheat")
+PRICES = (r"\$\d+\.?\d*", r"\d+\.?\d*\s*/\s*(bu|bushel|cwt|ton)", r"\d+\.?\d*\s*per\s*(bushel|bu|cwt|ton)")
+#: An anchor's address, in double or single quotes or in none.
+HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*(["']?)((?<=")[^"]*|(?<=')[^']*|(?<=[=\s])[^\s"'>]+)"""
+#: Links that are not followed.  Fixed values.
+SKIP = r"(?i)\.(pdf|doc|docx|xls|xlsx|zip|jpg|jpeg|png|gif|css|js)$|#|mailto:|tel:|javascript:"
 
 
 def host(url: Column) -> Column:
@@ -43,33 +55,34 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def page_links(pages: DataFrame, limit: int = 20) -> DataFrame:
-    """(page_id, src_url, pos, dst_url): the first anchors of each page that lead to pages of the same host, in order, without fragments."""
-    hrefs = F.slice(F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1)), 1, limit)
+    """(page_id, src_url, pos, dst_url): the first anchors of each page that lead to pages of the same host, in order; links with a fragment are not followed."""
+    hrefs = F.slice(F.regexp_extract_all("html", F.lit(HREF), F.lit(2)), 1, limit)
     rows = pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(hrefs).alias("pos", "href"))
-    rows = rows.filter((F.col("href") != "") & ~F.col("href").rlike(SKIP_SCHEMES) & ~F.col("href").rlike(SKIP_FILES))
-    rows = rows.withColumn("dst_url", bare_url(resolve(F.col("src_url"), F.trim("href"))))
-    return rows.filter(host(F.col("dst_url")) == host(F.col("src_url"))).select("page_id", "src_url", "pos", "dst_url")
+    rows = rows.filter("href <> ''").withColumn("dst_url", resolve(F.col("src_url"), F.trim("href")))
+    return rows.filter(~F.col("dst_url").rlike(SKIP)).filter(host(F.col("dst_url")) == host(F.col("src_url"))).select("page_id", "src_url", "pos", "dst_url")
 
 
 def score_pages(pages: DataFrame, bid_words: Sequence[str] = BID_WORDS, crop_words: Sequence[str] = CROP_WORDS, least: int = 15) -> DataFrame:
     """(page_id, url, site, score, bid_found, crop_found) of pages with at least the given score.
 
-    10 for each bid word and 5 for each crop word in the text; 20 for cash bid or cash price, 15 for new crop, 10 for a named crop with a price
-    word, 5 for a table, 10 for a price like $4.56.
+    10 for each bid word and 5 for each crop word in the text; 20 for cash bid or cash price, 15 for new crop, 10 for a named crop, 5 for a table,
+    10 for a price like $4.56, 4.56/bu or 4.56 per bushel.
     """
-    rows = pages.withColumn("_text", F.lower(page_text(F.col("html"))))
+    def judged(text: Column) -> Column:
+        def found(words):
+            return F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(text, w))
 
-    def found(words):
-        if not words:
-            return F.array().cast("array<string>")
-        return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("_text"), w))
+        def has(*words: str) -> Column:
+            return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
-    def has(*words: str) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(F.col("_text"), F.lit(w)) for w in words])
+        bids, crops = found(bid_words), found(crop_words)
+        bonus = [(has("cash bid", "cash price"), 20), (has("new crop"), 15), (has(*NAMED_CROPS), 10), (text.rlike("|".join(PRICES)), 10)]
+        return F.struct(bids.alias("bid_found"), crops.alias("crop_found"), reduce(lambda a, b: a + b, [F.size(bids) * 10, F.size(crops) * 5, *[F.when(c, n).otherwise(0) for c, n in bonus]]).alias("score"))
 
-    rows = rows.withColumns({"bid_found": found(bid_words), "crop_found": found(crop_words)})
-    parts = [F.size("bid_found") * 10, F.size("crop_found") * 5, F.when(has("cash bid", "cash price"), 20).otherwise(0), F.when(has("new crop"), 15).otherwise(0), F.when((F.size("crop_found") > 0) & has("bid", "price"), 10).otherwise(0), F.when(F.lower("html").contains("<table"), 5).otherwise(0), F.when(F.col("_text").rlike(r"\$\s?\d+\.\d{2}"), 10).otherwise(0)]
-    return rows.withColumn("score", reduce(lambda a, b: a + b, parts)).filter(F.col("score") >= least).select("page_id", "url", host(F.col("url")).alias("site"), "score", "bid_found", "crop_found")
+    # the text is taken out of the page once: the optimizer does not copy it through explode
+    rows = pages.select("page_id", "url", F.when(F.lower("html").contains("<table"), 5).otherwise(0).alias("_table"), F.explode(F.transform(F.array(F.lower(page_text(F.col("html")))), judged)).alias("_x"))
+    rows = rows.withColumn("score", F.col("_x.score") + F.col("_table")).filter(F.col("score") >= least)
+    return rows.select("page_id", "url", host(F.col("url")).alias("site"), "score", "_x.bid_found", "_x.crop_found")
 
 
 def best_page(scored: DataFrame, order: str = "page_id", least: int = 15) -> DataFrame:

@@ -87,7 +87,8 @@ def cluster_split(t):
     return entities.split_clusters(entities.duplicate_groups(t("fac_dup")), 250.0)
 
 
-_FSCORE = " + ".join(_filled(f"CAST({c} AS VARCHAR)", w) for c, w in entities.FACILITY_WEIGHTS.items())
+_FSCORE = " + ".join(_filled(f"CAST({c} AS VARCHAR)", w) for c, w in (("notes", 4), ("website", 2), ("phone", 2), ("address", 3), ("city", 2), ("state", 2), ("postal_code", 2), ("lat", 2), ("lon", 2)))
+_FSCORE += " + CASE WHEN lon IS NOT NULL AND lat IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN status = 'ACTIVE' THEN 2 ELSE 0 END"
 _FG = f"(SELECT *, {_FSCORE} AS score, {CLEAN_STREET} AS clean FROM {_GROUPS} g)"
 _FO = "ORDER BY score DESC, facility_id"
 
@@ -106,15 +107,23 @@ def facility_merge_proposal(t):
     return p.withColumn("members", F.array_join("member_ids", ",")).drop("member_ids")
 
 
-_APPLY = f"""WITH p AS (SELECT * FROM {_FPROP} q), m AS (SELECT group_key, unnest(member_ids) AS facility_id, base_id, name AS pn, city AS pc, state AS ps FROM p),
- tg AS (SELECT m.group_key, coalesce(min(f.facility_id) FILTER (WHERE f.name IS NOT DISTINCT FROM pn AND f.city IS NOT DISTINCT FROM pc AND f.state IS NOT DISTINCT FROM ps), min(base_id)) AS target FROM m JOIN {{fac_dup}} f ON f.facility_id = m.facility_id GROUP BY m.group_key)"""
+_SAME = "f.company_id = p.company_id AND f.name = p.name AND coalesce(f.city, '') = coalesce(p.city, '') AND coalesce(f.state, '') = coalesce(p.state, '')"
+_APPLY = f"""WITH p AS (SELECT q.*, b.company_id FROM {_FPROP} q JOIN {{fac_dup}} b ON b.facility_id = q.base_id WHERE {{kind}}),
+ m AS (SELECT group_key, unnest(member_ids) AS facility_id FROM p),
+ h AS (SELECT p.group_key, f.facility_id, list_contains(p.member_ids, f.facility_id) AS own FROM p JOIN {{fac_dup}} f ON {_SAME}),
+ tg AS (SELECT group_key, coalesce(min(facility_id) FILTER (WHERE own), min(facility_id)) AS target FROM h GROUP BY group_key
+  UNION ALL SELECT group_key, (SELECT max(facility_id) FROM {{fac_dup}} z) + dense_rank() OVER (ORDER BY lead) FROM (SELECT group_key, min(group_key) OVER (PARTITION BY company_id, name, city, state) AS lead FROM p WHERE group_key NOT IN (SELECT group_key FROM h)) x)"""
+# half of the groups get a name that no row has, some one that another row has
+_RENAMED = "CASE WHEN base_id % 4 = 0 THEN 'New elevator' WHEN base_id % 4 = 1 THEN regexp_replace(name, ' East$', '') || ' East' ELSE name END"
+_APPLY = _APPLY.replace("SELECT q.*, b.company_id", f"SELECT q.* REPLACE ({_RENAMED.replace('base_id', 'q.base_id').replace('name,', 'q.name,').replace('ELSE name', 'ELSE q.name')} AS name), b.company_id").replace("{kind}", "TRUE")
 
 
-@query("merge_apply", f"""{_APPLY} SELECT f.facility_id, f.company_id, CASE WHEN n.group_key IS NOT NULL THEN n.name ELSE f.name END AS name, CASE WHEN n.group_key IS NOT NULL THEN n.address ELSE f.address END AS address, CASE WHEN n.group_key IS NOT NULL THEN n.notes ELSE f.notes END AS notes,
+@query("merge_apply", f"""{_APPLY} SELECT coalesce(f.facility_id, n.target) AS facility_id, coalesce(f.company_id, n.company_id) AS company_id, CASE WHEN n.group_key IS NOT NULL THEN n.name ELSE f.name END AS name, CASE WHEN n.group_key IS NOT NULL THEN n.address ELSE f.address END AS address, CASE WHEN n.group_key IS NOT NULL THEN n.notes ELSE f.notes END AS notes,
  CASE WHEN n.group_key IS NOT NULL THEN 'ACTIVE' WHEN o.facility_id IS NOT NULL THEN 'INACTIVE' ELSE f.status END AS status
- FROM {{fac_dup}} f LEFT JOIN (SELECT p.*, target FROM p JOIN tg ON p.group_key = tg.group_key) n ON f.facility_id = n.target LEFT JOIN (SELECT m.facility_id FROM m JOIN tg ON m.group_key = tg.group_key WHERE m.facility_id <> target) o ON f.facility_id = o.facility_id""")
+ FROM {{fac_dup}} f FULL JOIN (SELECT p.*, target FROM p JOIN tg ON p.group_key = tg.group_key QUALIFY row_number() OVER (PARTITION BY target ORDER BY p.group_key DESC) = 1) n ON f.facility_id = n.target LEFT JOIN (SELECT m.facility_id FROM m JOIN tg ON m.group_key = tg.group_key WHERE m.facility_id <> target) o ON f.facility_id = o.facility_id""")
 def merge_apply(t):
     p = entities.propose_facilities(entities.duplicate_groups(t("fac_dup")))
+    p = p.withColumn("name", F.when(F.col("base_id") % 4 == 0, "New elevator").when(F.col("base_id") % 4 == 1, F.concat(F.regexp_replace("name", " East$", ""), F.lit(" East"))).otherwise(F.col("name")))
     return entities.apply_merge(t("fac_dup"), p)["facility"].select("facility_id", "company_id", "name", "address", "notes", "status")
 
 

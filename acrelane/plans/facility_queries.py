@@ -162,7 +162,7 @@ def street_normalize(t):
     return t("facility").select("facility_id", clean_street(F.col("address")).alias("street"))
 
 
-COMPANY_KEY = r"array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(coalesce(name, '')), '[^\w\s&-]', '', 'g')), '\s+'), lambda w: w NOT IN ('inc', 'incorporated', 'llc', 'ltd', 'limited', 'co', 'company', 'corp', 'corporation', '')), ' ')"
+COMPANY_KEY = r"array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(coalesce(name, '')), '[^\w\s&-]', '', 'g')), '\s+'), lambda w: w NOT IN ('inc', 'incorporated', 'corp', 'corporation', 'llc', 'ltd', 'co', 'company', '')), ' ')"
 
 
 @query("company_name_normalize", f"SELECT company_id, {COMPANY_KEY} AS key FROM {{company_dup}} c")

@@ -69,6 +69,8 @@ SHAPES: dict[str, str] = {
     "directory": "SELECT c_custkey AS seq, 'Coop ' || CAST(c_custkey % 120 AS STRING) AS company, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Town ' || CAST(c_custkey % 35 AS STRING) END AS city, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'KS' END AS state, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_custkey % 400 AS STRING) || ' Elm' END AS street, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE CAST(66000 + c_custkey % 999 AS STRING) END AS zip, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'coop' || CAST(c_custkey % 120 AS STRING) || '.example.com' END AS website, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '785-555-' || CAST(1000 + c_custkey % 9000 AS STRING) END AS phone, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 'Person ' || CAST(c_custkey % 200 AS STRING) END AS contact, 'https://list.example.com/' || CAST(c_custkey % 1000 AS STRING) AS detail_url FROM {customer}",
     "plants": "SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Plant ' || CAST(s_suppkey % 50 AS STRING) END AS plant_name, 'Ethanol ' || CAST(s_suppkey % 20 AS STRING) AS company, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'Town ' || CAST(s_suppkey % 9 AS STRING) || ', NE' END AS location, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'Corn' END AS feedstock, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'D6' END AS rins, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE CAST(s_suppkey % 120 AS STRING) END AS capacity FROM {supplier}",
     "fac_dup": "SELECT c_custkey AS facility_id, CAST(floor(c_custkey / 6) AS BIGINT) AS company_id, 'Elevator ' || CAST(CAST(floor(c_custkey / 6) % 97 AS INT) AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN ' East' ELSE '' END AS name, CASE WHEN c_custkey % 5 = 0 OR floor(c_custkey / 6) % 4 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN CAST(CAST(floor(c_custkey / 6) % 11 + 10 AS INT) AS STRING) || ' Co. Rd. 5' ELSE CAST(CAST(floor(c_custkey / 6) % 11 + 10 AS INT) AS STRING) || '  county road. 5' END AS address, 'City ' || CAST(CAST(floor(c_custkey / 6) % 7 AS INT) AS STRING) AS city, 'KS' AS state, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(67000 + c_custkey % 9 AS STRING) END AS postal_code, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '620-555-' || CAST(1000 + c_custkey % 9 AS STRING) END AS phone, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'f' || CAST(c_custkey % 9 AS STRING) || '.example.com' END AS website, CASE WHEN c_custkey % 3 = 1 THEN 'n' || CAST(c_custkey % 5 AS STRING) END AS notes, CASE WHEN c_custkey % 10 = 9 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE -98E0 + CAST(c_custkey % 40 AS DOUBLE) / 1000E0 END AS lon, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 38E0 + CAST(c_custkey % 30 AS DOUBLE) / 1000E0 END AS lat FROM {customer}",
+    "bid_pages": """SELECT page_id, url, html || CASE WHEN page_id % 9 = 0 THEN '<p>Cash Bids: corn $4.56</p>' WHEN page_id % 9 = 1 THEN '<table><tr><td>Grain Prices</td><td>Milo 4.10 / bu</td></tr></table>'
+          WHEN page_id % 9 = 2 THEN '<p>New Crop bid for sorghum, 5.50 per Bushel</p>' WHEN page_id % 9 = 3 THEN '<p>Daily price sheet: wheat price and grain</p>' WHEN page_id % 9 = 4 THEN '<p>grain market price</p>' ELSE '' END AS html FROM {pages}""",
     "repeats": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DECIMAL(12,2)) AS qty, CAST(l_extendedprice AS DECIMAL(14,2)) AS price FROM {lineitem}",
 }
 

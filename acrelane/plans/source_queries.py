@@ -97,7 +97,7 @@ def sink_csv(t):
     rows = t("facility").select("facility_id", "name")
     sinks.write_csv(rows, path)
     sinks.write_csv(rows, path, append=True)
-    return t.spark.read.schema("facility_id string, name string").csv(path).filter("facility_id <> 'facility_id'")
+    return t.spark.read.schema("facility_id string, name string").option("header", True).csv(path)
 
 
 _POINTS = "SELECT '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[' || CAST(facility_id AS VARCHAR) || '.5,' || CAST(company_id AS VARCHAR) || '.25]}},\"properties\":{{\"facility_id\":' || CAST(facility_id AS VARCHAR) || ',\"city\":' || coalesce('\"' || city || '\"', 'null') || '}}}}' AS feature FROM {facility} f"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,13 @@ def col(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or one of our own where none is set."""
+    """The session's checkpoint folder; one of our own where none is set and all runs on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="acrelane-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="acrelane-"))
     return context.getCheckpointDir()
 
 
@@ -26,6 +29,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def with_ordinal(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Numbers from 1 in order of a column without nulls or repetitions: rows are dealt to ranges, numbered there, and the rows of the ranges before
+    are added, of which there is one count a range."""
+    ranged = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df in the shared folder and read it again: lineage ends here."""
     path = shared_path(df.sparkSession, label)

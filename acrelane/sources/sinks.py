@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """A folder of CSV files with header; an empty frame still writes one when it overwrites."""
-    df.write.mode("append" if append else "overwrite").option("header", not append).csv(path)
+    """A folder of CSV files, each with a header, so that the usual reader option fits all of them; an empty frame still writes one."""
+    df.write.mode("append" if append else "overwrite").option("header", True).csv(path)
 
 
 def to_features(df: DataFrame, lon: str = "lon", lat: str = "lat", line_to: tuple[str, str] | None = None) -> DataFrame:

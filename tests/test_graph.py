@@ -39,7 +39,7 @@ def test_drive_times_is_dijkstra(spark):
 
 def matrix(spark, **more):
     nodes = spark.createDataFrame([(i, -98.0 + i * 0.01, 38.0) for i in range(6)] + [(9, -97.5, 38.0)], "node long, lon double, lat double")
-    edges = spark.createDataFrame([(i, i + 1, 1609.344, "primary", None) for i in range(5)] + [(i + 1, i, 1609.344, "primary", None) for i in range(5)], "src long, dst long, length_m double, highway string, surface string")
+    edges = spark.createDataFrame([(i, i + 1, 1609.344, "trunk", None) for i in range(5)] + [(i + 1, i, 1609.344, "trunk", None) for i in range(5)], "src long, dst long, length_m double, highway string, surface string")
     fields = spark.createDataFrame([(1, "A", -98.0, 38.0), (2, "B", -97.5, 38.0), (3, "C", -90.0, 38.0), (4, "D", -97.95, 38.0)], "field_id long, owner_name string, lon double, lat double")
     stops = spark.createDataFrame([(7, "East", -97.95, 38.0), (8, "West", -97.99, 38.0)], "facility_id long, facility_name string, facility_lon double, facility_lat double")
     return routing.haul_matrix(fields, stops, nodes, edges, **more)
@@ -68,16 +68,23 @@ def test_site_reach_is_breadth_first(spark):
 
 
 def test_links_are_resolved(spark):
-    html = '<a href="/x">1</a><a class=c HREF="y?z=1#top">2</a><a href="#a">3</a><a href="mailto:q">4</a><a href="f.pdf">5</a><a href="//h.example.com/w">6</a><a href="https://other.example.com/">7</a>'
+    html = '<a href="/x">1</a><a class=c HREF="y?z=1#top">2</a><a href="#a">3</a><a href="mailto:q">4</a><a href="f.pdf">5</a><a href=\'//h.example.com/w\'>6</a><a id=q href=/u>8</a><a href="https://other.example.com/">7</a>'
     df = spark.createDataFrame([(1, "https://h.example.com/d/e?q=1", html), (2, "https://h.example.com", None)], "page_id long, url string, html string")
-    assert [(r["pos"], r["dst_url"]) for r in pages.page_links(df).orderBy("pos").collect()] == [(0, "https://h.example.com/x"), (1, "https://h.example.com/d/y?z=1"), (5, "https://h.example.com/w")]
+    assert [(r["pos"], r["dst_url"]) for r in pages.page_links(df).orderBy("pos").collect()] == [(0, "https://h.example.com/x"), (5, "https://h.example.com/w"), (6, "https://h.example.com/u")]
 
 
 def test_page_score_words(spark):
     df = spark.createDataFrame([(1, "https://h.example.com/", "<table><p>Cash Bids: corn $4.56</p>"), (2, "https://h.example.com/2", "<p>hello</p>")], "page_id long, url string, html string")
     row = pages.score_pages(df).first()
-    # bid words 'cash bid' and 'bids', one crop word, cash bid, crop with price word, table, price
-    assert row["page_id"] == 1 and row["score"] == 20 + 5 + 20 + 10 + 5 + 10
+    # bid word 'cash bid', one crop word, cash bid, a named crop, table, price
+    assert row["page_id"] == 1 and row["score"] == 10 + 5 + 20 + 10 + 5 + 10
+    for text, score in (("grain 5.50/BU today", 5 + 10), ("milo at 3 per cwt", 5 + 10 + 10), ("New Crop Bid", 20 + 15), ("wheat bids", 10 + 5 + 10)):
+        assert pages.score_pages(spark.createDataFrame([(1, "https://h.example.com/", f"<p>{text}</p>")], df.schema)).first()["score"] == score, text
+
+
+def test_facility_score_of_completeness(spark):
+    df = spark.createDataFrame([("a", " ", None, "ACTIVE", 1.0, 2.0, True), ("a", "b", "c", "inactive", 1.0, None, False)], "notes string, city string, description string, status string, lon double, lat double, geom_from_address boolean")
+    assert [r["s"] for r in df.select(entities.facility_score(df.columns).alias("s")).collect()] == [4 + 2 + 2 + 3 + 2 + 1, 4 + 2 + 5 + 2]
 
 
 def test_graphml(spark, tmp_path):
@@ -100,6 +107,37 @@ def test_merge_of_companies_keeps_conflicts(spark):
     assert sorted(r["facility_id"] for r in moved.collect()) == [10, 12]
 
 
+def test_merge_targets(spark):
+    schema = "facility_id long, company_id long, name string, address string, city string, state string, postal_code string, phone string, website string, notes string, lon double, lat double, status string"
+    row = lambda i, c, name, city=None, status="ACTIVE": (i, c, name, None, city, "KS", None, None, None, None, None, None, status)
+    facility = spark.createDataFrame([row(1, 1, "A"), row(2, 1, "A2", ""), row(3, 1, "B"), row(4, 1, "B2"), row(5, 1, "X", "", "INACTIVE"), row(6, 2, "C"), row(7, 2, "C2"), row(8, 9, "Y")], schema)
+    groups = [("g1", 2, [1, 2], "A"), ("g2", 3, [3, 4], "X"), ("g3", 6, [6, 7], "Y")]
+    proposals = spark.createDataFrame([(g, b, m, n, None, None, "KS", None, None, None, None, None, None, "ACTIVE") for g, b, m, n in groups], "group_key string, base_id long, member_ids array<long>, name string, address string, city string, state string, postal_code string, phone string, website string, notes string, lon double, lat double, status string")
+    out = entities.apply_merge(facility, proposals)
+    assert sorted((r["old_id"], r["new_id"]) for r in out["ids"].collect()) == [(2, 1), (3, 5), (4, 5), (6, 9), (7, 9)]
+    rows = {r["facility_id"]: (r["company_id"], r["name"], r["status"]) for r in out["facility"].collect()}
+    assert rows == {1: (1, "A", "ACTIVE"), 2: (1, "A2", "INACTIVE"), 3: (1, "B", "INACTIVE"), 4: (1, "B2", "INACTIVE"), 5: (1, "X", "ACTIVE"), 6: (2, "C", "INACTIVE"), 7: (2, "C2", "INACTIVE"), 8: (9, "Y", "ACTIVE"), 9: (2, "Y", "ACTIVE")}
+
+
+def test_regions_over_the_edges_of_a_raster(spark):
+    from acrelane.operators import crops
+
+    pixels = spark.createDataFrame([(c, r, 1 + y, 2000 + y) for c in range(6) for r in range(6) for y in range(2)], "col_no int, row_no int, code int, year int")
+    box = lambda x0, y0, x1, y1: [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+    regions = spark.createDataFrame([(1, box(0.0, -6.0, 6.0, -3.0)), (2, box(-2.0, -2.0, 2.0, 2.0)), (3, box(4.0, 4.0, 9.0, 9.0)), (4, box(0.0, 7.0, 6.0, 9.0))], "region_id int, rings array<array<struct<x: double, y: double>>>")
+    got = {(r["region_id"], r["year"], r["code"]): r["pixel_count"] for r in crops.zonal_counts(pixels, regions, skip=(), min_pixels=0).collect()}
+    assert got == {(k, 2000 + y, 1 + y): 4 for k in (2, 3) for y in range(2)}
+
+
+def test_csv_is_read_as_usual(spark, tmp_path):
+    from acrelane.sources import sinks
+
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(9)], "a long, b string").repartition(3)
+    sinks.write_csv(df, str(tmp_path / "x"))
+    sinks.write_csv(df, str(tmp_path / "x"), append=True)
+    assert sorted(r["a"] for r in spark.read.schema("a long, b string").option("header", True).csv(str(tmp_path / "x")).collect()) == sorted([*range(9)] * 2)
+
+
 def test_empty_geojson_is_an_error(spark, tmp_path):
     (tmp_path / "e.geojson").write_text('{"type":"FeatureCollection","features":[]}')
     try:
