@@ -16,6 +16,7 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -228,8 +229,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe = encoder(_path(ranks))
         return {"ids": pa.array([bpe.encode(t or "") for t in texts], pa.list_(pa.int32()))}
 
-    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
-    return map_texts(df, [col(id_col)], col(text_col), fn, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_texts(df, [(id_col, col(id_col))], col(text_col), fn, "ids array<int>")
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -245,20 +245,21 @@ def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank
     return arrow_map(df.select(col(id_col).alias("k0"), col(ids_col).alias("ids")), run, f"k0 {kind}, bytes binary").toDF(id_col, "bytes")
 
 
-def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes every whole text and decodes the ids in one pass.
+def round_trip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): encodes every whole text and decodes the ids in one pass; on demand the ids too.
 
     Defined as encode_texts for nulls, empty and repeated rows.
     """
     def fn(texts: list) -> dict:
         bpe = encoder(_path(ranks))
-        counts, ids_sha, text_sha = [], [], []
+        counts, ids_sha, text_sha, all_ids = [], [], [], []
         for text in texts:
             n, decimal, data = bpe.round_trip(text or "")
+            if with_ids:
+                all_ids.append(np.array(decimal.split(",") if n else [], np.int32))
             counts.append(n)
             ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
             text_sha.append(hashlib.sha256(data).hexdigest())
-        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())} | ({"ids": pa.array(all_ids, pa.list_(pa.int32()))} if with_ids else {})
 
-    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
-    return map_texts(df, [col(id_col)], col(text_col), fn, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_texts(df, [(id_col, col(id_col))], col(text_col), fn, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))

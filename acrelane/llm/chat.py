@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrelane.llm.common import col
@@ -13,6 +13,11 @@ START, END = "<|im_start|>", "<|im_end|>"
 BLOCK_TURNS = 64
 
 
+def plain(text: Column) -> Column:
+    """Text in which no chat marker is left: a space breaks each that someone wrote."""
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def rotate_perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", context: tuple[str, ...] = ("system",), block_turns: int = BLOCK_TURNS) -> DataFrame:
     """(conv_id, perspective, block, n_turns, n_train_chars, text, train_spans) for every participant of every dialogue.
 
@@ -21,17 +26,18 @@ def rotate_perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     the perspective says with its END marker, in order, joined by ';' ('' if it does not speak in the block): the loss mask.
 
     Block b holds the turns b*block_turns .. (b+1)*block_turns-1 by turn number; reading blocks in order gives the dialogue.
+    Markers inside of texts and names are broken by a space, so nobody can speak for another; a line break in a name becomes a space.
     Turns with equal numbers (repeated rows too) stand in order of speaker and text.  Null text is empty, a null speaker is named
     'unknown', a null turn comes in block -1 before the others, a null dialogue id is a dialogue.  Context speakers
     are no participants: a dialogue of these alone gives no row.  An empty table gives none; other columns are not carried.
     """
-    rows = df.select(col(conv_col).alias("conv"), col(turn_col).cast("bigint").alias("turn"), F.coalesce(col(speaker_col), F.lit("unknown")).alias("speaker"), F.coalesce(col(text_col), F.lit("")).alias("body"))
+    rows = df.select(col(conv_col).alias("conv"), col(turn_col).cast("bigint").alias("turn"), F.coalesce(col(speaker_col), F.lit("unknown")).alias("speaker"), plain(F.coalesce(col(text_col), F.lit(""))).alias("body"))
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)))
     people = rows.filter(~F.col("speaker").isin(*context)).groupBy("conv").agg(F.collect_set("speaker").alias("people"))
     # a row for each dialogue, so a long dialogue's turns are split by Spark's skew handling while this side is copied
     turned = rows.alias("r").join(people.alias("p"), F.col("r.conv").eqNullSafe(F.col("p.conv"))).select("r.*", F.explode("people").alias("perspective"))
     own = F.col("speaker") == F.col("perspective")
-    role = F.when(own, "assistant").when(F.col("speaker").isin(*context), "system").otherwise(F.concat(F.lit("user name="), F.col("speaker")))
+    role = F.when(own, "assistant").when(F.col("speaker").isin(*context), "system").otherwise(F.concat(F.lit("user name="), F.regexp_replace(plain(F.col("speaker")), "[\n\r]", " ")))
     head = F.concat(F.lit(START), role, F.lit("\n"))
     said = F.concat(F.col("body"), F.lit(END))
     pieces = turned.select("conv", "perspective", "block", F.struct("turn", "speaker", "body", own.alias("own"), head.alias("head"), said.alias("said")).alias("x"))
@@ -51,14 +57,14 @@ def rotate_perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str
 
 SQL = """
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body,
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS body,
          coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS block
   FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'),
 x AS (
   SELECT r.conv_id, p.perspective, r.block, r.turn, r.speaker, r.body, r.speaker = p.perspective AS own,
          '<|im_start|>' || CASE WHEN r.speaker = p.perspective THEN 'assistant' WHEN r.speaker = 'system' THEN 'system'
-           ELSE 'user name=' || r.speaker END || chr(10) AS head,
+           ELSE 'user name=' || regexp_replace(replace(r.speaker, '<|im_', '<| im_'), '[\n\r]', ' ', 'g') END || chr(10) AS head,
          r.body || '<|im_end|>' AS said
   FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 y AS (

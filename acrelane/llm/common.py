@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,37 +11,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from acrelane.shared import col, shared_folder, written  # noqa: F401
 
 #: Texts are handled in slices of about this many bytes, so that a worker's memory does not follow the batch size.
 SLICE_BYTES = 8 << 20
 
 
-def col(name: str) -> Column:
-    """A column by its exact name, dots included."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's checkpoint folder, or one of our own where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="acrelane-"))
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
     spark = df.sparkSession
@@ -69,7 +49,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow by a function that needs this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -89,22 +69,32 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
-def map_texts(df: DataFrame, keep: list[Column], text: Column, fn: Callable[[list], dict], schema: str) -> DataFrame:
-    """Apply fn to lists of texts (None for null) and put the lists or arrays that it returns beside the kept columns.
+def clear_names(names: list[str], results: list[str]) -> list[str]:
+    """Names of kept columns beside results: one that is a result's name gets _in behind it."""
+    taken = {r.lower() for r in results}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_texts(df: DataFrame, keep: list[tuple[str, Column]], text: Column, fn: Callable[[list], dict], results: str) -> DataFrame:
+    """Apply fn to lists of texts (None for null) and put the lists or arrays that it returns beside the kept columns (name, column) of any type.
 
-    keep and text are given as columns, so that further columns of df, whatever their names, play no part.
-    schema names the kept columns first, then fn's results in their order.
+    Columns travel under names of our own, so that those of df, whatever they are, play no part.  results is the DDL of what fn returns.
     """
-    chosen = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep)], text.alias("text"))
-    n = len(keep)
+    chosen = df.select(*[c.alias(f"k{i}") for i, (_, c) in enumerate(keep)], text.cast("string").alias("text"))
+    n, found = len(keep), StructType.fromDDL(results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, n):
                 got = fn(part.column(n).to_pylist())
                 columns = [*part.columns[:n], *(v if isinstance(v, pa.Array) else pa.array(v) for v in got.values())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(n)), *got])
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(n)), *(f"r{i}" for i in range(len(got)))])
 
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    inner = ", ".join(f"{name if i >= n else f'k{i}'} {x.strip().split(' ', 1)[1]}" for i, (name, x) in enumerate(zip(names, schema.split(","), strict=True)))
-    return arrow_map(chosen, run, inner).toDF(*names)
+    fields = [*chosen.schema.fields[:n], *(StructField(f"r{i}", f.dataType) for i, f in enumerate(found))]
+    return arrow_map(chosen, run, StructType(fields)).toDF(*[name for name, _ in keep], *found.names)

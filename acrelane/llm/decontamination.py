@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from acrelane.llm.common import col, written
 
@@ -18,8 +19,8 @@ RUN, SHORT_RUN, SHORT_RUN_ITEMS = 4, 3, (11, 15)
 EXACT_BELOW = 11
 #: Share of equal tokens that counts as contamination, over the whole item or over a stretch of so many of its tokens.
 LEAST_OVERLAP, STRETCH = 0.8, 24
-#: Items of one broadcast; more items go in several passes over the documents.
-BLOCK_ITEMS = 20_000
+#: Tokens of the items of one broadcast, each of which gives a seed at most for each mask; more go in several passes over the documents.
+BLOCK_TOKENS = 2_000_000
 #: Longer items are cut into parts of so many tokens, each of which is looked for.
 ITEM_TOKENS = 512
 
@@ -52,7 +53,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("item", F.slice("all", first + 1, F.lit(ITEM_TOKENS)).alias("tokens")).distinct().withColumn("key", F.xxhash64("tokens"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_OVERLAP, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(id, item, n_matched, n_item, overlap, doc_start): benchmark items that documents contain, one row a pair, the best place.
 
     A pair is reported if, item laid beside document at some shared seed, at least the given share of the item's tokens (or of STRETCH
@@ -64,20 +65,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = written(_items(benchmark, item_col, item_text_col), "items")
     distinct = items.groupBy("key").agg(F.first("tokens").alias("tokens"))
-    total = distinct.count()
+    total = distinct.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
     lengths = [r["n"] for r in distinct.select(F.size("tokens").alias("n")).distinct().collect()]  # ITEM_TOKENS at most
     masks = {}  # the lengths of items by mask
     for n in sorted(lengths):
         masks.setdefault((n < EXACT_BELOW, item_mask(n)), []).append(n)
     masks = [(offsets, ns) for (_, offsets), ns in masks.items()]
-    passes = -(-total // block_items)
+    passes = -(-total // block_tokens)
     found = None
     for block in range(passes):
         part = distinct.filter(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(passes)) == block) if passes > 1 else distinct
         hits = _pass(docs, part, id_col, text_col, masks, least)
         found = hits if found is None else found.unionAll(hits)
     if found is None:
-        return docs.select(col(id_col)).join(items.limit(0).select(F.col("item").alias(item_col)), F.lit(True)).selectExpr("*", "0 n_matched", "0 n_item", "0D overlap", "0 doc_start").filter("false")
+        kinds = [StructField(id_col, docs.select(col(id_col)).schema[0].dataType), StructField(item_col, items.schema["item"].dataType)]
+        return docs.sparkSession.createDataFrame([], StructType([*kinds, *StructType.fromDDL("n_matched int, n_item int, overlap double, doc_start int")]))
     best = found.groupBy("id", "key").agg(F.max(F.struct("n_matched", F.negative("doc_start").alias("late"), "n_item")).alias("x"))
     named = best.join(items.select("item", "key"), "key")
     each = named.groupBy("id", "item").agg(F.max(F.struct("x.n_matched", "x.late", "x.n_item")).alias("x"))
@@ -107,10 +109,13 @@ def _pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, masks:
     return checked.filter(exact_if_short & ((F.col("n_matched") >= least * F.col("n_item")) | ((F.col("n_matched") >= least * STRETCH) & stretch))).select("id", "key", "doc_start", "n_item", "n_matched")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns, whose id is in no contaminated pair; rows with a null id are judged like any other."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark item.  A row is judged by id and text, so rows that share an id, or have none, are judged
+    each for itself."""
+    text = F.xxhash64(col(text_col))
+    keyed = docs.select(F.struct(col(id_col).alias("id"), text.alias("h")).alias("key"), col(text_col).alias("text"))
+    bad = contaminated(keyed, benchmark, "key", "text", **options).select("key.*").distinct().toDF("_bad_id", "_bad_text")
+    return docs.join(bad, col(id_col).eqNullSafe(F.col("_bad_id")) & (text == F.col("_bad_text")), "left_anti")
 
 
 #: The same rows by laying every document beside every item at all equal words.

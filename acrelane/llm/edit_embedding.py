@@ -132,8 +132,7 @@ def fingerprints_of(texts: list) -> list[str]:
 
 def with_fingerprint(df: DataFrame, keep: list[tuple[str, Column]], text: Column, name: str) -> DataFrame:
     """The kept columns and the fingerprint of the text column."""
-    kinds = [f"{n} {f.dataType.simpleString()}" for (n, _), f in zip(keep, df.select(*[c.alias(n) for n, c in keep]).schema, strict=True)]
-    return map_texts(df, [c for _, c in keep], text, lambda texts: {"print": pa.array(fingerprints_of(texts), pa.string())}, ", ".join([*kinds, f"{name} string"]))
+    return map_texts(df, keep, text, lambda texts: {name: pa.array(fingerprints_of(texts), pa.string())}, f"`{name}` string")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -160,16 +159,16 @@ def next_documents(df: DataFrame, id_col: str, text_col: str, stretch_rows: int
     """(id, body, next_body): each text beside the following one by ascending id (ties: by text), the first after the last.
 
     Ids are cut into stretches of about stretch_rows, each a window of its own; their number grows with the table (up to most_stretches, from
-    where on they grow, and spill).  The cut points, which decide nothing but the split of the work, come from a sample of the ids.  The first
+    where on they grow, and spill).  The cut points, which decide nothing but the split of the work, come from Spark's range partitioning.  The first
     row of a stretch is lent to the one before, so no stretch needs another.  A null id comes first, a null text is empty.
     """
     rows = df.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("body"))
     ids = rows.select("id")
     total = ids.count()
     cuts = min(most_stretches, max(1, total // stretch_rows))
-    sample = ids.sample(min(1.0, 100.0 * cuts / total), seed=SEED) if total else ids
-    edges = sample.agg(F.percentile_approx("id", [i / cuts for i in range(1, cuts)], max(1000, 20 * cuts)).alias("e")).first()["e"] if cuts > 1 else None
-    edges = sorted(set(edges or []))
+    # the least id of each range that Spark's range partitioning makes, for ids of any type that has an order
+    ranges = ids.repartitionByRange(cuts, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("least")).select("least") if cuts > 1 else ids.limit(0)
+    edges = sorted({row[0] for row in ranges.collect()} - {None})[1:]  # most_stretches at most
     stretch = _stretch(edges, ids.schema[0].dataType.simpleString()) if edges else F.lit(0)
     # every stretch but the first holds its own cut point, so none of them is empty
     firsts = ids.groupBy(stretch.alias("stretch")).agg(F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls"))

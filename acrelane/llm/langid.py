@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrelane.llm.common import col, map_texts
+from acrelane.llm.common import clear_names, col, map_texts
 
 #: A dictionary is made of at most SLOTS pieces of at most PIECE_CHARS characters of each language: the documented bound of
 #: the sample that is learned from.
@@ -28,7 +28,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Rows are dealt to slots by a hash of the id and one row of each (language, slot) is drawn by another hash: at most slots
     pieces of piece_chars characters a language come to the driver.  Rows with null text, id or language, and texts without a
-    letter, are not learned from.
+    letter, are not learned from.  Over 512 languages are an error, for then the labels are something else.
     """
     rows = labelled.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).filter("id is not null and lang is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("slot", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slots))).withColumn("draw", F.xxhash64(F.lit(2), "id"))
@@ -71,7 +71,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     """(id, *keep, lang_pred, score 0..1, rejected) of every whole text.
 
     rejected: no letter, or a margin below least_margin.  A null text or one without a letter is 'und' with score 0.  Repeated
-    rows give repeated rows; an empty table gives none; columns beside id and keep are not carried.
+    rows give repeated rows; an empty table gives none; columns beside id and keep are not carried; a kept column with a result's name gets _in behind it.
     """
     model = tuple(dictionaries.items())
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded: 64 KB a language
@@ -80,9 +80,8 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
         got = list(map(_classifier(sent.value).predict, texts))
         return {"lang_pred": pa.array([g[0] for g in got], pa.string()), "margin": pa.array([g[1] for g in got], pa.float64())}
 
-    names = [id_col, *keep]
-    kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.select(*map(col, names)).schema)]
-    out = map_texts(df, [col(n) for n in names], col(text_col), fn, ", ".join([*kinds, "lang_pred string", "margin double"]))
+    names = clear_names([id_col, *keep], ["lang_pred", "score", "rejected"])
+    out = map_texts(df, [(f"c{i}", col(n)) for i, n in enumerate([id_col, *keep])], col(text_col), fn, "lang_pred string, margin double")
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("margin") / FULL_MARGIN)), 6)
     rejected = (F.col("lang_pred") == "und") | (F.col("margin") < least_margin)
     return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "lang_pred", score.alias("score"), rejected.alias("rejected"))

@@ -91,11 +91,10 @@ def pack_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     if not 1 <= width < 1 << 31:
         raise ValueError("width must be positive")
-    path = ranks if "/" in ranks else public_tokenizers.path(ranks)
     kind = df.select(col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path)
+        encode = _encoding(ranks if "/" in ranks else public_tokenizers.path(ranks))  # the worker's own file
         form = np.dtype("<u2") if max(encode.max_token_value, end_id or 0, pad_id, width) < 1 << 16 else np.dtype("<u4")
         ids, owners, starts, held, window = [], [], [], 0, 0
         task = TaskContext.get().partitionId()

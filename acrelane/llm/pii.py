@@ -10,17 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Callable
 from datetime import date, timedelta
 from functools import lru_cache
+from heapq import merge
 from math import isqrt, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from acrelane.llm.common import arrow_map, col, slices
+from acrelane.llm.common import clear_names, col, map_texts
 
+#: The session setting that holds the secret key; without it the key is the default, which everybody knows, so pseudonyms can be turned back.
+KEY_SETTING = "spark.acrelane.pseudonymKey"
 DEFAULT_KEY = "change me: a secret of the deployment"
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -216,47 +219,48 @@ def replace_all(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     counts: dict[str, int] = {}
     if not _ANY.search(text):
         return text, counts
-    spans: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    spans: list[tuple[int, int, str]] = []  # in order, without overlap
     for at, (kind, pattern, _) in enumerate(_PATTERNS):
+        new_spans, k = [], 0
         for found in pattern.finditer(text):
-            if any(found.start() < e and s < found.end() for s, e in taken):
+            start, end = found.span()
+            while k < len(spans) and spans[k][1] <= start:
+                k += 1
+            if k < len(spans) and spans[k][0] < end:
                 continue
             new = pseudonym(at, found[0], key)
             if new is not None:
-                spans.append((found.start(), found.end(), new))
+                new_spans.append((start, end, new))
                 counts[kind] = counts.get(kind, 0) + 1
-        taken = [(s, e) for s, e, _ in spans]
+        if new_spans:
+            spans = list(merge(spans, new_spans))
     out, done = [], 0
-    for start, end, new in sorted(spans):
+    for start, end, new in spans:
         out += [text[done:start], new]
         done = end
     return "".join([*out, text[done:]]), counts
 
 
-def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY, keep: tuple[str, ...] = ()) -> DataFrame:
+def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, text, n_replaced, kinds) with emails, IBANs, hexadecimal secrets and access keys, card numbers, IPv4 addresses, social security
     numbers, dates and phone numbers replaced by valid values of the same format.
 
     kinds is 'kind=count' in order of name, joined by commas ('' if none).  Values that fail their check (Luhn, IBAN sum,
     octets, calendar, ranges) are left as they are.  A null text stays null with 0; repeated rows give repeated rows; an empty table
-    gives none; columns beside id and keep are not carried.
+    gives none; columns beside id and keep are not carried; a kept column with a result's name gets _in behind it.  The key is the session's
+    KEY_SETTING unless one is given.
     """
+    key = key or df.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key", stacklevel=2)
+        key = DEFAULT_KEY
     secret = hashlib.blake2b(key.encode()).digest()
-    names = [id_col, *keep]
-    chosen = df.select(*[col(n).alias(f"k{i}") for i, n in enumerate(names)], col(text_col).alias("t"))
-    n = len(names)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, n):
-                texts, totals, kinds = [], [], []
-                for text in part.column(n).to_pylist():
-                    new, counts = (None, {}) if text is None else replace_all(text, secret)
-                    texts.append(new)
-                    totals.append(sum(counts.values()))
-                    kinds.append(",".join(f"{k}={v}" for k, v in sorted(counts.items())))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string()), pa.array(totals, pa.int32()), pa.array(kinds, pa.string())], names=[*(f"k{i}" for i in range(n)), "t", "n_replaced", "kinds"])
-
-    kinds = [f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(chosen.schema) if i < n]
-    return arrow_map(chosen, run, ", ".join([*kinds, "t string, n_replaced int, kinds string"])).select(*[F.col(f"k{i}").alias(x) for i, x in enumerate(names)], F.col("t").alias(text_col), "n_replaced", "kinds")
+    names = clear_names([id_col, *keep], [text_col, "n_replaced", "kinds"])
+
+    def fn(texts: list) -> dict:
+        got = [(None, {}) if t is None else replace_all(t, secret) for t in texts]
+        kinds = [",".join(f"{k}={v}" for k, v in sorted(c.items())) for _, c in got]
+        return {"t": pa.array([t for t, _ in got], pa.string()), "n": pa.array([sum(c.values()) for _, c in got], pa.int32()), "kinds": pa.array(kinds, pa.string())}
+
+    out = map_texts(df, [(n, col(c)) for n, c in zip(names, [id_col, *keep], strict=True)], col(text_col), fn, "t string, n_replaced int, kinds string")
+    return out.toDF(*names, text_col, "n_replaced", "kinds")

@@ -58,8 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def fn(texts: list) -> dict:
         return {"fp": pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())}
 
-    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
-    return map_texts(df, [col(id_col)], col(text_col), fn, f"id {kind}, fp bigint")
+    return map_texts(df, [("id", col(id_col))], col(text_col), fn, "fp bigint")
 
 
 def _flips(radius: int, mask: int) -> list[int]:
@@ -73,7 +72,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, pair_bucket: int = PAIR_BUC
 
     Fingerprints that share a masked value in a covering table are candidates.  Small buckets compare their pairs.  In large ones
     each fingerprint is dealt to all values that it has with up to ceil(radius/2) of the bits outside the mask changed; those that meet at
-    a value are within 2*ceil(radius/2) bits, and each takes the least as its link (for an odd radius such links are checked first).
+    a value are within 2*ceil(radius/2) bits, and each takes the least as its link.  For an odd radius that would be one bit too many, so it is refused.
     No bucket is dropped and no large bucket is turned into pairs.
     """
     if radius % 2:
