@@ -88,11 +88,16 @@ def read_road_graph(spark: SparkSession, path: str, box: tuple[float, float, flo
             ends = "_id string" if tag == "node" else "_source string, _target string"
             return spark.read.format("xml").option("rowTag", tag).schema(f"{ends}, {keyed}").load(path)
 
-        def value(key: str):
+        # a saved graph names its values in a table of keys, a handful of rows; without it they go by their own names
+        keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, _for string, `_attr.name` string").load(path)
+        ids = {(r[1], r[2]): r[0] for r in keys.collect()}
+
+        def value(tag: str, name: str):
+            key = ids.get((tag, name), ids.get(("all", name), name))
             return F.get(F.filter("data", lambda d: d["_key"] == key), F.lit(0))["_VALUE"]
 
-        nodes = elements("node").select(F.col("_id").cast("bigint").alias("node"), value("x").cast("double").alias("lon"), value("y").cast("double").alias("lat"))
-        edges = elements("edge").select(F.col("_source").cast("bigint").alias("src"), F.col("_target").cast("bigint").alias("dst"), value("length").cast("double").alias("length_m"), value("highway").alias("highway"), value("surface").alias("surface"))
+        nodes = elements("node").select(F.col("_id").cast("bigint").alias("node"), value("node", "x").cast("double").alias("lon"), value("node", "y").cast("double").alias("lat"))
+        edges = elements("edge").select(F.col("_source").cast("bigint").alias("src"), F.col("_target").cast("bigint").alias("dst"), value("edge", "length").cast("double").alias("length_m"), value("edge", "highway").alias("highway"), value("edge", "surface").alias("surface"))
     else:
         nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
     nodes, edges = clip_graph(nodes, edges, box)

@@ -94,6 +94,15 @@ def test_graphml(spark, tmp_path):
     assert [tuple(r) for r in edges.collect()] == [(1, 2, 5.5, "primary", None)]
 
 
+def test_graphml_with_a_table_of_keys(spark, tmp_path):
+    keys = "".join(f'<key id="d{i}" for="{tag}" attr.name="{name}" attr.type="string" />' for i, (tag, name) in enumerate([("node", "y"), ("node", "x"), ("edge", "osmid"), ("edge", "length"), ("edge", "highway"), ("edge", "x")]))
+    nodes = "".join(f'<node id="{n}"><data key="d0">38.{n}</data><data key="d1">-98.{n}</data></node>' for n in (1, 2))
+    (tmp_path / "g.graphml").write_text(f'<graphml>{keys}<graph edgedefault="directed">{nodes}<edge source="1" target="2" id="0"><data key="d2">9</data><data key="d3">1609.344</data><data key="d4">[\'ferry\', \'Primary\']</data></edge></graph></graphml>')
+    got, edges = readers.read_road_graph(spark, str(tmp_path / "g.graphml"), (-98.5, 37.5, -97.5, 38.5))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, -98.1, 38.1), (2, -98.2, 38.2)]
+    assert [(r["src"], r["dst"], r["length_m"], r["mph"]) for r in routing.edge_times(edges).collect()] == [(1, 2, 1609.344, 55.0)]
+
+
 def test_merge_of_companies_keeps_conflicts(spark):
     ids = spark.createDataFrame([(2, 1), (3, 1)], "old_id long, new_id long")
     facility = spark.createDataFrame([(10, 1, "A", None, "KS"), (11, 2, "A", "", "KS"), (12, 2, "B", "x", "KS"), (13, 3, "B", "x", "KS")], "facility_id long, company_id long, name string, city string, state string")
