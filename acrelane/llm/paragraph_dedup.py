@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrelane.llm.common import arrow_map, col, slices, written
+from acrelane.llm.common import arrow_map, col, drop_written, slices, written
 from acrelane.llm.components import bucket_links, connected_components
 
 SHINGLE_WORDS, LEAST_JACCARD = 5, 0.8
@@ -29,8 +29,6 @@ BANDS, BAND_ROWS = 10, 3
 WINDOW_WORDS, WINDOW_SPAN = 20, 32
 #: A shorter run of equal words is no passage, if its window stands at two places only; at more, two others may share a longer one around it.
 PASSAGE_WORDS = WINDOW_WORDS + WINDOW_SPAN - 1
-#: A side of a join that is counted to have at most so many rows (a few numbers, or one document's line numbers) is broadcast.
-SMALL_SIDE = 250_000
 #: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): each character is a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
@@ -117,14 +115,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, line int, start int, words int, unit bigint, bands array): paragraphs (line number, bands) and windows (line -1, no bands); start is
-    the number of the first word in the text, unit a hash of the words."""
+    """(id, doc bigint, line int, start int, words int, unit bigint, bands array): paragraphs (line number, bands) and windows (line -1, the first of a text -2, no bands);
+    doc is a hash of the text's words, start the number of the first word in the text, unit a hash of the words."""
     kind = df.select(col(id_col)).schema[0].dataType.simpleString()
-    names = ["k0", "line", "start", "words", "unit", "bands"]
+    names = ["k0", "doc", "line", "start", "words", "unit", "bands"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
+                docs = np.zeros(part.num_rows, np.uint64)
                 owner, line, start, words, unit = [], [], [], [], []  # paragraphs
                 w_owner, w_start, w_unit = [], [], []  # windows, an array a text
                 shingles, begins, held = [], [], 0
@@ -134,6 +133,7 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
                     if len(hashes) < min(WINDOW_WORDS, min_words):
                         continue
                     sums = prefix_sums(hashes)
+                    docs[i] = stretch_hashes(sums, np.zeros(1, int), len(hashes))[0]
                     grams = gram_hashes(hashes, SHINGLE_WORDS, sums)
                     first = len(unit)
                     at = 0
@@ -159,23 +159,19 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
                 n_windows = sum(map(len, w_unit))
                 empty = np.zeros(0, np.uint64)
                 bands = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(owner) + n_windows + 1), len(owner)) * BANDS, pa.int32()), pa.array(_signed(keys.ravel())))
-                columns = [np.concatenate([owner, *w_owner]), np.concatenate([line, np.full(n_windows, -1)]), np.concatenate([start, *w_start]), np.concatenate([words, np.full(n_windows, WINDOW_WORDS)])]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0].astype(np.int64))), *(pa.array(c.astype(np.int32)) for c in columns[1:]), pa.array(_signed(np.concatenate([empty, np.array(unit, np.uint64), *w_unit]))), bands], names=names)
+                columns = [np.concatenate([owner, *w_owner]), np.concatenate([line, *(np.where(np.arange(len(x)), -1, -2) for x in w_unit)]), np.concatenate([start, *w_start]), np.concatenate([words, np.full(n_windows, WINDOW_WORDS)])]
+                at = columns[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(_signed(docs[at])), *(pa.array(c.astype(np.int32)) for c in columns[1:]), pa.array(_signed(np.concatenate([empty, np.array(unit, np.uint64), *w_unit]))), bands], names=names)
 
-    out = arrow_map(df.select(col(id_col).alias("k0"), col(text_col).alias("text")), run, f"k0 {kind}, line int, start int, words int, unit bigint, bands array<bigint>")
+    out = arrow_map(df.select(col(id_col).alias("k0"), col(text_col).alias("text")), run, f"k0 {kind}, doc bigint, line int, start int, words int, unit bigint, bands array<bigint>")
     return out.withColumnRenamed("k0", "id")
 
 
-def _small(df: DataFrame, side: DataFrame) -> DataFrame:
-    """side, marked for broadcast if it is counted small."""
-    return F.broadcast(side) if side.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else side
-
-
 def _shingles(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(unit, shingles array) of wanted paragraphs (id, line, unit), once a unit."""
     lists = wanted.groupBy("id").agg(F.collect_set(F.struct("line", "unit")).alias("want"))  # bounded by a document's own lines
     docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
-    chosen = docs.join(_small(docs, lists), F.col("owner").eqNullSafe(F.col("id"))).select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
+    chosen = docs.join(lists, F.col("owner").eqNullSafe(F.col("id"))).select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
 
     def run(batches):
         for batch in batches:
@@ -219,56 +215,54 @@ def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, prefix_sums(hashes)
 
 
+def _whole(sums: np.ndarray) -> int:
+    """The hash of all words."""
+    return int(stretch_hashes(sums, np.zeros(1, int), len(sums) - 1).view(np.int64)[0]) if len(sums) > 1 else 0
+
+
 def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> DataFrame:
-    """(id, start, words, unit, copies) of the runs of equal words around windows (id, start, unit) that occur more than once, each against
-    the first place of its window; a run is given at both places, and copies says how many rows are alike in id and text."""
-    kind = df.select(col(id_col)).schema[0].dataType.simpleString()
-    spots = windows.groupBy("unit", "id", "start").agg(F.count("*").alias("copies"))
-    firsts = spots.groupBy("unit").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "start", "copies")).alias("first")).filter("n > 1")
-    firsts = written(firsts, "anchors")
-    placed = spots.join(_small(spots, firsts), "unit")
+    """(doc, start, words, unit) of the runs of equal words around windows (id, doc, start, unit) that occur more than once, each against
+    the first place of its window; a run is given at both places.  Texts of the same words (doc) are one, the one of the least id."""
+    spots = windows.groupBy("unit", "doc", "start").agg(F.min(F.struct("id")).alias("x"), F.count("*").alias("copies")).select("unit", "doc", "start", "x.id", "copies")
+    firsts = spots.groupBy("unit").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "start", "doc", "copies")).alias("first")).filter("n > 1")
     # the first place is laid beside itself only if several rows are alike
-    alone = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start")) & (F.col("copies") == 1)
-    placed = written(placed.filter(~alone).select("id", "start", "copies", F.col("first.id").alias("other"), F.col("first.start").alias("at"), F.col("first.copies").alias("others"), "unit", "n"), "anchors")
-    few = placed.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    pairs = placed.groupBy("id", "other").agg(F.collect_list(F.struct("start", "at", "unit", "copies", "others", "n")).alias("xs"))  # bounded by a document's own windows
+    alone = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("copies") == 1)
+    placed = spots.join(firsts, "unit").filter(~alone)
+    placed = written(placed.select("id", "doc", "start", F.col("first.id").alias("other"), F.col("first.doc").alias("other_doc"), F.col("first.start").alias("at"), "unit", "n"), "anchors")
+    pairs = placed.groupBy("id", "doc", "other", "other_doc").agg(F.collect_list(F.struct("start", "at", "n")).alias("xs"))  # bounded by a document's own windows
     docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
-    mine = docs.join(F.broadcast(pairs) if few else pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
+    mine = docs.join(pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
     heads = placed.select(F.col("other").alias("head")).distinct()
-    theirs = docs.join(_small(docs, written(heads, "heads")), F.col("owner").eqNullSafe(F.col("head")), "left_semi").withColumnRenamed("text", "first_text")
+    theirs = docs.join(heads, F.col("owner").eqNullSafe(F.col("head")), "left_semi").withColumnRenamed("text", "first_text")
     laid = mine.join(theirs, F.col("other").eqNullSafe(F.col("owner")))
-    laid = laid.select("text", "first_text", "id", "other", *[F.col(f"xs.{c}").alias(f"x_{c}") for c in ("start", "at", "unit", "copies", "others", "n")])
+    laid = laid.select("text", "first_text", "doc", "other_doc", *[F.col(f"xs.{c}").alias(f"x_{c}") for c in ("start", "at", "n")])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 0):
-                row, numbers = [], []
-                texts = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-                for k, (pair, starts, ats, units_, copies, others, places) in enumerate(zip(texts, *(c.to_pylist() for c in part.columns[4:]), strict=True)):
-                    (a, sums), (b, _) = (_hashed(t or "") for t in pair)
+                rows = []
+                for text, first_text, doc, first_doc, *anchors in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    (a, sums), (b, first_sums) = _hashed(text or ""), _hashed(first_text or "")
+                    if _whole(sums) != doc or _whole(first_sums) != first_doc:  # an id may come with several texts
+                        continue
                     done = {}  # by diagonal, the end of the last run
-                    for i, j, unit, n_a, n_b, n_places in sorted(zip(starts, ats, units_, copies, others, places, strict=True)):
-                        if i < done.get(i - j, 0) or i + WINDOW_WORDS > len(a) or j + WINDOW_WORDS > len(b):
-                            continue
-                        if stretch_hashes(sums, np.array([i]), WINDOW_WORDS).view(np.int64)[0] != unit:  # an id may come with several texts
+                    for i, j, n_places in sorted(zip(*anchors, strict=True)):
+                        if i < done.get(i - j, 0):
                             continue
                         back, ahead = equal_run(a, b, i, j)
-                        if ahead < WINDOW_WORDS:
-                            continue
                         n = back + ahead
-                        if n < PASSAGE_WORDS and n_places == 2:
+                        if ahead < WINDOW_WORDS or (n < PASSAGE_WORDS and n_places == 2):
                             continue
                         done[i - j] = i + ahead
-                        row.append(k)
-                        numbers.append((i - back, j - back, n, int(stretch_hashes(sums, np.array([i - back]), n).view(np.int64)[0]), n_a, n_b))
-                at = pa.array(row, pa.int64())
-                columns = list(zip(*numbers, strict=True)) or [()] * 6
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(2).take(at), part.column(3).take(at), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "other", "start", "at", "words", "unit", "copies", "others"])
+                        unit = int(stretch_hashes(sums, np.array([i - back]), n).view(np.int64)[0])
+                        rows.append((doc, first_doc, i - back, j - back, n, unit))
+                kinds = {"doc": pa.int64(), "other_doc": pa.int64(), "start": pa.int32(), "at": pa.int32(), "words": pa.int32(), "unit": pa.int64()}
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    runs = written(arrow_map(laid, run, f"id {kind}, other {kind}, start int, at int, words int, unit bigint, copies bigint, others bigint"), "runs")
-    both = runs.select("id", "start", "words", "unit", "copies").unionAll(runs.select("other", "at", "words", "unit", "others"))
-    return both.groupBy("id", "start", "words", "unit").agg(F.max("copies").alias("copies"))
+    runs = written(arrow_map(laid, run, "doc bigint, other_doc bigint, start int, at int, words int, unit bigint"), "runs")
+    drop_written(placed)
+    return runs.select("doc", "start", "words", "unit").unionAll(runs.select("other_doc", "at", "words", "unit")).distinct()
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_JACCARD, min_words: int = MIN_WORDS) -> DataFrame:
@@ -286,21 +280,26 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal paragraphs are one node: what is hashed into bands is distinct
     bands = lines.groupBy("unit").agg(F.first("bands").alias("bands")).select(F.col("unit").alias("node"), F.explode("bands").alias("key"))
     keys = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    met = written(bands.join(_small(bands, written(keys, "keys")), "key"), "collisions")
+    met = written(bands.join(written(keys, "keys"), "key"), "collisions")
     nodes = written(met.select(F.col("node").alias("unit")).distinct(), "nodes")
-    wanted = lines.join(_small(lines, nodes), "unit").groupBy("unit").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line", "unit")
-    sets = written(_shingles(df, id_col, text_col, written(wanted, "wanted")), "shingles").select(F.col("unit").alias("node"), F.col("shingles").alias("items"))
+    wanted = lines.join(nodes, "unit").groupBy("unit").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line", "unit")
+    wanted = written(wanted, "wanted")
+    sets = written(_shingles(df, id_col, text_col, wanted), "shingles").select(F.col("unit").alias("node"), F.col("shingles").alias("items"))
     parts = written(connected_components(bucket_links(met.select("key", "node"), sets, least)), "parts")
+    for done in (met, wanted, sets):
+        drop_written(done)
     # groups: paragraphs by component, windows by their own hash
-    named = lines.join(_small(lines, parts), F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
-    passages = _runs(df, id_col, text_col, places.filter("line < 0").select("id", "start", "unit"))
-    passages = passages.withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select("id", F.lit(-1).alias("line"), "start", "words", F.col("unit").alias("component"))
-    both = named.unionAll(written(passages, "passages"))
-    groups = both.groupBy("component", (F.col("line") >= 0).alias("whole")).agg(F.count("*").alias("n_places"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n_places > 1")
-    groups = written(groups, "groups")
-    found = both.withColumn("whole", F.col("line") >= 0).join(_small(both, groups), ["component", "whole"])
+    named = lines.join(parts, F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
+    heads = named.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n > 1")
+    alike = written(named.join(heads, "component"), "alike")
+    rows = places.filter("line = -2").select("id", "doc")  # one a text
+    runs = _runs(df, id_col, text_col, places.filter("line < 0").select("id", "doc", "start", "unit"))
+    passages = rows.join(runs, "doc").select("id", F.lit(-1).alias("line"), "start", "words", F.col("unit").alias("component"))
+    passages = written(passages, "passages")
+    firsts = passages.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n > 1")
+    found = alike.select("component", "id", "line", "start", "words", "n", "first").unionByName(passages.join(firsts, "component"))
     first = F.struct("id", "line", "start") == F.col("first")
-    return found.select(F.col("id").alias(id_col), "line", F.col("start").alias("start_word"), F.col("words").alias("n_words"), F.col("component").alias("component_id"), "n_places", F.coalesce(first, F.lit(False)).alias("keeps"))
+    return found.select(F.col("id").alias(id_col), "line", F.col("start").alias("start_word"), F.col("words").alias("n_words"), F.col("component").alias("component_id"), F.col("n").alias("n_places"), F.coalesce(first, F.lit(False)).alias("keeps"))
 
 
 def _cut(text: str, lines: list[int], words: list[tuple[int, int, list]]) -> str:
