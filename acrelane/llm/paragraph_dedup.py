@@ -29,6 +29,8 @@ BANDS, BAND_ROWS = 10, 3
 WINDOW_WORDS, WINDOW_SPAN = 20, 32
 #: A shorter run of equal words is no passage, if its window stands at two places only; at more, two others may share a longer one around it.
 PASSAGE_WORDS = WINDOW_WORDS + WINDOW_SPAN - 1
+#: A side of a join that is counted to have at most so many rows (a few numbers, or one document's line numbers) is broadcast.
+SMALL_SIDE = 250_000
 #: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): each character is a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
@@ -167,11 +169,16 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
     return out.withColumnRenamed("k0", "id")
 
 
+def _small(side: DataFrame) -> DataFrame:
+    """side, marked for broadcast if it is counted small."""
+    return F.broadcast(side) if side.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else side
+
+
 def _shingles(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(unit, shingles array) of wanted paragraphs (id, line, unit), once a unit."""
     lists = wanted.groupBy("id").agg(F.collect_set(F.struct("line", "unit")).alias("want"))  # bounded by a document's own lines
     docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
-    chosen = docs.join(lists, F.col("owner").eqNullSafe(F.col("id"))).select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
+    chosen = docs.join(_small(lists), F.col("owner").eqNullSafe(F.col("id"))).select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
 
     def run(batches):
         for batch in batches:
@@ -225,15 +232,17 @@ def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> Data
     the first place of its window; a run is given at both places.  Texts of the same words (doc) are one, the one of the least id."""
     spots = windows.groupBy("unit", "doc", "start").agg(F.min(F.struct("id")).alias("x"), F.count("*").alias("copies")).select("unit", "doc", "start", "x.id", "copies")
     firsts = spots.groupBy("unit").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "start", "doc", "copies")).alias("first")).filter("n > 1")
+    firsts = written(firsts, "firsts")
     # the first place is laid beside itself only if several rows are alike
     alone = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("copies") == 1)
-    placed = spots.join(firsts, "unit").filter(~alone)
+    placed = spots.join(_small(firsts), "unit").filter(~alone)
     placed = written(placed.select("id", "doc", "start", F.col("first.id").alias("other"), F.col("first.doc").alias("other_doc"), F.col("first.start").alias("at"), "unit", "n"), "anchors")
     pairs = placed.groupBy("id", "doc", "other", "other_doc").agg(F.collect_list(F.struct("start", "at", "n")).alias("xs"))  # bounded by a document's own windows
     docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
-    mine = docs.join(pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
+    few = placed.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    mine = docs.join(F.broadcast(pairs) if few else pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
     heads = placed.select(F.col("other").alias("head")).distinct()
-    theirs = docs.join(heads, F.col("owner").eqNullSafe(F.col("head")), "left_semi").withColumnRenamed("text", "first_text")
+    theirs = docs.join(_small(written(heads, "heads")), F.col("owner").eqNullSafe(F.col("head")), "left_semi").withColumnRenamed("text", "first_text")
     laid = mine.join(theirs, F.col("other").eqNullSafe(F.col("owner")))
     laid = laid.select("text", "first_text", "doc", "other_doc", *[F.col(f"xs.{c}").alias(f"x_{c}") for c in ("start", "at", "n")])
 
@@ -280,18 +289,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal paragraphs are one node: what is hashed into bands is distinct
     bands = lines.groupBy("unit").agg(F.first("bands").alias("bands")).select(F.col("unit").alias("node"), F.explode("bands").alias("key"))
     keys = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    met = written(bands.join(written(keys, "keys"), "key"), "collisions")
+    met = written(bands.join(_small(written(keys, "keys")), "key"), "collisions")
     nodes = written(met.select(F.col("node").alias("unit")).distinct(), "nodes")
-    wanted = lines.join(nodes, "unit").groupBy("unit").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line", "unit")
+    wanted = lines.join(_small(nodes), "unit").groupBy("unit").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line", "unit")
     wanted = written(wanted, "wanted")
     sets = written(_shingles(df, id_col, text_col, wanted), "shingles").select(F.col("unit").alias("node"), F.col("shingles").alias("items"))
     parts = written(connected_components(bucket_links(met.select("key", "node"), sets, least)), "parts")
     for done in (met, wanted, sets):
         drop_written(done)
     # groups: paragraphs by component, windows by their own hash
-    named = lines.join(parts, F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
+    named = lines.join(_small(parts), F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
     heads = named.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n > 1")
-    alike = written(named.join(heads, "component"), "alike")
+    alike = written(named.join(_small(written(heads, "groups")), "component"), "alike")
     rows = places.filter("line = -2").select("id", "doc")  # one a text
     runs = _runs(df, id_col, text_col, places.filter("line < 0").select("id", "doc", "start", "unit"))
     passages = rows.join(runs, "doc").select("id", F.lit(-1).alias("line"), "start", "words", F.col("unit").alias("component"))
