@@ -59,7 +59,7 @@ def pixels_to_acres(t):
     return t("pixels").groupBy("code").agg(F.count("*").alias("n")).select("code", crops.pixels_to_acres(F.col("n")).alias("acres"))
 
 
-#: Five regions over the pixel grid: square, triangle, L, square with a hole, two parts.  Vertices of each ring.
+#: Five regions over each hundred rows of the pixel grid: square, triangle, L, square with a hole, two parts.  Vertices of each ring.
 _RINGS = [
     [[(10, 5), (60, 5), (60, 45), (10, 45)]],
     [[(0, 0), (90, 0), (45, 80)]],
@@ -70,12 +70,11 @@ _RINGS = [
 
 
 def regions(t):
-    ring = lambda points: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
-    rings = F.lit(None)
-    for i, parts in enumerate(_RINGS):
-        shape = F.array(*map(ring, parts))
-        rings = F.when(F.col("r_regionkey") == i, shape) if i == 0 else rings.when(F.col("r_regionkey") == i, shape)
-    return t("region").select(F.col("r_regionkey").alias("region_id"), rings.alias("rings"))
+    block = F.col("block").cast("double") * 100
+    ring = lambda points: F.array(*[F.struct(F.lit(float(x)).alias("x"), (block + float(y)).alias("y")) for x, y in points])
+    shapes = F.array(*[F.struct((F.col("block") * 5 + i).cast("bigint").alias("region_id"), F.array(*map(ring, parts)).alias("rings")) for i, parts in enumerate(_RINGS)])
+    blocks = t("pixels").select(F.floor(F.col("row_no") / 100).alias("block")).distinct()
+    return blocks.select(F.inline(shapes))
 
 
 def _inside(points):
@@ -83,11 +82,11 @@ def _inside(points):
     tests = []
     for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
         if ay != by:
-            tests.append(f"CASE WHEN row_no + 0.5e0 >= {min(ay, by)} AND row_no + 0.5e0 < {max(ay, by)} AND col_no + 0.5e0 >= {ax} + (row_no + 0.5e0 - {ay}) / ({by} - {ay}) * ({bx} - {ax}) THEN 1 ELSE 0 END")
+            tests.append(f"CASE WHEN row_no % 100 + 0.5e0 >= {min(ay, by)} AND row_no % 100 + 0.5e0 < {max(ay, by)} AND col_no + 0.5e0 >= {ax} + (row_no % 100 + 0.5e0 - {ay}) / ({by} - {ay}) * ({bx} - {ax}) THEN 1 ELSE 0 END")
     return " + ".join(tests)
 
 
-_ZONAL = " UNION ALL ".join(f"SELECT {i} AS region_id, code FROM {{pixels}} p WHERE ({' + '.join(_inside(r) for r in parts)}) % 2 = 1" for i, parts in enumerate(_RINGS))
+_ZONAL = " UNION ALL ".join(f"SELECT CAST(floor(row_no / 100) AS BIGINT) * 5 + {i} AS region_id, code FROM {{pixels}} p WHERE ({' + '.join(_inside(r) for r in parts)}) % 2 = 1" for i, parts in enumerate(_RINGS))
 
 
 @query("crop_zonal_counts", f"SELECT region_id, code, count(*) AS pixel_count, round(count(*) * 0.222394e0, 4) AS acres FROM ({_ZONAL}) z WHERE code NOT IN (0, 111, 121, 122, 123, 124, 131) AND code <> 255 GROUP BY region_id, code HAVING count(*) >= 10")

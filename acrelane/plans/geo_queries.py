@@ -82,11 +82,11 @@ def nearest_neighbor(t):
     return got.select("feature_id", "facility_id", F.round(geo.geodesic_miles("lon", "lat", "facility_lon", "facility_lat"), 6).alias("miles"), line.alias("line"))
 
 
-@query("node_snap", """WITH p AS (SELECT id AS field_id, lon, lat FROM {parcels} q WHERE lon BETWEEN -99.5 AND -98),
+@query("node_snap", """WITH p AS (SELECT id AS field_id, lon, lat FROM {parcels} q),
  n AS (SELECT node, lon, lat FROM {nodes} q), k AS (SELECT cos(radians(avg(lat))) AS c FROM n),
- x AS (SELECT field_id, node, row_number() OVER (PARTITION BY field_id ORDER BY pow(p.lon * c - n.lon * c, 2) + pow(p.lat - n.lat, 2), node) AS rn FROM p, n, k) SELECT field_id, node FROM x WHERE rn = 1""")
+ x AS (SELECT field_id, node, row_number() OVER (PARTITION BY field_id ORDER BY pow(p.lon * c - n.lon * c, 2) + pow(p.lat - n.lat, 2), node) AS rn FROM p, n, k WHERE p.lon IS NOT NULL) SELECT p.field_id, x.node FROM p LEFT JOIN x ON p.field_id = x.field_id AND rn = 1""")
 def node_snap(t):
-    own = t("parcels").filter("lon between -99.5 and -98").select(F.col("id").alias("field_id"), "lon", "lat")
+    own = t("parcels").select(F.col("id").alias("field_id"), "lon", "lat")
     return grid.snap_nodes(own, t("nodes"), "field_id").select("field_id", "node")
 
 
