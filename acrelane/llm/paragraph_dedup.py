@@ -169,9 +169,29 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
     return out.withColumnRenamed("k0", "id")
 
 
+def _is_small(side: DataFrame) -> bool:
+    return side.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+
+
 def _small(side: DataFrame) -> DataFrame:
     """side, marked for broadcast if it is counted small."""
-    return F.broadcast(side) if side.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else side
+    return F.broadcast(side) if _is_small(side) else side
+
+
+def _collisions(lines: DataFrame) -> DataFrame:
+    """(key, node) of the bands that several units of lines(unit, bands) have; equal paragraphs are one node."""
+    each = lambda rows: rows.select(F.col("unit").alias("node"), F.explode("bands").alias("key"))
+    distinct = lines.groupBy("unit").agg(F.first("bands").alias("bands"))
+    keys = each(distinct).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    keys = written(keys, "keys")
+    # the least and the greatest node are all that a key of two has; only keys of more are looked up among the lines
+    two = keys.filter("n = 2").select("key", F.explode(F.array("lo", "hi")).alias("node"))
+    more = keys.filter("n > 2").select("key")
+    small = _is_small(more)
+    found = each(lines if small else distinct).join(F.broadcast(more) if small else more, "key").select("key", "node").distinct()
+    met = written(two.unionAll(found), "collisions")
+    drop_written(keys)
+    return met
 
 
 def _shingles(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -230,17 +250,23 @@ def _whole(sums: np.ndarray) -> int:
 def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> DataFrame:
     """(doc, start, words, unit) of the runs of equal words around windows (id, doc, start, unit) that occur more than once, each against
     the first place of its window; a run is given at both places.  Texts of the same words (doc) are one, the one of the least id."""
-    spots = windows.groupBy("unit", "doc", "start").agg(F.min(F.struct("id")).alias("x"), F.count("*").alias("copies")).select("unit", "doc", "start", "x.id", "copies")
-    firsts = spots.groupBy("unit").agg(F.sum("copies").alias("n"), F.min(F.struct("id", "start", "doc", "copies")).alias("first")).filter("n > 1")
-    firsts = written(firsts, "firsts")
+    # most windows stand alone: they are counted before any place is shuffled
+    shared = written(windows.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    spots = windows.join(_small(shared), "unit").groupBy("unit", "doc", "start", "n").agg(F.min(F.struct("id")).alias("x"), F.count("*").alias("copies"))
+    spots = written(spots.select("unit", "doc", "start", "n", "x.id", "copies"), "spots")
+    firsts = written(spots.groupBy("unit").agg(F.min(F.struct("id", "start", "doc", "copies")).alias("first")), "firsts")
     # the first place is laid beside itself only if several rows are alike
     alone = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("copies") == 1)
     placed = spots.join(_small(firsts), "unit").filter(~alone)
     placed = written(placed.select("id", "doc", "start", F.col("first.id").alias("other"), F.col("first.doc").alias("other_doc"), F.col("first.start").alias("at"), "unit", "n"), "anchors")
+    for done in (shared, spots, firsts):
+        drop_written(done)
     pairs = placed.groupBy("id", "doc", "other", "other_doc").agg(F.collect_list(F.struct("start", "at", "n")).alias("xs"))  # bounded by a document's own windows
     docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
-    few = placed.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    mine = docs.join(F.broadcast(pairs) if few else pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
+    few = _is_small(placed)
+    # pairs too many to be broadcast may still be of few documents: the texts of the others are not shuffled
+    holders = docs if few else docs.join(_small(written(placed.select(F.col("id").alias("holder")).distinct(), "holders")), F.col("owner").eqNullSafe(F.col("holder")), "left_semi")
+    mine = holders.join(F.broadcast(pairs) if few else pairs, F.col("owner").eqNullSafe(F.col("id"))).drop("owner")
     heads = placed.select(F.col("other").alias("head")).distinct()
     theirs = docs.join(_small(written(heads, "heads")), F.col("owner").eqNullSafe(F.col("head")), "left_semi").withColumnRenamed("text", "first_text")
     laid = mine.join(theirs, F.col("other").eqNullSafe(F.col("owner")))
@@ -286,10 +312,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     places = written(units(df, id_col, text_col, min_words), "units")
     lines = places.filter("line >= 0")
-    # equal paragraphs are one node: what is hashed into bands is distinct
-    bands = lines.groupBy("unit").agg(F.first("bands").alias("bands")).select(F.col("unit").alias("node"), F.explode("bands").alias("key"))
-    keys = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    met = written(bands.join(_small(written(keys, "keys")), "key"), "collisions")
+    met = _collisions(lines)
     nodes = written(met.select(F.col("node").alias("unit")).distinct(), "nodes")
     wanted = lines.join(_small(nodes), "unit").groupBy("unit").agg(F.min(F.struct("id", "line")).alias("x")).select("x.id", "x.line", "unit")
     wanted = written(wanted, "wanted")
@@ -305,6 +328,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = _runs(df, id_col, text_col, places.filter("line < 0").select("id", "doc", "start", "unit"))
     passages = rows.join(runs, "doc").select("id", F.lit(-1).alias("line"), "start", "words", F.col("unit").alias("component"))
     passages = written(passages, "passages")
+    drop_written(places)
     firsts = passages.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n > 1")
     found = alike.select("component", "id", "line", "start", "words", "n", "first").unionByName(passages.join(firsts, "component"))
     first = F.struct("id", "line", "start") == F.col("first")
