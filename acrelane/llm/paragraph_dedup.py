@@ -118,7 +118,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, doc bigint, line int, start int, words int, unit bigint, bands array): paragraphs (line number, bands) and windows (line -1, the first of a text -2, no bands);
-    doc is a hash of the text's words, start the number of the first word in the text, unit a hash of the words."""
+    doc is a hash of the text's words, start the number of the first word in the text, unit a hash of the words; words is a paragraph's number of words, with windows the whole text's."""
     kind = df.select(col(id_col)).schema[0].dataType.simpleString()
     names = ["k0", "doc", "line", "start", "words", "unit", "bands"]
 
@@ -127,7 +127,7 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
             for part in slices(batch, 1):
                 docs = np.zeros(part.num_rows, np.uint64)
                 owner, line, start, words, unit = [], [], [], [], []  # paragraphs
-                w_owner, w_start, w_unit = [], [], []  # windows, an array a text
+                w_owner, w_start, w_words, w_unit = [], [], [], []  # windows, an array a text
                 shingles, begins, held = [], [], 0
                 for i, text in enumerate(part.column(1).to_pylist()):
                     lines = paragraphs(text or "")
@@ -156,12 +156,13 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
                         places = winnowed(wide)
                         w_owner.append(np.full(len(places), i))
                         w_start.append(places)
+                        w_words.append(np.full(len(places), at))
                         w_unit.append(wide[places])
                 keys = band_keys(np.concatenate(shingles), np.array(begins)) if begins else np.zeros((0, BANDS), np.uint64)
                 n_windows = sum(map(len, w_unit))
                 empty = np.zeros(0, np.uint64)
                 bands = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(owner) + n_windows + 1), len(owner)) * BANDS, pa.int32()), pa.array(_signed(keys.ravel())))
-                columns = [np.concatenate([owner, *w_owner]), np.concatenate([line, *(np.where(np.arange(len(x)), -1, -2) for x in w_unit)]), np.concatenate([start, *w_start]), np.concatenate([words, np.full(n_windows, WINDOW_WORDS)])]
+                columns = [np.concatenate([owner, *w_owner]), np.concatenate([line, *(np.where(np.arange(len(x)), -1, -2) for x in w_unit)]), np.concatenate([start, *w_start]), np.concatenate([words, *w_words])]
                 at = columns[0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(_signed(docs[at])), *(pa.array(c.astype(np.int32)) for c in columns[1:]), pa.array(_signed(np.concatenate([empty, np.array(unit, np.uint64), *w_unit]))), bands], names=names)
 
@@ -249,15 +250,13 @@ def _whole(sums: np.ndarray) -> int:
 
 def _runs(df: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> DataFrame:
     """(doc, start, words, unit) of the runs of equal words around windows (id, doc, start, unit) that occur more than once, each against
-    the first place of its window; a run is given at both places.  Texts of the same words (doc) are one, the one of the least id."""
+    the first place of its window; a run is given at both places.  Texts of the same words (doc) are one, the one of the least id, and not laid beside themselves."""
     # most windows stand alone: they are counted before any place is shuffled
     shared = written(windows.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    spots = windows.join(_small(shared), "unit").groupBy("unit", "doc", "start", "n").agg(F.min(F.struct("id")).alias("x"), F.count("*").alias("copies"))
-    spots = written(spots.select("unit", "doc", "start", "n", "x.id", "copies"), "spots")
-    firsts = written(spots.groupBy("unit").agg(F.min(F.struct("id", "start", "doc", "copies")).alias("first")), "firsts")
-    # the first place is laid beside itself only if several rows are alike
-    alone = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")) & (F.col("copies") == 1)
-    placed = spots.join(_small(firsts), "unit").filter(~alone)
+    spots = windows.join(_small(shared), "unit").groupBy("unit", "doc", "start", "n").agg(F.min(F.struct("id")).alias("x"))
+    spots = written(spots.select("unit", "doc", "start", "n", "x.id"), "spots")
+    firsts = written(spots.groupBy("unit").agg(F.min(F.struct("id", "start", "doc")).alias("first")), "firsts")
+    placed = spots.join(_small(firsts), "unit").filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     placed = written(placed.select("id", "doc", "start", F.col("first.id").alias("other"), F.col("first.doc").alias("other_doc"), F.col("first.start").alias("at"), "unit", "n"), "anchors")
     for done in (shared, spots, firsts):
         drop_written(done)
@@ -306,6 +305,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     line is the paragraph's line number, or -1 for a passage: all the words in a row, across lines too, that are equal to those around the first
     place of a shared window; start_word counts the words of the text from 0.  component_id names the group of equal or near paragraphs
     (or equal passages), n_places how often it was found, keeps the first place by id, line and start; all other places are for removal.
+    Texts of 20 words and more that have the same words are one passage as a whole; passages within them are named at the first of these
+    texts only, as all others go.
 
     Null and empty texts have no paragraphs; repeated rows are further places; ids that are null take part (and come
     first); an empty table gives no rows; documents without repetition give none; other columns are not carried.
@@ -324,10 +325,13 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = lines.join(_small(parts), F.col("unit") == F.col("node"), "left").select("id", "line", "start", "words", F.coalesce("component", "unit").alias("component"))
     heads = named.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n > 1")
     alike = written(named.join(_small(written(heads, "groups")), "component"), "alike")
-    rows = places.filter("line = -2").select("id", "doc")  # one a text
+    # copies of a text are one passage, all its words; runs within it are given at its first row, or they would be as many as copies times runs
+    rows = places.filter("line = -2").select("id", "doc", "words")  # one a text
+    texts = written(rows.groupBy("doc", F.col("words").alias("total")).agg(F.count("*").alias("copies"), F.min(F.struct("id")).alias("x")), "texts")
+    whole = rows.join(_small(texts.filter("copies > 1").select("doc")), "doc").select("id", F.lit(-1).alias("line"), F.lit(0).alias("start"), "words", F.col("doc").alias("component"))
     runs = _runs(df, id_col, text_col, places.filter("line < 0").select("id", "doc", "start", "unit"))
-    passages = rows.join(runs, "doc").select("id", F.lit(-1).alias("line"), "start", "words", F.col("unit").alias("component"))
-    passages = written(passages, "passages")
+    runs = runs.join(texts, "doc").filter("copies = 1 or words < total").select("x.id", F.lit(-1).alias("line"), "start", "words", F.col("unit").alias("component"))
+    passages = written(whole.unionAll(runs), "passages")
     drop_written(places)
     firsts = passages.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "line", "start")).alias("first")).filter("n > 1")
     found = alike.select("component", "id", "line", "start", "words", "n", "first").unionByName(passages.join(firsts, "component"))

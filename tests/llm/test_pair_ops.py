@@ -275,6 +275,20 @@ def test_short_runs_are_no_passages(spark):
     assert {1, 2}.isdisjoint(r["doc_id"] for r in got) and {4, 5} <= {r["doc_id"] for r in got}
 
 
+def test_copies_are_one_passage_each(spark):
+    rng = random.Random(23)
+    base = words(rng, 200)
+    changed = [[*base[:k], f"new{k}", *base[k + 1 :]] for k in range(70, 130, 10)]
+    rows = [(i, " ".join(base)) for i in (3, 5, 6, 7, None)] + [(20 + i, " ".join(ws)) for i, ws in enumerate(changed)] + [(1, " ".join([*words(rng, 80), *base[60:140], *words(rng, 80)]))]
+    got = [r for r in paragraph_dedup.repeated_passages(frame(spark, rows)).collect() if r["line"] < 0]
+    whole = [(r["doc_id"], r["n_places"], r["keeps"]) for r in got if (r["start_word"], r["n_words"]) == (0, 200)]
+    assert sorted(whole, key=str) == [(3, 5, False), (5, 5, False), (6, 5, False), (7, 5, False), (None, 5, True)]
+    # the first copy names the passages within, the others only themselves
+    assert [sum(r["doc_id"] == i for r in got) for i in (3, 5, 6, 7)] == [1] * 4 and {r["doc_id"] for r in got} == {None, 1, 3, 5, 6, 7, *range(20, 26)}
+    kept = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert kept[None] == " ".join(base) and all(kept[i] == "" for i in (3, 5, 6, 7))
+
+
 def test_passage_in_a_removed_line_stays_elsewhere(spark):
     rng = random.Random(17)
     line, new = words(rng, 400), words(rng, 52)
