@@ -73,6 +73,24 @@ def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.hilbert import hilbert_shards
+
+    return hilbert_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.repair import damaged_and_repaired
+
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from acrelane.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), shared_starts=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_edit_embedding": op2_edit_embedding,
@@ -84,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hilbert_sharding": op11_hilbert_sharding,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
