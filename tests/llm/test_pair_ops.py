@@ -354,10 +354,28 @@ def test_decontamination_tolerates_substitutions(spark):
 def test_every_placement_of_substitutions_leaves_a_seed():
     from itertools import combinations
 
+    assert all(len(m) == 6 and m[-1] >= 6 for m in decontamination.MASKS)  # each ignores tokens
     for n in range(11, 25):
-        mask = decontamination.item_mask(n)
         for changed in combinations(range(n), n // 5):
-            assert any(all(i + o not in changed for o in mask) for i in range(n - mask[-1])), (n, changed)
+            assert any(all(i + o not in changed for o in mask) for mask in decontamination.item_masks(n) for i in range(n - mask[-1])), (n, changed)
+
+
+def test_fewest_changes_that_leave_no_seed():
+    """By the last tokens, changed or not: the least changes of a text of each length after which no mask fits anywhere."""
+    import numpy as np
+
+    span = max(m[-1] for m in decontamination.MASKS) + 1
+    states = np.arange(1 << span)
+    fits = np.zeros(len(states), bool)
+    for m in decontamination.MASKS:
+        fits |= states & sum(1 << (span - 1 - m[-1] + o) for o in m) == 0
+    least = np.where(states == len(states) - 1, 0, 10**6)  # nothing stands before the first token
+    for n in range(1, decontamination.ITEM_TOKENS + 1):
+        ahead = np.full(len(states), 10**6)
+        np.minimum.at(ahead, states >> 1, least)
+        np.minimum.at(ahead, states >> 1 | 1 << (span - 1), least + 1)
+        least = np.where(fits, 10**6, ahead)
+        assert n < 11 or least.min() > n // 5, n
 
 
 def test_decontamination_of_short_items_and_of_cuts(spark):
