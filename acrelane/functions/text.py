@@ -14,6 +14,8 @@ COMPANY_SUFFIXES = (
     "llc", "l.l.c", "l.l.c.", "ltd", "ltd.",
     "co", "co.", "company",
 )
+#: Spellings of a county road, letter case ignored, in the order in which they are replaced.  Fixed values.
+COUNTY_ROADS = (r"\bC\.?\s*R\.?\b", r"\bCo\.?\s*Rd\.?\b", r"\bCty\.?\s*Rd\.?\b", r"\bCounty\s+Rd\b")
 TRUE_WORDS, FALSE_WORDS = ("t", "true", "y", "yes", "1"), ("f", "false", "n", "no", "0")
 
 
@@ -33,11 +35,13 @@ def norm_join_key(c: Column) -> Column:
 
 
 def clean_street(c: Column) -> Column:
-    """Street with county-road spellings unified; '' for null, blank and placeholders.  A period behind the abbreviation stays."""
+    """Street with county-road spellings unified; '' for null, blank and placeholders.  The period of an abbreviation goes if a word follows it
+    at once."""
     text = F.coalesce(norm_text(c), F.lit(""))
-    for pattern in (r"(?i)\bc\.?\s*r\b", r"(?i)\bco\.?\s*rd\b", r"(?i)\bcty\.?\s*rd\b", r"(?i)\bcounty\s+road\b"):
-        text = F.regexp_replace(text, pattern, "County Road")
-    return F.when(F.lower(text).isin(*PLACEHOLDERS), "").otherwise(text)
+    clean = text
+    for pattern in COUNTY_ROADS:
+        clean = F.regexp_replace(clean, f"(?i){pattern}", "County Road")
+    return F.when(F.lower(text).isin(*PLACEHOLDERS), "").otherwise(F.coalesce(norm_text(clean), F.lit("")))
 
 
 def norm_company(c: Column) -> Column:
@@ -48,19 +52,19 @@ def norm_company(c: Column) -> Column:
 
 
 def normalize_url(c: Column) -> Column:
-    """A typed-in address as a URL: a single slash behind the scheme repaired, https:// put before a bare host; null for blank."""
-    text = blank_null(c)
-    fixed = F.regexp_replace(text, r"^(?i)(https?):/+", "$1://")
-    return F.when(fixed.rlike(r"^(?i)https?://"), fixed).otherwise(F.concat(F.lit("https://"), fixed))
+    """A typed-in address as a URL: a scheme with a single slash becomes https://, which is also put before what has no scheme in small letters; null for
+    blank."""
+    fixed = F.regexp_replace(blank_null(c), r"^https?:/(?!/)", "https://")
+    return F.when(fixed.rlike(r"^https?://"), fixed).otherwise(F.concat(F.lit("https://"), fixed))
 
 
 def split_site(c: Column) -> Column:
-    """struct(site 'https://host', bid_page_path, '' if none)."""
-    text = blank_null(c)
-    bare = F.regexp_replace(text, r"^(?i)https?://", "")
-    host = F.regexp_extract(bare, r"^([^/]+)", 1)
-    path = F.regexp_extract(bare, r"^[^/]+(/.+)$", 1)
-    return F.when(text.isNotNull(), F.struct(F.concat(F.lit("https://"), host).alias("site"), path.alias("bid_page_path")))
+    """struct(site, bid_page_path), null for blank: of a full URL https:// and the host, and what follows the host ('' if nothing does); of any other text
+    the whole behind https://, and no path."""
+    full = c.startswith("http://") | c.startswith("https://")
+    site = F.when(full, F.regexp_replace(c, r"(?i)^https?://([^/]+).*$", "https://$1")).otherwise(F.concat(F.lit("https://"), c))
+    path = F.when(full, F.regexp_replace(c, r"(?i)^https?://[^/]+(.*)$", "$1"))
+    return F.when(blank_null(c).isNotNull(), F.struct(site.alias("site"), path.alias("bid_page_path")))
 
 
 def usable_street(c: Column) -> Column:
@@ -70,15 +74,15 @@ def usable_street(c: Column) -> Column:
 
 
 def text_fold(texts: Column) -> Column:
-    """Texts of an array in order as one: blanks and repeats skipped, of two where one contains the other (case ignored) the longer kept, else
-    joined by a ruled line."""
+    """Texts of an array in order as one, with single spaces: blanks are skipped, of two where one contains the other (case ignored) the containing one
+    is kept, the later if they differ in case only, else they are joined by a ruled line."""
     rule = "\n\n---\n\n"
 
     def step(held, x):
         low_held, low = F.lower(held), F.lower(x)
-        return F.when(x.isNull() | (x == ""), held).when(held.isNull(), x).when(F.contains(low_held, low), held).when(F.contains(low, low_held), x).otherwise(F.concat(held, F.lit(rule), x))
+        return F.when(x.isNull() | (x == ""), held).when(held.isNull(), x).when(F.contains(low, low_held), x).when(F.contains(low_held, low), held).otherwise(F.concat(held, F.lit(rule), x))
 
-    return F.aggregate(F.transform(texts, lambda x: F.trim(x)), F.lit(None).cast("string"), step)
+    return F.aggregate(F.transform(texts, norm_text), F.lit(None).cast("string"), step)
 
 
 def longest(texts: Column) -> Column:

@@ -43,9 +43,11 @@ def facility_score(columns: Sequence[str]) -> Column:
 
 
 def _members(rows: DataFrame, group: Sequence[str], id_col: str, fields: Sequence[str], points: Column) -> DataFrame:
-    """(group, xs): members of groups of two or more, best score first, then lowest id."""
-    members = F.array_sort(F.collect_list(F.struct(F.negative(points).alias("rank"), F.col(id_col).alias("id"), *[F.col(f) for f in fields])))
-    return rows.groupBy(*group).agg(members.alias("xs")).filter("size(xs) > 1")
+    """(group, xs): members of groups of two or more, first the base (best score, then lowest id), then the others by id."""
+    members = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.negative(points).alias("rank"), *[F.col(f) for f in fields])))
+    sorted_ = rows.groupBy(*group).agg(members.alias("xs")).filter("size(xs) > 1")
+    base = F.array_min(F.transform("xs", lambda x: F.struct(x["rank"], x["id"])))["id"]
+    return sorted_.withColumn("_base", base).withColumn("xs", F.concat(F.filter("xs", lambda x: x["id"] == F.col("_base")), F.filter("xs", lambda x: x["id"] != F.col("_base")))).drop("_base")
 
 
 def _first_filled(field: str) -> Column:
@@ -55,11 +57,17 @@ def _first_filled(field: str) -> Column:
 def propose_companies(company: DataFrame) -> DataFrame:
     """(key, base_id, member_ids, name, website, phone, notes) of companies with equal normalised names.
 
-    The base has the best score (ties: lowest id); website and phone are the first that are filled, notes are folded.
+    The base has the best score (ties: lowest id); its website and phone stay as they are if they are filled, else they are those of the first
+    other, by id, that has them; notes are folded, the base's first.
     """
     rows = company.withColumn("key", norm_company(F.col("name"))).filter("key <> ''")
     g = _members(rows, ["key"], "company_id", ["name", "website", "phone", "notes"], score(COMPANY_WEIGHTS))
-    return g.select("key", F.get("xs", F.lit(0))["id"].alias("base_id"), F.array_sort(F.transform("xs", lambda x: x["id"])).alias("member_ids"), F.get("xs", F.lit(0))["name"].alias("name"), _first_filled("website").alias("website"), _first_filled("phone").alias("phone"), text_fold(F.transform("xs", lambda x: x["notes"])).alias("notes"))
+
+    def own_or_first(field: str) -> Column:
+        own = F.get("xs", F.lit(0))[field]
+        return F.when(norm_text(own).isNotNull(), own).otherwise(F.coalesce(_first_filled(field), own)).alias(field)
+
+    return g.select("key", F.get("xs", F.lit(0))["id"].alias("base_id"), F.array_sort(F.transform("xs", lambda x: x["id"])).alias("member_ids"), F.get("xs", F.lit(0))["name"].alias("name"), own_or_first("website"), own_or_first("phone"), text_fold(F.transform("xs", lambda x: x["notes"])).alias("notes"))
 
 
 def trivial_companies(company: DataFrame, fields: Sequence[str] = ("website", "phone", "notes")) -> DataFrame:
@@ -71,24 +79,36 @@ def trivial_companies(company: DataFrame, fields: Sequence[str] = ("website", "p
     return rows.groupBy("key").agg(F.count("*").alias("n"), (same & ~none & (F.count_distinct("name") > 1)).alias("trivial")).filter("n > 1").drop("n")
 
 
-def trivial_facilities(groups: DataFrame, fields: Sequence[str] = ("city", "state", "postal_code", "phone", "website", "notes")) -> DataFrame:
-    """(group_key, trivial) of grouped facilities: addresses and names differ in spelling only, other fields not at all; fields that none has
-    are no difference."""
-    same = reduce(lambda a, b: a & b, [F.count_distinct(F.coalesce(norm_text(F.col(c)), F.lit(""))) == 1 for c in fields])
-    spelling = (F.count_distinct(F.lower(norm_text(F.col("name")))) <= 1) & (F.count_distinct(F.lower(clean_street(F.col("address")))) <= 1)
-    differs = (F.count_distinct("name") > 1) | (F.count_distinct(F.coalesce("address", F.lit(""))) > 1)
-    return groups.groupBy("group_key").agg((same & spelling & differs).alias("trivial"))
+#: Fields of a facility that a merge compares.
+FACILITY_FIELDS = ("company_id", "facility_type_id", "address", "address2", "city", "county", "state", "postal_code", "website", "phone", "email", "description", "notes", "source", "lat", "lon", "status", "geom_from_address")
+
+
+def trivial_facilities(groups: DataFrame, fields: Sequence[str] = FACILITY_FIELDS) -> DataFrame:
+    """(group_key, trivial) of grouped facilities: the names differ, but not as names of companies, and no other field has two values.  Missing values are
+    no difference, but of the status and of the flag of the place, which a merge sets."""
+    there = [c for c in fields if c in groups.columns]
+    texts = {c for c, kind in groups.dtypes if kind == "string"}
+    values = {c: F.count_distinct(norm_text(F.col(c)) if c in texts else F.col(c)) for c in there}
+    same = reduce(lambda a, b: a & b, [values[c] == 1 if c in ("status", "geom_from_address") else values[c] <= 1 for c in there], F.lit(True))
+    company = F.nullif(norm_company(F.col("name")), F.lit(""))
+    spelling = (F.count_distinct(norm_text(F.col("name"))) > 1) & (F.count(F.nullif("name", F.lit(""))) > 1) & (F.count_distinct(company) == 1)
+    return groups.groupBy("group_key").agg((same & spelling).alias("trivial"))
 
 
 def duplicate_groups(facility: DataFrame) -> DataFrame:
-    """facility rows with group_key and kind: 'address' groups share company, cleaned street, city and state; 'name' groups share company, name, city
-    and state, and none of their members is in an address group.  Only active rows; groups of one are left out."""
+    """facility rows with group_key and kind: 'address' groups share company, cleaned street, city, state and postal code, one of which is filled; 'name'
+    groups share company, name, city and state, all filled, and none of their members is in an address group.  Only active rows; groups of
+    one are left out, and so are rows without a company."""
     rows = facility.filter("status = 'ACTIVE'").withColumn("_street", F.lower(clean_street(F.col("address"))))
-    place = [F.col("company_id").cast("string"), F.lower(F.coalesce(norm_text(F.col("city")), F.lit(""))), F.lower(F.coalesce(norm_text(F.col("state")), F.lit("")))]
-    rows = rows.withColumns({"_a": F.when(F.col("_street") != "", F.concat_ws("|", F.lit("a"), *place, "_street")), "_n": F.concat_ws("|", F.lit("n"), *place, F.lower(F.coalesce(norm_text(F.col("name")), F.lit(""))))})
+    company = F.col("company_id").cast("string")
+    where = [F.coalesce(F.trim(F.lower("city")), F.lit("")), F.coalesce(F.trim(F.upper("state")), F.lit("")), F.coalesce(F.trim("postal_code"), F.lit(""))]
+    address = F.when(company.isNotNull() & (F.concat("_street", *where) != ""), F.concat_ws("|", F.lit("a"), company, "_street", *where))
+    named = [F.lower(norm_text(F.col("name"))), F.lower(norm_text(F.col("city"))), F.upper(norm_text(F.col("state")))]
+    name = F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in (company, *named)]), F.concat_ws("|", F.lit("n"), company, *named))
+    rows = rows.withColumns({"_a": address, "_n": name})
     big_a = rows.filter("_a is not null").groupBy("_a").agg(F.count("*").alias("_na")).filter("_na > 1")
     rows = rows.join(big_a, "_a", "left")
-    big_n = rows.groupBy("_n").agg(F.count("*").alias("_nn"), F.count("_na").alias("_in_address")).filter("_nn > 1 and _in_address = 0").select("_n", F.lit(True).alias("_alone"))
+    big_n = rows.filter("_n is not null").groupBy("_n").agg(F.count("*").alias("_nn"), F.count("_na").alias("_in_address")).filter("_nn > 1 and _in_address = 0").select("_n", F.lit(True).alias("_alone"))
     rows = rows.join(big_n, "_n", "left")
     key = F.when(F.col("_na").isNotNull(), F.col("_a")).when(F.col("_alone"), F.col("_n"))
     kind = F.when(F.col("_na").isNotNull(), "address").when(F.col("_alone"), "name")
@@ -116,14 +136,39 @@ def split_clusters(groups: DataFrame, max_metres: float = 250.0) -> DataFrame:
 
 
 def propose_facilities(groups: DataFrame) -> DataFrame:
-    """(group_key, base_id, member_ids, fields): base by weighted completeness; longest name; address parts and contacts base first; notes folded,
-    longest first; coordinates base first; status ACTIVE; address in title case."""
-    fields = ["name", "address", "city", "state", "postal_code", "phone", "website", "notes", "lon", "lat"]
-    g = _members(groups, ["group_key"], "facility_id", fields, facility_score(groups.columns))
-    placed = F.get(F.filter("xs", lambda x: x["lon"].isNotNull() & x["lat"].isNotNull()), F.lit(0))
-    notes = F.transform(F.array_sort(F.transform("xs", lambda x: F.struct(F.negative(F.coalesce(F.length(x["notes"]), F.lit(0))).alias("l"), x["id"].alias("id"), x["notes"].alias("t")))), lambda x: x["t"])
-    street = F.get(F.filter(F.transform("xs", lambda x: clean_street(x["address"])), lambda v: v != ""), F.lit(0))
-    return g.select("group_key", F.get("xs", F.lit(0))["id"].alias("base_id"), F.array_sort(F.transform("xs", lambda x: x["id"])).alias("member_ids"), longest(F.transform("xs", lambda x: norm_text(x["name"]))).alias("name"), F.initcap(street).alias("address"), *[_first_filled(c).alias(c) for c in ("city", "state", "postal_code", "phone", "website")], text_fold(notes).alias("notes"), placed["lon"].alias("lon"), placed["lat"].alias("lat"), F.lit("ACTIVE").alias("status"))
+    """(group_key, base_id, member_ids, fields): the base by weighted completeness (ties: lowest id); the longest name; the base's place and contacts, where it
+    has none those of the first by id; description, notes and source folded, longest first; latitude and longitude each the base's, else of
+    the first place that was found from its address, else of the first; that flag if any has it; status ACTIVE; the address in title case.
+
+    Of address2, county, email, description, source and geom_from_address those that are columns are merged.
+    """
+    def there(*names: str) -> list[str]:
+        return [c for c in names if c in groups.columns]
+
+    single = there("address", "address2", "city", "county", "state", "postal_code", "phone", "website", "email")
+    folded, flagged = there("description", "notes", "source"), there("geom_from_address")
+    g = _members(groups, ["group_key"], "facility_id", ["name", *single, *folded, *flagged, "lon", "lat"], facility_score(groups.columns))
+    base, by_id = F.get("xs", F.lit(0)), F.array_sort("xs")
+
+    def longest_first(c: str) -> Column:
+        sized = F.transform("xs", lambda x: F.struct(F.negative(F.coalesce(F.length(norm_text(x[c])), F.lit(0))).alias("l"), x["id"].alias("id"), x[c].alias("t")))
+        return F.transform(F.array_sort(sized), lambda x: x["t"])
+
+    def coordinate(c: str) -> Column:
+        first = F.get(F.filter(by_id, lambda x: x[c].isNotNull()), F.lit(0))[c]
+        from_address = [F.get(F.filter(by_id, lambda x: x[c].isNotNull() & F.coalesce(x["geom_from_address"], F.lit(False))), F.lit(0))[c]] if flagged else []
+        return F.coalesce(base[c], *from_address, first)
+
+    out = {c: _first_filled(c) for c in single}
+    if "address" in out:
+        words = F.split(clean_street(out["address"]), " ")
+        out["address"] = F.array_join(F.transform(words, lambda w: F.when(F.lower(w) == "ks", F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))))), " ")
+        out["address"] = F.when(_first_filled("address").isNotNull(), out["address"])
+    out |= {c: text_fold(longest_first(c)) for c in folded}
+    out |= {c: coordinate(c) for c in ("lon", "lat")}
+    out |= {c: F.exists("xs", lambda x: F.coalesce(x["geom_from_address"], F.lit(False))) for c in flagged}
+    name = F.coalesce(longest(F.transform(by_id, lambda x: norm_text(x["name"]))), base["name"])
+    return g.select("group_key", base["id"].alias("base_id"), F.array_sort(F.transform("xs", lambda x: x["id"])).alias("member_ids"), name.alias("name"), *[v.alias(c) for c, v in out.items()], F.lit("ACTIVE").alias("status"))
 
 
 def id_map(proposals: DataFrame) -> DataFrame:
@@ -183,7 +228,7 @@ def apply_merge(facility: DataFrame, proposals: DataFrame, accept: Column | None
     The target is the member that already holds the proposed key (the group's company, name, city, state; null city and state as ''), else another
     row that holds it, lowest ids first; else a new row with the next free id, in order of group_key; groups with one key share it.
     """
-    chosen = proposals if accept is None else proposals.filter(accept)
+    chosen = written(proposals if accept is None else proposals.filter(accept), "chosen")
     member = chosen.select("group_key", F.explode("member_ids").alias("facility_id"), "base_id", F.col("name").alias("_name"), F.col("city").alias("_city"), F.col("state").alias("_state"))
     company = member.join(facility.select(F.col("facility_id").alias("base_id"), F.col("company_id").alias("_company")), "base_id").select("group_key", "_company").distinct()
     wanted = chosen.join(company, "group_key").select("group_key", "_company", F.col("name").alias("_name"), F.coalesce("city", F.lit("")).alias("_city"), F.coalesce("state", F.lit("")).alias("_state"))
@@ -198,7 +243,7 @@ def apply_merge(facility: DataFrame, proposals: DataFrame, accept: Column | None
     last = facility.agg(F.coalesce(F.max("facility_id"), F.lit(0)).alias("_last"))
     fresh = fresh.join(F.broadcast(last)).select("group_key", (F.col("_last") + F.col("_no")).alias("target_id"))  # last is one row
     target = written(target.unionByName(fresh), "targets")
-    fields = ["name", "address", "city", "state", "postal_code", "phone", "website", "notes", "lon", "lat", "status"]
+    fields = [c for c in chosen.columns if c in facility.columns]
     new = chosen.join(target, "group_key").join(company, "group_key").select(F.col("target_id").alias("facility_id"), "group_key", "_company", *[F.col(c).alias(f"_{c}") for c in fields])
     # several groups may lead to one row, which takes the fields of the last
     new = new.groupBy("facility_id").agg(F.max_by(F.struct(*new.columns[2:]), "group_key").alias("_x")).select("facility_id", "_x.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acrelane.functions.text import FALSE_WORDS, TRUE_WORDS, blank_null, split_site
+from acrelane.shared import with_ordinal
 
 
 def typed_projection(df: DataFrame, schema: T.StructType, sources: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -99,11 +100,6 @@ def upsert_fill(old: DataFrame, new: DataFrame, key: Sequence[str], fill: Sequen
     return both.select(*out)
 
 
-def next_ids(df: DataFrame, start: Column, key: str) -> Column:
-    """Ids after start in order of key: only for distinct new entities, whose number a window of one task still holds."""
-    return start + F.row_number().over(Window.orderBy(key))
-
-
 def directory_to_facilities(directory: DataFrame, company: DataFrame, default_point: tuple[float, float] = (-98.0, 38.5)) -> DataFrame:
     """(company_id, name, city, state, street, zip, website, phone, lon, lat): one facility for each company, name, city and state of the
     directory; the last value that is not blank fills each field.  Companies that the table lacks are left out."""
@@ -124,23 +120,32 @@ def insert_contacts(contacts: DataFrame, directory: DataFrame, facility: DataFra
 
 
 def shape_plants(df: DataFrame) -> DataFrame:
-    """(seq, name, company, city, state, notes) of a list of plants with variant columns already coalesced."""
-    place = F.split(F.coalesce(blank_null(F.col("location")), F.lit("")), ",")
-    name = F.coalesce(blank_null(F.col("plant_name")), blank_null(F.col("company")))
-    state = F.coalesce(F.nullif(F.upper(F.trim(F.get(place, F.lit(1)))), F.lit("")), F.lit("KS"))
+    """(seq, name, company, city, state, notes) of a list of plants with variant columns already coalesced: plant_name, company, location, feedstock, rins,
+    capacity, and city, state, notes and description where they are there.
+
+    The location is the code of a state: it stands for a state that is not given, before KS.  A plant is named by the list, or by company and
+    location; without a location by its company alone.  What is known of its production makes the notes, else those of the list.
+    """
+    def value(c: str) -> Column:
+        return blank_null(F.col(c)) if c in df.columns else F.lit(None).cast("string")
 
-    def part(label, c, unit=""):
-        return F.when(blank_null(F.col(c)).isNotNull(), F.concat(F.lit(f"{label}: "), F.trim(c), F.lit(unit)))
+    def part(label: str, c: str, unit: str = "") -> Column:
+        return F.concat(F.lit(f"{label}: "), value(c), F.lit(unit))
 
-    notes = F.nullif(F.concat_ws("; ", part("Feedstock", "feedstock"), part("RINs", "rins"), part("Capacity", "capacity", " MMgy")), F.lit(""))
-    return df.select("seq", name.alias("name"), blank_null(F.col("company")).alias("company"), blank_null(F.get(place, F.lit(0))).alias("city"), state.alias("state"), notes.alias("notes"))
+    company, location = F.coalesce(value("company"), F.lit("Unknown Company")), value("location")
+    both = F.regexp_replace(F.concat(company, F.lit(" - "), location), r"^[ -]+|[ -]+$", "")
+    name = F.when(location.isNotNull(), F.coalesce(value("plant_name"), both)).otherwise(company)
+    made = F.nullif(F.concat_ws("; ", part("Feedstock", "feedstock"), part("RINs", "rins"), part("Capacity", "capacity", " MMgy")), F.lit(""))
+    state, notes = F.coalesce(value("state"), location, F.lit("KS")), F.coalesce(made, value("notes"), value("description"))
+    return df.select("seq", name.alias("name"), value("company").alias("company"), value("city").alias("city"), state.alias("state"), notes.alias("notes"))
 
 
 def import_plants(plants: DataFrame, company: DataFrame, facility: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New companies (company_id, name) by exact name, and new facilities (name, company, city, state, notes) that (name, city or '', state) lacks."""
     fresh = plants.filter("company is not null").select(F.col("company").alias("name")).distinct().join(company.select("name"), "name", "left_anti")
     start = company.agg(F.coalesce(F.max("company_id"), F.lit(0)).alias("_m"))
-    companies = fresh.join(F.broadcast(start)).withColumn("company_id", next_ids(fresh, F.col("_m"), "name")).select("company_id", "name")
+    # start is one row
+    companies = with_ordinal(fresh, "name", "_no").join(F.broadcast(start)).select((F.col("_m") + F.col("_no")).alias("company_id"), "name")
     known = facility.select("name", F.coalesce("city", F.lit("")).alias("_city"), "state").distinct()
     rows = plants.withColumn("_city", F.coalesce("city", F.lit(""))).join(known, ["name", "_city", "state"], "left_anti")
     first = rows.groupBy("name", "_city", "state").agg(F.min(F.struct("seq", "company", "city", "notes")).alias("x"))

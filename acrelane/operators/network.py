@@ -97,13 +97,14 @@ def label_ids(df: DataFrame, lookup: DataFrame, id_col: str, missing: str = "Unk
 
 
 def address_queries(df: DataFrame, id_col: str = "facility_id") -> DataFrame:
-    """(id, pos, query, mode): the full address if the street is usable, then city, state and zip."""
-    from acrelane.functions.text import blank_null, usable_street
-
-    city, state, zip_ = (blank_null(F.col(c)) for c in ("city", "state", "postal_code"))
-    tail = F.concat_ws(", ", city, F.nullif(F.concat_ws(" ", state, zip_), F.lit("")))
-    full = F.when(usable_street(F.col("address")) & city.isNotNull(), F.struct(F.concat_ws(", ", F.trim("address"), tail).alias("query"), F.lit("address").alias("mode")))
-    near = F.when(city.isNotNull() & state.isNotNull(), F.struct(tail.alias("query"), F.lit("city").alias("mode")))
+    """(id, pos, query, mode): all parts of the address (address2 too, if there is that column) if the street is usable, as mode address, then city, state and
+    postal code, if city and state are there, as mode city_state.  Streets are cleaned, the state is in capitals, parts are joined by ', '."""
+    from acrelane.functions.text import blank_null, clean_street, norm_text, usable_street
+
+    street, city, state, zip_ = F.nullif(clean_street(F.col("address")), F.lit("")), norm_text(F.col("city")), blank_null(F.upper(F.col("state"))), norm_text(F.col("postal_code"))
+    second = [F.nullif(clean_street(F.col("address2")), F.lit(""))] if "address2" in df.columns else []
+    full = F.when(usable_street(street), F.struct(F.concat_ws(", ", street, *second, city, state, zip_).alias("query"), F.lit("address").alias("mode")))
+    near = F.when(city.isNotNull() & state.isNotNull(), F.struct(F.concat_ws(", ", city, state, zip_).alias("query"), F.lit("city_state").alias("mode")))
     return df.select(id_col, F.posexplode(F.array_compact(F.array(full, near))).alias("pos", "q")).select(id_col, "pos", "q.query", "q.mode")
 
 

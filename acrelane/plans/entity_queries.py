@@ -15,17 +15,17 @@ def sql_text(c):
 
 
 def sql_fold(texts):
-    """Fold of a DuckDB list of texts."""
+    """Fold of a DuckDB list of texts, white space collapsed first; the later of two where it contains the earlier."""
     rule = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
-    kept = f"list_filter(list_transform({texts}, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '')"
-    step = f"CASE WHEN contains(lower(a), lower(b)) THEN a WHEN contains(lower(b), lower(a)) THEN b ELSE a || {rule} || b END"
+    kept = f"list_filter(list_transform({texts}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x IS NOT NULL AND x <> '')"
+    step = f"CASE WHEN contains(lower(b), lower(a)) THEN b WHEN contains(lower(a), lower(b)) THEN a ELSE a || {rule} || b END"
     return f"CASE WHEN len({kept}) > 0 THEN list_reduce({kept}, lambda a, b: {step}) END"
 
 
-@query("text_fold", f"SELECT c_nationkey AS id, {sql_fold('list(t ORDER BY c_custkey)')} AS folded FROM (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN ' note ' || CAST(c_custkey % 6 AS VARCHAR) ELSE 'Note ' || CAST(c_custkey % 30 AS VARCHAR) END AS t FROM {{customer}} c) x GROUP BY c_nationkey")
+@query("text_fold", f"SELECT c_nationkey AS id, {sql_fold('list(t ORDER BY c_custkey)')} AS folded FROM (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN ' note   ' || CAST(c_custkey % 6 AS VARCHAR) ELSE 'Note ' || CAST(c_custkey % 30 AS VARCHAR) END AS t FROM {{customer}} c) x GROUP BY c_nationkey")
 def text_fold_query(t):
     k = F.col("c_custkey")
-    text = F.when(k % 4 == 0, None).when(k % 4 == 1, F.concat(F.lit(" note "), (k % 6).cast("string"))).otherwise(F.concat(F.lit("Note "), (k % 30).cast("string")))
+    text = F.when(k % 4 == 0, None).when(k % 4 == 1, F.concat(F.lit(" note   "), (k % 6).cast("string"))).otherwise(F.concat(F.lit("Note "), (k % 30).cast("string")))
     rows = t("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), text.alias("t")))).alias("xs"))
     return rows.select(F.col("c_nationkey").alias("id"), text_fold(F.transform("xs", lambda x: x["t"])).alias("folded"))
 
@@ -36,7 +36,15 @@ def _filled(c, w):
 
 _COMPANIES = f"(SELECT *, {COMPANY_KEY} AS key, {_filled('name', 3)} + {_filled('website', 2)} + {_filled('phone', 2)} + {_filled('notes', 2)} AS score FROM {{company_dup}} c)"
 _ORDER = "ORDER BY score DESC, company_id"
-_PROPOSED = f"(SELECT key, first(company_id {_ORDER}) AS base_id, list(company_id ORDER BY company_id) AS member_ids, first(name {_ORDER}) AS name, first({sql_text('website')} {_ORDER}) FILTER (WHERE {sql_text('website')} IS NOT NULL) AS website, first({sql_text('phone')} {_ORDER}) FILTER (WHERE {sql_text('phone')} IS NOT NULL) AS phone, {sql_fold(f'list(notes {_ORDER})')} AS notes FROM {_COMPANIES} c WHERE key <> '' GROUP BY key HAVING count(*) > 1)"
+# the base is first, the others follow by id
+_RANKED = f"(SELECT *, row_number() OVER (PARTITION BY key {_ORDER}) > 1 AS other FROM {_COMPANIES} c WHERE key <> '')"
+
+
+def _kept(c):
+    return f"coalesce(CASE WHEN {sql_text(f'any_value({c}) FILTER (WHERE NOT other)')} IS NOT NULL THEN any_value({c}) FILTER (WHERE NOT other) END, first({sql_text(c)} ORDER BY company_id) FILTER (WHERE other AND {sql_text(c)} IS NOT NULL), any_value({c}) FILTER (WHERE NOT other)) AS {c}"
+
+
+_PROPOSED = f"(SELECT key, any_value(company_id) FILTER (WHERE NOT other) AS base_id, list(company_id ORDER BY company_id) AS member_ids, any_value(name) FILTER (WHERE NOT other) AS name, {_kept('website')}, {_kept('phone')}, {sql_fold('list(notes ORDER BY other, company_id)')} AS notes FROM {_RANKED} c GROUP BY key HAVING count(*) > 1)"
 
 
 @query("company_merge_proposal", f"SELECT key, base_id, array_to_string(member_ids, ',') AS members, name, website, phone, notes FROM {_PROPOSED} p")
@@ -55,11 +63,11 @@ def trivial_merge_flag(t):
     return entities.trivial_companies(c)
 
 
-_PLACE = "CAST(company_id AS VARCHAR) || '|' || lower(coalesce(" + sql_text("city") + ", '')) || '|' || lower(coalesce(" + sql_text("state") + ", ''))"
-_GROUPS = f"""(WITH a AS (SELECT *, lower({CLEAN_STREET}) AS street, {_PLACE} AS place FROM {{fac_dup}} f WHERE status = 'ACTIVE'),
- b AS (SELECT *, CASE WHEN street <> '' THEN 'a|' || place || '|' || street END AS ka, 'n|' || place || '|' || lower(coalesce({sql_text('name')}, '')) AS kn FROM a),
+_GROUPS = f"""(WITH a AS (SELECT *, lower({CLEAN_STREET}) AS street, trim(lower(coalesce(city, ''))) AS c1, trim(upper(coalesce(state, ''))) AS s1, trim(coalesce(postal_code, '')) AS z1 FROM {{fac_dup}} f WHERE status = 'ACTIVE' AND company_id IS NOT NULL),
+ b AS (SELECT *, CASE WHEN street || c1 || s1 || z1 <> '' THEN concat_ws('|', 'a', company_id, street, c1, s1, z1) END AS ka,
+  CASE WHEN c1 <> '' AND s1 <> '' AND {sql_text('name')} IS NOT NULL THEN concat_ws('|', 'n', company_id, lower({sql_text('name')}), lower({sql_text('city')}), upper({sql_text('state')})) END AS kn FROM a),
  c AS (SELECT *, ka IS NOT NULL AND count(*) OVER (PARTITION BY ka) > 1 AS ina FROM b),
- d AS (SELECT *, count(*) OVER (PARTITION BY kn) > 1 AND NOT bool_or(ina) OVER (PARTITION BY kn) AS inn FROM c)
+ d AS (SELECT *, kn IS NOT NULL AND count(*) OVER (PARTITION BY kn) > 1 AND NOT bool_or(ina) OVER (PARTITION BY kn) AS inn FROM c)
  SELECT *, CASE WHEN ina THEN ka ELSE kn END AS group_key, CASE WHEN ina THEN 'address' ELSE 'name' END AS kind FROM d WHERE ina OR inn)"""
 
 
@@ -68,10 +76,14 @@ def dup_groups(t):
     return entities.duplicate_groups(t("fac_dup")).select("facility_id", "group_key", "kind")
 
 
-@query("trivial_facility_flag", f"SELECT group_key, {' AND '.join(f'count(DISTINCT coalesce({sql_text(c)}, {chr(39)}{chr(39)})) = 1' for c in ('city', 'state'))} AND count(DISTINCT lower({sql_text('name')})) <= 1 AND count(DISTINCT lower({CLEAN_STREET})) <= 1 AND (count(DISTINCT name) > 1 OR count(DISTINCT coalesce(address, '')) > 1) AS trivial FROM (SELECT * REPLACE ('E' || kind AS name) FROM {_GROUPS} g) h GROUP BY group_key")
+# a field with two values is a difference, a missing value is none but in what a merge sets
+_ONE_VALUE = " AND ".join([f"count(DISTINCT {sql_text(c)}) <= 1" for c in ("address", "address2", "city", "state", "postal_code", "website", "phone", "email", "description", "notes")] + ["count(DISTINCT lat) <= 1", "count(DISTINCT lon) <= 1", "count(DISTINCT status) = 1", "count(DISTINCT geom_from_address) = 1"])
+
+
+@query("trivial_facility_flag", f"SELECT group_key, {_ONE_VALUE} AND count(DISTINCT {sql_text('name')}) > 1 AND count(nullif(name, '')) > 1 AND count(DISTINCT nullif({COMPANY_KEY}, '')) = 1 AS trivial FROM (SELECT * REPLACE (CASE WHEN company_id % 7 = 3 THEN '5 Mill' ELSE address END AS address) FROM {_GROUPS} g) h GROUP BY group_key")
 def trivial_facility_flag(t):
-    groups = entities.duplicate_groups(t("fac_dup")).withColumn("name", F.concat(F.lit("E"), "kind"))
-    return entities.trivial_facilities(groups, ["city", "state"])
+    groups = entities.duplicate_groups(t("fac_dup"))
+    return entities.trivial_facilities(groups.withColumn("address", F.when(F.col("company_id") % 7 == 3, "5 Mill").otherwise(F.col("address"))))
 
 
 # distances within a group differ by multiples of thousandths of a degree; the fold is checked by a recursive query
@@ -87,21 +99,33 @@ def cluster_split(t):
     return entities.split_clusters(entities.duplicate_groups(t("fac_dup")), 250.0)
 
 
-_FSCORE = " + ".join(_filled(f"CAST({c} AS VARCHAR)", w) for c, w in (("notes", 4), ("website", 2), ("phone", 2), ("address", 3), ("city", 2), ("state", 2), ("postal_code", 2), ("lat", 2), ("lon", 2)))
-_FSCORE += " + CASE WHEN lon IS NOT NULL AND lat IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN status = 'ACTIVE' THEN 2 ELSE 0 END"
-_FG = f"(SELECT *, {_FSCORE} AS score, {CLEAN_STREET} AS clean FROM {_GROUPS} g)"
-_FO = "ORDER BY score DESC, facility_id"
+_FSCORE = " + ".join(_filled(f"CAST({c} AS VARCHAR)", w) for c, w in (("description", 5), ("notes", 4), ("website", 2), ("phone", 2), ("email", 2), ("address", 3), ("city", 2), ("state", 2), ("postal_code", 2), ("lat", 2), ("lon", 2)))
+_FSCORE += " + CASE WHEN lon IS NOT NULL AND lat IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN status = 'ACTIVE' THEN 2 ELSE 0 END + CASE WHEN geom_from_address THEN 1 ELSE 0 END"
+_FG = f"(SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY score DESC, facility_id) > 1 AS other FROM (SELECT *, {_FSCORE} AS score FROM {_GROUPS} g) h)"
+
+
+def _own(c):
+    return f"any_value({c}) FILTER (WHERE NOT other)"
 
 
 def _ff(c):
-    return f"first({sql_text(c)} {_FO}) FILTER (WHERE {sql_text(c)} IS NOT NULL) AS {c}"
+    return f"first({sql_text(c)} ORDER BY other, facility_id) FILTER (WHERE {sql_text(c)} IS NOT NULL)"
+
+
+def _at(c):
+    return f"coalesce({_own(c)}, first({c} ORDER BY facility_id) FILTER (WHERE geom_from_address AND {c} IS NOT NULL), first({c} ORDER BY facility_id) FILTER (WHERE {c} IS NOT NULL)) AS {c}"
+
+
+def _chunks(c):
+    return f"{sql_fold(f'list({c} ORDER BY coalesce(length({sql_text(c)}), 0) DESC, facility_id)')} AS {c}"
 
 
-_TITLE = "array_to_string(list_transform(string_split(first(clean {o}) FILTER (WHERE clean <> ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')".replace("{o}", _FO)
-_FPROP = f"(SELECT group_key, first(facility_id {_FO}) AS base_id, list(facility_id ORDER BY facility_id) AS member_ids, first({sql_text('name')} ORDER BY length({sql_text('name')}) DESC, score DESC, facility_id) AS name, {_TITLE} AS address, {', '.join(map(_ff, ('city', 'state', 'postal_code', 'phone', 'website')))}, {sql_fold('list(notes ORDER BY coalesce(length(notes), 0) DESC, facility_id)')} AS notes, first(lon {_FO}) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS lon, first(lat {_FO}) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS lat, 'ACTIVE' AS status FROM {_FG} g GROUP BY group_key)"
+_FPROP = f"""(SELECT * REPLACE (CASE WHEN address IS NOT NULL THEN array_to_string(list_transform(string_split({CLEAN_STREET}, ' '), lambda w: CASE WHEN lower(w) = 'ks' THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ') END AS address)
+ FROM (SELECT group_key, {_own('facility_id')} AS base_id, list(facility_id ORDER BY facility_id) AS member_ids, first({sql_text('name')} ORDER BY length({sql_text('name')}) DESC NULLS LAST, facility_id) AS name,
+ {', '.join(f'{_ff(c)} AS {c}' for c in ('address', 'address2', 'city', 'state', 'postal_code', 'phone', 'website', 'email'))}, {_chunks('description')}, {_chunks('notes')}, {_at('lon')}, {_at('lat')}, bool_or(coalesce(geom_from_address, FALSE)) AS geom_from_address, 'ACTIVE' AS status FROM {_FG} g GROUP BY group_key) u)"""
 
 
-@query("facility_merge_proposal", f"SELECT group_key, base_id, array_to_string(member_ids, ',') AS members, name, address, city, state, postal_code, phone, website, notes, lon, lat, status FROM {_FPROP} p")
+@query("facility_merge_proposal", f"SELECT group_key, base_id, array_to_string(member_ids, ',') AS members, name, address, address2, city, state, postal_code, phone, website, email, description, notes, lon, lat, geom_from_address, status FROM {_FPROP} p")
 def facility_merge_proposal(t):
     p = entities.propose_facilities(entities.duplicate_groups(t("fac_dup")))
     return p.withColumn("members", F.array_join("member_ids", ",")).drop("member_ids")

@@ -109,20 +109,39 @@ def needs_geocode(t):
     return parcels.needs_geocode(t("facility")).select("facility_id", F.lit("default_point").alias("mode")).unionAll(parcels.needs_geocode(t("facility"), "address").select("facility_id", F.lit("address").alias("mode")))
 
 
-_TAIL = "concat_ws(', ', nullif(trim(city), ''), nullif(concat_ws(' ', nullif(trim(state), ''), nullif(trim(postal_code), '')), ''))"
-_QUERIES = f"(SELECT facility_id, CAST(0 AS INT) AS pos, concat_ws(', ', trim(address), {_TAIL}) AS query, 'address' AS mode FROM {{facility}} f WHERE {_USABLE} AND city IS NOT NULL UNION ALL SELECT facility_id, CASE WHEN {_USABLE} AND city IS NOT NULL THEN 1 ELSE 0 END, {_TAIL}, 'city' FROM {{facility}} f WHERE city IS NOT NULL AND state IS NOT NULL)"
+# streets as the geocoding tool cleans them, parts joined by commas
+_ROADS = (r"\bC\.?\s*R\.?\b", r"\bCo\.?\s*Rd\.?\b", r"\bCty\.?\s*Rd\.?\b", r"\bCounty\s+Rd\b")
+
+
+def _street(c):
+    text = clean = rf"coalesce(trim(regexp_replace({c}, '\s+', ' ', 'g')), '')"
+    for road in _ROADS:
+        clean = f"regexp_replace({clean}, '{road}', 'County Road', 'gi')"
+    return f"CASE WHEN lower({text}) IN ('n/a', 'na', 'none', 'unknown', 'null', '-', '--') THEN '' ELSE trim({clean}) END"
+
+
+CLEAN_STREET = _street("address")
+_LINES = "(SELECT f.*, CASE WHEN facility_id % 8 = 3 THEN '  Dock 4 c.r. 2' WHEN facility_id % 8 = 5 THEN '--' END AS address2 FROM {facility} f)"
+_PARTS = f"(SELECT facility_id, nullif({CLEAN_STREET}, '') AS street, nullif({_street('address2')}, '') AS street2, nullif(trim(city), '') AS city, nullif(trim(upper(state)), '') AS state, nullif(trim(postal_code), '') AS zip FROM {_LINES} l)"
+_FULL = "street IS NOT NULL AND (regexp_matches(street, '[0-9]') OR length(street) >= 6)"
+_QUERIES = f"(SELECT facility_id, CAST(0 AS INT) AS pos, concat_ws(', ', street, street2, city, state, zip) AS query, 'address' AS mode FROM {_PARTS} p WHERE {_FULL} UNION ALL SELECT facility_id, CASE WHEN {_FULL} THEN 1 ELSE 0 END, concat_ws(', ', city, state, zip), 'city_state' FROM {_PARTS} p WHERE city IS NOT NULL AND state IS NOT NULL)"
+
+
+def address_lines(t):
+    k = F.col("facility_id") % 8
+    return t("facility").withColumn("address2", F.when(k == 3, "  Dock 4 c.r. 2").when(k == 5, "--"))
 
 
 @query("address_query_build", f"SELECT facility_id, pos, query, mode FROM {_QUERIES} q")
 def address_query_build(t):
-    return network.address_queries(t("facility"))
+    return network.address_queries(address_lines(t))
 
 
-_GAZ = f"(SELECT query, min(facility_id) / 100e0 AS lon, max(facility_id) / 100e0 AS lat FROM {_QUERIES} q WHERE (mode = 'city') OR facility_id % 3 = 0 GROUP BY query)"
+_GAZ = f"(SELECT query, min(facility_id) / 100e0 AS lon, max(facility_id) / 100e0 AS lat FROM {_QUERIES} q WHERE (mode = 'city_state') OR facility_id % 3 = 0 GROUP BY query)"
 
 
 def gazetteer(t):
-    known = network.address_queries(t("facility")).filter("mode = 'city' or facility_id % 3 = 0")
+    known = network.address_queries(address_lines(t)).filter("mode = 'city_state' or facility_id % 3 = 0")
     return known.groupBy("query").agg((F.min("facility_id") / 100.0).alias("lon"), (F.max("facility_id") / 100.0).alias("lat"))
 
 
@@ -131,7 +150,7 @@ _CASCADE = f"(SELECT facility_id, query, mode, lon, lat FROM (SELECT q.*, g.lon,
 
 @query("cascade_lookup", f"SELECT facility_id, query, mode, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {_CASCADE} c")
 def cascade_lookup(t):
-    return network.cascade_lookup(network.address_queries(t("facility")), gazetteer(t)).withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
+    return network.cascade_lookup(network.address_queries(address_lines(t)), gazetteer(t)).withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
 
 
 @query("sink_audit_log", f"""SELECT f.facility_id, coalesce(c.query, a.query) AS query, f.lon AS old_lon, f.lat AS old_lat, round(c.lon, 6) AS new_lon, round(c.lat, 6) AS new_lat,
@@ -140,7 +159,7 @@ def cascade_lookup(t):
 def sink_audit_log(t):
     from acrelane.operators.ingest import audit_log
 
-    asked = network.address_queries(t("facility"))
+    asked = network.address_queries(address_lines(t))
     log = audit_log(t("facility"), network.cascade_lookup(asked, gazetteer(t)), asked)
     return log.withColumns({c: F.round(c, 6) for c in ("new_lon", "new_lat")})
 
@@ -151,12 +170,6 @@ def text_normalize(t):
     return t("customer").select(F.col("c_custkey").alias("id"), norm_text(raw).alias("text"))
 
 
-_STREET = r"coalesce(trim(regexp_replace(address, '\s+', ' ', 'g')), '')"
-for _p in (r"\bc\.?\s*r\b", r"\bco\.?\s*rd\b", r"\bcty\.?\s*rd\b", r"\bcounty\s+road\b"):
-    _STREET = f"regexp_replace({_STREET}, '{_p}', 'County Road', 'gi')"
-CLEAN_STREET = f"CASE WHEN lower({_STREET}) IN ('n/a', 'na', 'none', 'unknown', 'null', '-', '--') THEN '' ELSE {_STREET} END"
-
-
 @query("street_normalize", f"SELECT facility_id, {CLEAN_STREET} AS street FROM {{facility}} f")
 def street_normalize(t):
     return t("facility").select("facility_id", clean_street(F.col("address")).alias("street"))
@@ -170,7 +183,19 @@ def company_name_normalize(t):
     return t("company_dup").select("company_id", norm_company(F.col("name")).alias("key"))
 
 
-@query("url_normalize", r"""SELECT facility_id, CASE WHEN website LIKE 'http%' THEN website ELSE 'https://' || website END AS url, 'https://' || regexp_extract(regexp_replace(website, '^https?://', ''), '^([^/]+)', 1) AS site, CASE WHEN website IS NOT NULL THEN regexp_extract(regexp_replace(website, '^https?://', ''), '^[^/]+(/.+)$', 1) END AS bid_page_path FROM {facility} f""")
+# a single slash behind the scheme is repaired; sites of full URLs in small letters are cut at the host, all else is taken whole
+def site_of(c):
+    return f"CASE WHEN trim({c}) = '' THEN NULL WHEN {c} LIKE 'http://%' OR {c} LIKE 'https://%' THEN regexp_replace({c}, '^https?://([^/]+).*$', 'https://\\1', 'i') ELSE 'https://' || {c} END"
+
+
+def path_of(c):
+    return f"CASE WHEN {c} LIKE 'http://%' OR {c} LIKE 'https://%' THEN regexp_replace({c}, '^https?://[^/]+(.*)$', '\\1', 'i') END"
+
+
+_URL = "CASE WHEN regexp_matches(website, '^https?:/([^/]|$)') THEN regexp_replace(website, '^https?:/', 'https://') WHEN website LIKE 'http://%' OR website LIKE 'https://%' THEN website ELSE 'https://' || website END"
+
+
+@query("url_normalize", f"SELECT facility_id, {_URL} AS url, {site_of('website')} AS site, {path_of('website')} AS bid_page_path FROM {{facility}} f")
 def url_normalize(t):
     site = split_site(F.col("website"))
     return t("facility").select("facility_id", normalize_url(F.col("website")).alias("url"), site["site"].alias("site"), site["bid_page_path"].alias("bid_page_path"))

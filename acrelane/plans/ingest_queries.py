@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acrelane.operators import ingest
+from acrelane.plans.facility_queries import path_of, site_of
 from acrelane.plans.registry import query
 
 _STAGED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("geoid", T.StringType()), T.StructField("acres", T.DoubleType()), T.StructField("homestead", T.BooleanType()), T.StructField("any_id", T.StringType()), T.StructField("yearbuilt", T.IntegerType())])
@@ -88,8 +89,10 @@ def contact_insert(t):
     return ingest.insert_contacts(contacts, d, facility)
 
 
-_PLANTS = """(SELECT seq, coalesce(nullif(trim(plant_name), ''), nullif(trim(company), '')) AS name, nullif(trim(company), '') AS company, nullif(trim(split_part(coalesce(location, ''), ',', 1)), '') AS city, coalesce(nullif(upper(trim(split_part(coalesce(location, ''), ',', 2))), ''), 'KS') AS state,
- nullif(concat_ws('; ', CASE WHEN trim(feedstock) <> '' THEN 'Feedstock: ' || trim(feedstock) END, CASE WHEN trim(rins) <> '' THEN 'RINs: ' || trim(rins) END, CASE WHEN trim(capacity) <> '' THEN 'Capacity: ' || trim(capacity) || ' MMgy' END), '') AS notes FROM {plants} p)"""
+# the location is a state's code; the row's name is used only where there is a location
+_PLANTS = """(SELECT seq, CASE WHEN trim(location) <> '' THEN coalesce(nullif(trim(plant_name), ''), coalesce(nullif(trim(company), ''), 'Unknown Company') || ' - ' || trim(location)) ELSE coalesce(nullif(trim(company), ''), 'Unknown Company') END AS name,
+ nullif(trim(company), '') AS company, nullif(trim(city), '') AS city, coalesce(nullif(trim(state), ''), nullif(trim(location), ''), 'KS') AS state,
+ coalesce(nullif(concat_ws('; ', CASE WHEN trim(feedstock) <> '' THEN 'Feedstock: ' || trim(feedstock) END, CASE WHEN trim(rins) <> '' THEN 'RINs: ' || trim(rins) END, CASE WHEN trim(capacity) <> '' THEN 'Capacity: ' || trim(capacity) || ' MMgy' END), ''), nullif(trim(notes), ''), nullif(trim(description), '')) AS notes FROM {plants} p)"""
 
 
 @query("plant_row_shape", f"SELECT seq, name, company, city, state, notes FROM {_PLANTS} p")
@@ -114,17 +117,9 @@ def plants_new_companies(t):
     return _imported(t)[0]
 
 
-def _site(a):
-    return f"'https://' || regexp_extract(regexp_replace({a}, '^https?://', ''), '^([^/]+)', 1)"
-
-
-def _path(a):
-    return f"regexp_extract(regexp_replace({a}, '^https?://', ''), '^[^/]+(/.+)$', 1)"
-
-
-@query("site_seed_urls", f"""WITH u AS (SELECT {_site('website')} AS site FROM {{facility}} f WHERE website IS NOT NULL AND facility_id % 13 = 2),
- a AS (SELECT company_id, CAST(NULL AS BIGINT) AS facility_id, {_site('website')} AS site, {_path('website')} AS bid_page_path, row_number() OVER (PARTITION BY {_site('website')} ORDER BY company_id) AS rn FROM {{company}} c WHERE website IS NOT NULL AND {_site('website')} NOT IN (SELECT site FROM u)),
- b AS (SELECT company_id, facility_id, {_site('website')} AS site, {_path('website')} AS bid_page_path, row_number() OVER (PARTITION BY {_site('website')} ORDER BY facility_id) AS rn FROM {{facility}} f WHERE website IS NOT NULL AND {_site('website')} NOT IN (SELECT site FROM u UNION ALL SELECT site FROM a))
+@query("site_seed_urls", f"""WITH u AS (SELECT {site_of('website')} AS site FROM {{facility}} f WHERE website IS NOT NULL AND facility_id % 13 = 2),
+ a AS (SELECT company_id, CAST(NULL AS BIGINT) AS facility_id, {site_of('website')} AS site, {path_of('website')} AS bid_page_path, row_number() OVER (PARTITION BY {site_of('website')} ORDER BY company_id) AS rn FROM {{company}} c WHERE website IS NOT NULL AND {site_of('website')} NOT IN (SELECT site FROM u)),
+ b AS (SELECT company_id, facility_id, {site_of('website')} AS site, {path_of('website')} AS bid_page_path, row_number() OVER (PARTITION BY {site_of('website')} ORDER BY facility_id) AS rn FROM {{facility}} f WHERE website IS NOT NULL AND {site_of('website')} NOT IN (SELECT site FROM u UNION ALL SELECT site FROM a))
  SELECT company_id, facility_id, site, bid_page_path FROM a WHERE rn = 1 UNION ALL SELECT company_id, facility_id, site, bid_page_path FROM b WHERE rn = 1""")
 def site_seed_urls(t):
     from acrelane.functions.text import split_site

@@ -13,11 +13,11 @@ SHAPES: dict[str, str] = {
     "facility": """
         SELECT s_suppkey AS facility_id, CAST(s_nationkey AS BIGINT) AS company_id, s_suppkey % 4 + 1 AS facility_type_id,
           s_name AS name, CASE WHEN s_suppkey % 6 = 0 THEN 'n/a' WHEN s_suppkey % 6 = 1 THEN NULL
-            ELSE CAST(s_suppkey % 90 + 10 AS STRING) || ' Co. Rd. ' || CAST(s_suppkey % 17 AS STRING) END AS address,
+            ELSE CAST(s_suppkey % 90 + 10 AS STRING) || CASE s_suppkey % 5 WHEN 0 THEN ' Co. Rd. ' WHEN 1 THEN '  County Rd ' WHEN 2 THEN ' C.R.' WHEN 3 THEN ' Co.Rd.' ELSE ' cr ' END || CAST(s_suppkey % 17 AS STRING) END AS address,
           CASE WHEN s_suppkey % 11 = 3 THEN NULL ELSE 'City ' || CAST(s_suppkey % 23 AS STRING) END AS city,
           'KS' AS state, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(67000 + s_suppkey % 900 AS STRING) END AS postal_code,
           CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE '620-555-' || CAST(1000 + s_suppkey % 9000 AS STRING) END AS phone,
-          CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN 'http://grain' || CAST(s_suppkey % 31 AS STRING) || '.example.com/bids/today'
+          CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 12 = 1 THEN 'http:/grain' || CAST(s_suppkey % 31 AS STRING) || '.example.com/' WHEN s_suppkey % 12 = 2 THEN 'http:///grain' || CAST(s_suppkey % 31 AS STRING) || '.example.com' WHEN s_suppkey % 12 = 3 THEN 'https://grain' || CAST(s_suppkey % 31 AS STRING) || '.example.com/' WHEN s_suppkey % 12 = 6 THEN 'HTTP://grain' || CAST(s_suppkey % 31 AS STRING) || '.example.com' WHEN s_suppkey % 4 = 1 THEN 'http://grain' || CAST(s_suppkey % 31 AS STRING) || '.example.com/bids/today'
             ELSE 'www.grain' || CAST(s_suppkey % 31 AS STRING) || '.example.com' END AS website,
           CASE WHEN s_suppkey % 7 = 0 THEN 'From KGFA list' END AS notes,
           CASE WHEN s_suppkey % 10 = 9 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status,
@@ -67,8 +67,8 @@ SHAPES: dict[str, str] = {
     "mode": "SELECT CAST(r_regionkey AS BIGINT) AS mode_id, 'Mode ' || r_name AS name FROM {region}",
     "staged": "SELECT c_custkey AS seq, ' ' || CAST(c_custkey % 700 AS STRING) || ' ' AS geoid, CASE WHEN c_custkey % 40 = 0 THEN '' ELSE 'P' || CAST(c_custkey % 900 AS STRING) END AS parcelnumb, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(c_custkey % 5000 AS STRING) || '.5' END AS acres, CASE c_custkey % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN ' f ' WHEN 2 THEN 'true' WHEN 3 THEN 'maybe' WHEN 4 THEN '0' END AS homestead, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'A' || CAST(c_custkey AS STRING) END AS alt_id, 'B' || CAST(c_custkey AS STRING) AS main_id, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE '19' || CAST(10 + c_custkey % 90 AS STRING) END AS yearbuilt FROM {customer}",
     "directory": "SELECT c_custkey AS seq, 'Coop ' || CAST(c_custkey % 120 AS STRING) AS company, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Town ' || CAST(c_custkey % 35 AS STRING) END AS city, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'KS' END AS state, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_custkey % 400 AS STRING) || ' Elm' END AS street, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE CAST(66000 + c_custkey % 999 AS STRING) END AS zip, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'coop' || CAST(c_custkey % 120 AS STRING) || '.example.com' END AS website, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '785-555-' || CAST(1000 + c_custkey % 9000 AS STRING) END AS phone, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 'Person ' || CAST(c_custkey % 200 AS STRING) END AS contact, 'https://list.example.com/' || CAST(c_custkey % 1000 AS STRING) AS detail_url FROM {customer}",
-    "plants": "SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Plant ' || CAST(s_suppkey % 50 AS STRING) END AS plant_name, 'Ethanol ' || CAST(s_suppkey % 20 AS STRING) AS company, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'Town ' || CAST(s_suppkey % 9 AS STRING) || ', NE' END AS location, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'Corn' END AS feedstock, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'D6' END AS rins, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE CAST(s_suppkey % 120 AS STRING) END AS capacity FROM {supplier}",
-    "fac_dup": "SELECT c_custkey AS facility_id, CAST(floor(c_custkey / 6) AS BIGINT) AS company_id, 'Elevator ' || CAST(CAST(floor(c_custkey / 6) % 97 AS INT) AS STRING) || CASE WHEN c_custkey % 3 = 0 THEN ' East' ELSE '' END AS name, CASE WHEN c_custkey % 5 = 0 OR floor(c_custkey / 6) % 4 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN CAST(CAST(floor(c_custkey / 6) % 11 + 10 AS INT) AS STRING) || ' Co. Rd. 5' ELSE CAST(CAST(floor(c_custkey / 6) % 11 + 10 AS INT) AS STRING) || '  county road. 5' END AS address, 'City ' || CAST(CAST(floor(c_custkey / 6) % 7 AS INT) AS STRING) AS city, 'KS' AS state, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(67000 + c_custkey % 9 AS STRING) END AS postal_code, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '620-555-' || CAST(1000 + c_custkey % 9 AS STRING) END AS phone, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'f' || CAST(c_custkey % 9 AS STRING) || '.example.com' END AS website, CASE WHEN c_custkey % 3 = 1 THEN 'n' || CAST(c_custkey % 5 AS STRING) END AS notes, CASE WHEN c_custkey % 10 = 9 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE -98E0 + CAST(c_custkey % 40 AS DOUBLE) / 1000E0 END AS lon, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 38E0 + CAST(c_custkey % 30 AS DOUBLE) / 1000E0 END AS lat FROM {customer}",
+    "plants": "SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Plant ' || CAST(s_suppkey % 50 AS STRING) END AS plant_name, 'Ethanol ' || CAST(s_suppkey % 20 AS STRING) AS company, CASE WHEN s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 3 = 1 THEN ' NE ' ELSE 'IA' END AS location, CASE WHEN s_suppkey % 4 = 1 THEN '' ELSE 'Town ' || CAST(s_suppkey % 9 AS STRING) END AS city, CASE WHEN s_suppkey % 11 = 0 THEN 'SD' END AS state, CASE WHEN s_suppkey % 10 = 0 THEN ' Idle ' END AS notes, CASE WHEN s_suppkey % 15 = 0 THEN 'Sold' END AS description, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'Corn' END AS feedstock, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'D6' END AS rins, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE CAST(s_suppkey % 120 AS STRING) END AS capacity FROM {supplier}",
+    "fac_dup": "SELECT c_custkey AS facility_id, CAST(floor(c_custkey / 6) AS BIGINT) AS company_id, 'Elevator ' || CAST(CAST(floor(c_custkey / 6) % 97 AS INT) AS STRING) || CASE WHEN floor(c_custkey / 6) % 7 = 3 THEN CASE WHEN c_custkey % 2 = 0 THEN ' Inc.' ELSE ', LLC' END WHEN c_custkey % 3 = 0 THEN ' East' ELSE '' END AS name, CASE WHEN c_custkey % 5 = 0 OR floor(c_custkey / 6) % 4 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN CAST(CAST(floor(c_custkey / 6) % 11 + 10 AS INT) AS STRING) || CASE WHEN c_custkey % 4 = 0 THEN ' C.R. 5' ELSE ' Co. Rd. 5' END ELSE CAST(CAST(floor(c_custkey / 6) % 11 + 10 AS INT) AS STRING) || '  county Rd 5' END AS address, 'City ' || CAST(CAST(floor(c_custkey / 6) % 7 AS INT) AS STRING) AS city, 'KS' AS state, CASE WHEN c_custkey % 12 = 9 THEN NULL ELSE CAST(67000 + CAST(floor(c_custkey / 6) % 9 AS INT) AS STRING) END AS postal_code, CASE WHEN c_custkey % 4 = 0 OR floor(c_custkey / 6) % 7 = 3 THEN NULL ELSE '620-555-' || CAST(1000 + c_custkey % 9 AS STRING) END AS phone, CASE WHEN c_custkey % 6 = 0 OR floor(c_custkey / 6) % 7 = 3 THEN NULL ELSE 'f' || CAST(c_custkey % 9 AS STRING) || '.example.com' END AS website, CASE WHEN c_custkey % 3 = 1 AND floor(c_custkey / 6) % 7 <> 3 THEN 'n  ' || CAST(c_custkey % 5 AS STRING) END AS notes, CASE WHEN c_custkey % 5 = 2 THEN 'Bldg ' || CAST(c_custkey % 3 AS STRING) END AS address2, CASE WHEN c_custkey % 5 = 2 AND floor(c_custkey / 6) % 7 <> 3 THEN 'bin' || CAST(c_custkey % 8 AS STRING) || '@example.com' END AS email, CASE WHEN c_custkey % 7 = 2 AND floor(c_custkey / 6) % 7 <> 3 THEN 'Rail  served ' || CAST(c_custkey % 3 AS STRING) END AS description, CASE WHEN c_custkey % 9 = 2 THEN NULL ELSE c_custkey % 9 = 5 AND floor(c_custkey / 6) % 7 <> 3 END AS geom_from_address, CASE WHEN c_custkey % 10 = 9 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, CASE WHEN c_custkey % 8 = 0 OR floor(c_custkey / 6) % 7 = 3 THEN NULL ELSE -98E0 + CAST(c_custkey % 40 AS DOUBLE) / 1000E0 END AS lon, CASE WHEN c_custkey % 8 IN (0, 3) OR floor(c_custkey / 6) % 7 = 3 THEN NULL ELSE 38E0 + CAST(c_custkey % 30 AS DOUBLE) / 1000E0 END AS lat FROM {customer}",
     "bid_pages": """SELECT page_id, url, html || CASE WHEN page_id % 9 = 0 THEN '<p>Cash Bids: corn $4.56</p>' WHEN page_id % 9 = 1 THEN '<table><tr><td>Grain Prices</td><td>Milo 4.10 / bu</td></tr></table>'
           WHEN page_id % 9 = 2 THEN '<p>New Crop bid for sorghum, 5.50 per Bushel</p>' WHEN page_id % 9 = 3 THEN '<p>Daily price sheet: wheat price and grain</p>' WHEN page_id % 9 = 4 THEN '<p>grain market price</p>' ELSE '' END AS html FROM {pages}""",
     "repeats": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DECIMAL(12,2)) AS qty, CAST(l_extendedprice AS DECIMAL(14,2)) AS price FROM {lineitem}",

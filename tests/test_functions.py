@@ -22,7 +22,7 @@ def test_norm_text(spark, value, want):
     assert one(spark, text.norm_text(F.col("v")), v=value) == want
 
 
-@pytest.mark.parametrize("value, want", [("77  c.r. 9 N", "77 County Road. 9 N"), ("4 Co Rd 812", "4 County Road 812"), ("Cty. Rd K", "County Road K"), ("1 county  road 3", "1 County Road 3"), ("Unknown", ""), (" - ", ""), (None, "")])
+@pytest.mark.parametrize("value, want", [("77  c.r. 9 N", "77 County Road. 9 N"), ("C.R.10", "County Road10"), ("7 Co.Rd.9", "7 County Road9"), ("5 County  rd 12", "5 County Road 12"), ("4 Co Rd 812", "4 County Road 812"), ("Cty. Rd K", "County Road K"), ("1 county  road 3", "1 county road 3"), ("Unknown", ""), (" - ", ""), (None, "")])
 def test_street(spark, value, want):
     assert one(spark, text.clean_street(F.col("v")), v=value) == want
 
@@ -32,12 +32,18 @@ def test_company(spark, value, want):
     assert one(spark, text.norm_company(F.col("v")), v=value) == want
 
 
-@pytest.mark.parametrize("value, want", [("http:/x.com", "http://x.com"), ("x.com/a", "https://x.com/a"), ("HTTPS://x.com", "HTTPS://x.com"), (" ", None)])
+@pytest.mark.parametrize("value, want", [("http:/x.com", "https://x.com"), ("http:///x.com", "http:///x.com"), ("https:/", "https://"), (" www.x.com ", "https://www.x.com"), ("http://x.com/a", "http://x.com/a"), ("x.com/a", "https://x.com/a"), ("HTTPS://x.com", "https://HTTPS://x.com"), (" ", None)])
 def test_url(spark, value, want):
     assert one(spark, text.normalize_url(F.col("v")), v=value) == want
 
 
-@pytest.mark.parametrize("values, want", [(["a", "b"], "a\n\n---\n\nb"), (["a", None], "a"), (["a", "a"], "a"), ([None, None], None), (["Long text", "long"], "Long text"), (["x", "an X here"], "an X here")])
+@pytest.mark.parametrize("value, want", [("http://x.com", ("https://x.com", "")), ("https://x.com/", ("https://x.com", "/")), ("http://x.com/a?b", ("https://x.com", "/a?b")), ("www.x.com/a", ("https://www.x.com/a", None)), ("x.com/a/", ("https://x.com/a/", None)), ("HTTP://x.com/a", ("https://HTTP://x.com/a", None)), (" ", None), (None, None)])
+def test_site(spark, value, want):
+    got = one(spark, text.split_site(F.col("v")), v=value)
+    assert (got and tuple(got)) == want
+
+
+@pytest.mark.parametrize("values, want", [(["a", "b"], "a\n\n---\n\nb"), (["a", None], "a"), (["a", "a"], "a"), ([None, None], None), (["Long text", "long"], "Long text"), (["x", "an X here"], "an X here"), (["Two  words", "two words"], "two words"), (["  a \n b "], "a b")])
 def test_text_fold(spark, values, want):
     df = spark.createDataFrame([(values,)], "v array<string>")
     assert df.select(text.text_fold(F.col("v")).alias("x")).first()["x"] == want
