@@ -64,6 +64,26 @@ def src_road_graph(t):
     return readers.read_road_graph(t.spark, path, (-98.9, 38.0, -98.75, 38.3))[1].select("src", "dst", "length_m", "highway")
 
 
+def mapped_ways(t):
+    """Roads of the grid as ways of two nodes; motorways run one way."""
+    speed = F.col("p_size") % 5
+    tags = F.when(speed == 0, "residential").when(speed == 1, "unclassified").when(speed == 2, "primary").when(speed == 3, "track").otherwise("motorway")
+    return t("edges_one").filter("src % 7 <> 3 or dst - src = 1").select((F.col("src") * 2 + F.expr("int(dst - src = 1)")).alias("way"), F.array("src", "dst").alias("refs"), tags.alias("highway"), F.when(speed == 4, "yes").alias("oneway"))
+
+
+@query("src_road_map")
+def src_road_map(t):
+    """The grid written as a map in XML and read again: largest component, chains as one edge."""
+    path = shared_path(t.spark, "map")
+    t("nodes").select(F.col("node").alias("_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(f"{path}/nodes.osm")
+    pair = lambda k, v: F.struct(F.lit(k).alias("_k"), v.alias("_v"))
+    tags = F.array_compact(F.array(pair("highway", F.col("highway")), F.when(F.col("oneway").isNotNull(), pair("oneway", F.col("oneway")))))
+    ways = mapped_ways(t).select(F.col("way").alias("_id"), F.transform("refs", lambda r: F.struct(r.alias("_ref"))).alias("nd"), tags.alias("tag"))
+    ways.write.format("xml").option("rootTag", "osm").option("rowTag", "way").save(f"{path}/ways.osm")
+    edges = readers.read_road_graph(t.spark, f"{path}/*.osm")[1]
+    return edges.select("src", "dst", F.round("length_m", 3).alias("length_m"), F.array_join("highway", ",").alias("highway"))
+
+
 @query("src_speed_table", "SELECT highway, count(*) AS n_edges, max(CASE highway WHEN 'primary' THEN 60e0 WHEN 'motorway' THEN 70e0 WHEN 'unclassified' THEN 40e0 END) AS mph FROM {edges} e GROUP BY highway")
 def src_speed_table(t):
     table = routing.speed_table(t.spark, {"primary": 60, "motorway": "70", "unclassified": 40.0, 5: 10} | {"motorway": 70})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acrelane.functions.text import blank_null
+from acrelane.operators.roads import road_graph
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
@@ -80,9 +81,24 @@ def clip_graph(nodes: DataFrame, edges: DataFrame, box: tuple[float, float, floa
     return nodes.join(touched, "node", "left_semi"), kept
 
 
+def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ways) of map files in XML: (node, lon, lat) and (way, refs, highway, surface, oneway, junction) of the ways that are roads."""
+    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lon double, _lat double").load(path).toDF("node", "lon", "lat")
+    ways = spark.read.format("xml").option("rowTag", "way").schema("_id long, nd array<struct<_ref long>>, tag array<struct<_k string, _v string>>").load(path)
+
+    def tag(name: str):
+        return F.get(F.filter("tag", lambda t: t["_k"] == name), F.lit(0))["_v"].alias(name)
+
+    ways = ways.select(F.col("_id").alias("way"), F.col("nd._ref").alias("refs"), *[tag(name) for name in ("highway", "surface", "oneway", "junction")])
+    return nodes, ways.filter("highway is not null and refs is not null")
+
+
 def read_road_graph(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph saved as GraphML (.graphml) or as Parquet folders nodes and edges; an empty graph is an error."""
-    if path.endswith(".graphml"):
+    """(nodes, edges) of a graph saved as GraphML (.graphml), of a map in XML (.osm, .xml; its largest component, simplified, with tags as lists), or of
+    Parquet folders nodes and edges; an empty graph is an error."""
+    if path.endswith((".osm", ".xml")):
+        nodes, edges = road_graph(*read_osm(spark, path))
+    elif path.endswith(".graphml"):
         def elements(tag: str) -> DataFrame:
             keyed = "data array<struct<_key string, _VALUE string>>"
             ends = "_id string" if tag == "node" else "_source string, _target string"
