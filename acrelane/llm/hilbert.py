@@ -22,7 +22,7 @@ BITS = 6
 ROW_BYTES = 8
 
 
-def _curve_steps(n: int) -> tuple[list[int], list[int]]:
+def curve_steps(n: int) -> tuple[list[int], list[int]]:
     """digit and next state by state * 2**n + corner, for a curve in n dimensions: the state is the corner at which a cube is entered and the axis
     along which it is left."""
     full = (1 << n) - 1
@@ -56,7 +56,7 @@ def _curve_steps(n: int) -> tuple[list[int], list[int]]:
 def curve_index(buckets: Sequence[Column], bits: int) -> Column:
     """The place on the Hilbert curve of a cell whose coordinates are integers of so many bits: neighbours on the curve are neighbours in the cube."""
     n = len(buckets)
-    digits, states = (F.array(*[F.lit(v) for v in table]) for table in _curve_steps(n))
+    digits, states = (F.array(*[F.lit(v) for v in table]) for table in curve_steps(n))
     levels = F.array(*[F.lit(level) for level in range(bits - 1, -1, -1)])
 
     def corner(level: Column) -> Column:

@@ -12,20 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acrelane.llm.common import arrow_map, written
-
-#: Bits of monotonically_increasing_id that number the rows of a partition.
-_ROW_BITS = (1 << 33) - 1
-
-
-def in_ranges(df: DataFrame, *order: str) -> DataFrame:
-    """df, sorted by the given columns (nulls first) over ranges and written, with _part (the range) and _pos (the place in it, from 0).
-
-    Rows equal in all of them stand in the order in which they are read, and may be split over ranges.
-    """
-    salted = df.withColumn("_row", F.monotonically_increasing_id())
-    ranged = salted.repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
-    return written(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_pos")), "ranges")
+from acrelane.llm.common import arrow_map
+from acrelane.shared import in_ranges  # noqa: F401
 
 
 def running(ranged: DataFrame, key: str | None, **aggregates: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acrelane.llm import chat as _chat
 from acrelane.llm import decontamination as _decontamination
+from acrelane.llm import sql as _sql
 from acrelane.llm.common import table
 
 
@@ -108,4 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {"op5_perspective_rotation": _chat.SQL, "op8_spaced_seed_decontamination": _decontamination.SQL}
+SQL: dict[str, str] = {
+    "op5_perspective_rotation": _chat.SQL,
+    "op8_spaced_seed_decontamination": _decontamination.SQL,
+    "op11_hilbert_sharding": _sql.SHARDS,
+    "op12_conversation_repair": _sql.REPAIR,
+    "op13_conversation_trie": _sql.TRIE,
+}

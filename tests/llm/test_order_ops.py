@@ -32,6 +32,19 @@ def conversations(spark, sf_dir):
     return [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
 
 
+@pytest.mark.parametrize("name, table", [("op11_hilbert_sharding", "documents"), ("op12_conversation_repair", "conversations"), ("op13_conversation_trie", "conversations")])
+def test_queries_are_sql(spark, sf_dir, name, table):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    cursor = con.execute(queries.SQL[name])
+    names = [d[0] for d in cursor.description]
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, cursor.fetchall()))
+
+
 # ---- Hilbert shards
 
 
