@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrelane.shared import written
+
 #: Background, cloud, water and developed codes.  Fixed values.
 SKIP_CODES = (0, 111, 121, 122, 123, 124, 131)
 ACRES_PER_PIXEL = 0.222394
+#: Rows and columns of a tile.
+TILE = 16
 
 
 def pixels_to_acres(n: Column) -> Column:
@@ -57,6 +61,37 @@ def zonal_counts(pixels: DataFrame, regions: DataFrame, nodata: int | None = Non
     return keep_crop_counts(counts, skip, min_pixels).withColumn("acres", pixels_to_acres(F.col("pixel_count")))
 
 
+def tile_histograms(pixels: DataFrame, tile: int = TILE, nodata: int | None = None) -> DataFrame:
+    """(tile_row, tile_col, code, n) of square tiles of a raster, with a column year by year too: a table to be written once and used for any regions."""
+    dots = pixels if nodata is None else pixels.filter(F.col("code") != nodata)
+    years = ["year"] if "year" in pixels.columns else []
+    return dots.groupBy(F.floor(F.col("row_no") / tile).alias("tile_row"), F.floor(F.col("col_no") / tile).alias("tile_col"), *years, "code").agg(F.count("*").alias("n"))
+
+
+def tile_spans(regions: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The tiles that lie wholly in a region (region_id, tile_row, tile_col), and the spans in the others (region_id, row_no, tile_col, from_col, to_col, end
+    exclusive), whose number grows with the outline."""
+    pieces = region_spans(regions).withColumns({"c0": F.ceil(F.col("x0") - 0.5), "c1": F.ceil(F.col("x1") - 0.5), "tile_row": F.floor(F.col("row_no") / tile)}).filter("c0 < c1")
+    pieces = pieces.withColumn("tile_col", F.explode(F.sequence(F.floor(F.col("c0") / tile), F.floor((F.col("c1") - 1) / tile))))
+    pieces = pieces.withColumns({"from_col": F.greatest("c0", F.col("tile_col") * tile), "to_col": F.least("c1", (F.col("tile_col") + 1) * tile)})
+    pieces = written(pieces.select("region_id", "row_no", "tile_row", "tile_col", "from_col", "to_col"), "spans")
+    whole = pieces.groupBy("region_id", "tile_row", "tile_col").agg(F.sum(F.col("to_col") - F.col("from_col")).alias("n")).filter(F.col("n") == tile * tile).drop("n")
+    return whole, pieces.join(whole, ["region_id", "tile_row", "tile_col"], "left_anti").drop("tile_row")
+
+
+def tiled_counts(pixels: DataFrame, histograms: DataFrame, regions: DataFrame, tile: int = TILE, nodata: int | None = None, skip: Sequence[int] = SKIP_CODES, min_pixels: int = 10) -> DataFrame:
+    """zonal_counts() by tile_histograms() of the same pixels: tiles wholly in a region give their histogram, and only tiles on an outline are
+    opened, by the row and column of tiles, so that pixels of the others are not joined with anything."""
+    years = ["year"] if "year" in pixels.columns else []
+    whole, spans = tile_spans(regions, tile)
+    within = histograms.join(whole, ["tile_row", "tile_col"]).select("region_id", *years, "code", "n")
+    dots = pixels if nodata is None else pixels.filter(F.col("code") != nodata)
+    dots = dots.select("row_no", "col_no", "code", *years, F.floor(F.col("col_no") / tile).alias("tile_col"))
+    outline = dots.join(spans, ["row_no", "tile_col"]).filter((F.col("col_no") >= F.col("from_col")) & (F.col("col_no") < F.col("to_col"))).select("region_id", *years, "code", F.lit(1).cast("long").alias("n"))
+    counts = within.unionAll(outline).groupBy("region_id", *years, "code").agg(F.sum("n").alias("pixel_count"))
+    return keep_crop_counts(counts, skip, min_pixels).withColumn("acres", pixels_to_acres(F.col("pixel_count")))
+
+
 def raster_profile(pixels: DataFrame, nodata: int | None = None, top: int = 20) -> tuple[DataFrame, DataFrame]:
     """One row of totals, least, greatest, mean and median code; and the most frequent codes with their share in percent."""
     is_none = F.lit(False) if nodata is None else F.col("code") == nodata

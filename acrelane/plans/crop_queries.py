@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from acrelane.operators import crops
 from acrelane.operators.ingest import upsert_acres
 from acrelane.plans.registry import query
+from acrelane.shared import written
 
 _STAR = "(SELECT a.*, r.name AS region_name, r.region_type, c.cdl_code, c.name AS crop_name, c.category, c.is_row_crop FROM {crop_acres} a JOIN {crop_region} r ON a.region_id = r.region_id JOIN {crop_type} c ON a.crop_type_id = c.crop_type_id)"
 
@@ -89,11 +90,21 @@ def _inside(points):
 _ZONAL = " UNION ALL ".join(f"SELECT CAST(floor(row_no / 100) AS BIGINT) * 5 + {i} AS region_id, code FROM {{pixels}} p WHERE ({' + '.join(_inside(r) for r in parts)}) % 2 = 1" for i, parts in enumerate(_RINGS))
 
 
-@query("crop_zonal_counts", f"SELECT region_id, code, count(*) AS pixel_count, round(count(*) * 0.222394e0, 4) AS acres FROM ({_ZONAL}) z WHERE code NOT IN (0, 111, 121, 122, 123, 124, 131) AND code <> 255 GROUP BY region_id, code HAVING count(*) >= 10")
+_COUNTED = f"SELECT region_id, code, count(*) AS pixel_count, round(count(*) * 0.222394e0, 4) AS acres FROM ({_ZONAL}) z WHERE code NOT IN (0, 111, 121, 122, 123, 124, 131) AND code <> 255 GROUP BY region_id, code HAVING count(*) >= 10"
+
+
+@query("crop_zonal_counts", _COUNTED)
 def crop_zonal_counts(t):
     return crops.zonal_counts(t("pixels"), regions(t), nodata=255)
 
 
+@query("crop_tiled_counts", _COUNTED)
+def crop_tiled_counts(t):
+    """The same by histograms of tiles."""
+    tiles = written(crops.tile_histograms(t("pixels"), nodata=255), "tiles")
+    return crops.tiled_counts(t("pixels"), tiles, regions(t), nodata=255)
+
+
 _VALID = "(SELECT code FROM {pixels} p WHERE code <> 255)"
 
 

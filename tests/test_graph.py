@@ -197,6 +197,25 @@ def test_regions_over_the_edges_of_a_raster(spark):
     assert got == {(k, 2000 + y, 1 + y): 4 for k in (2, 3) for y in range(2)}
 
 
+def test_tiles_open_outlines_only(spark):
+    from acrelane.operators import crops
+
+    size = 256
+    pixels = spark.range(size * size).selectExpr("cast(id % 256 as int) col_no", "cast(id div 256 as int) row_no", "cast(1 + (id * 7919) % 5 as int) code", "cast(2000 + id % 2 as int) year")
+    circle = lambda x, y, r: [(x + r * math.cos(k * math.pi / 32), y + r * math.sin(k * math.pi / 32)) for k in range(64)]
+    rings = [(1, [circle(120.0, 120.0, 100.0)]), (2, [circle(200.3, 90.7, 90.0), circle(190.0, 80.0, 30.0)]), (3, [[(-40.0, -40.0), (300.0, -40.0), (300.0, 300.0), (-40.0, 300.0)]]), (4, [[(3.0, 3.0), (3.4, 3.0), (3.4, 3.4)]])]
+    regions = spark.createDataFrame(rings, "region_id int, rings array<array<struct<x: double, y: double>>>")
+    told = lambda df: {(r["region_id"], r["year"], r["code"]): (r["pixel_count"], r["acres"]) for r in df.collect()}
+    want = told(crops.zonal_counts(pixels, regions, nodata=5, min_pixels=1))
+    for tile in (4, 16, 100):
+        tiles = crops.tile_histograms(pixels, tile, nodata=5)
+        assert told(crops.tiled_counts(pixels, tiles, regions, tile, nodata=5, min_pixels=1)) == want
+    whole, spans = crops.tile_spans(regions.filter("region_id = 1"), 4)
+    opened = spans.agg(F.sum(F.col("to_col") - F.col("from_col"))).first()[0]
+    # a circle's outline of 628 pixels touches some 2 * 628 / 4 tiles of 16
+    assert whole.count() > 1500 and opened < 3 * 628 * 4
+
+
 def test_csv_is_read_as_usual(spark, tmp_path):
     from acrelane.sources import sinks
 
