@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date, timedelta
 from functools import lru_cache
@@ -165,8 +166,18 @@ def _day(y: int, m: int, d: int) -> date | None:
     return day if FIRST_DAY <= day <= LAST_DAY else None
 
 
+@lru_cache(maxsize=4)
+def _days_like(day_digits: int, month_digits: int) -> list[int]:
+    """The days, as ordinals, whose day and month have so many digits."""
+    days = (FIRST_DAY + timedelta(i) for i in range((LAST_DAY - FIRST_DAY).days + 1))
+    return [d.toordinal() for d in days if (len(str(d.day)), len(str(d.month))) == (day_digits, month_digits)]
+
+
 def _moved(day: date, key: bytes) -> date:
-    return FIRST_DAY + timedelta(permute((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, key, "date"))
+    """Another day with as many digits in day and month, so that any way to write a date keeps its length, and the same for all ways."""
+    digits = len(str(day.day)), len(str(day.month))
+    days = _days_like(*digits)
+    return date.fromordinal(days[permute(bisect_left(days, day.toordinal()), len(days), key, f"date{digits[0]}{digits[1]}")])
 
 
 def _iso(text: str, key: bytes) -> str | None:
@@ -180,7 +191,8 @@ def _iso(text: str, key: bytes) -> str | None:
 
 def _written_date(text: str, key: bytes) -> str | None:
     """Day, month, year; month first if the value is valid so and is parted by slashes."""
-    a, b, y = (int(x) for x in re.split(r"[-/.]", text))
+    parts = re.split(r"[-/.]", text)
+    a, b, y = map(int, parts)
     sep = re.search(r"[-/.]", text)[0]
     month_first = sep == "/" and _day(y, a, b) is not None
     day = _day(y, a, b) if month_first else _day(y, b, a)
@@ -188,7 +200,7 @@ def _written_date(text: str, key: bytes) -> str | None:
         return None
     new = _moved(day, key)
     first, second = (new.month, new.day) if month_first else (new.day, new.month)
-    return f"{first:02d}{sep}{second:02d}{sep}{new.year:04d}"
+    return f"{first:0{len(parts[0])}d}{sep}{second:0{len(parts[1])}d}{sep}{new.year:04d}"
 
 
 #: Kind, pattern and pseudonym function, in the order in which they are tried at a position.  Fixed formats.

@@ -209,6 +209,22 @@ def test_pseudonyms_keep_formats():
         assert pii.replace_all(plain, key) == (plain, {})
 
 
+def test_dates_keep_their_width_and_stay_linked():
+    key = b"k" * 32
+    for value in ("1/2/2020", "01/02/2020", "12/3/1988", "3.11.2001", "30-9-1950", "2020-01-02", "25.12.2020"):
+        new = pii.replace_all(f"Born {value}, she", key)[0][5:-5]
+        assert new != value and [len(p) for p in re.split(r"[-/.]", new)] == [len(p) for p in re.split(r"[-/.]", value)], (value, new)
+    # one day in several spellings becomes one day
+    short, padded, iso, dotted = (pii.replace_all(v, key)[0] for v in ("1/2/2020", "01/02/2020", "2020-01-02", "2.1.2020"))
+    m, d, y = map(int, short.split("/"))
+    assert padded == f"{m:02d}/{d:02d}/{y}" and iso == f"{y}-{m:02d}-{d:02d}" and dotted == f"{d}.{m}.{y}"
+    # every day has one image, with as many digits
+    days = [pii.FIRST_DAY + datetime.timedelta(i) for i in range(0, 73049)]
+    moved = [pii._moved(day, key) for day in days[::40]]
+    assert len(set(moved)) == len(moved)
+    assert all(len(f"{a.day}{a.month}") == len(f"{b.day}{b.month}") and len(str(a.day)) == len(str(b.day)) for a, b in zip(days[::40], moved, strict=True))
+
+
 def test_pseudonyms_differ_by_key_and_not_by_document(spark, edge):
     df = spark.createDataFrame([(1, "call +1 (743) 555-3824", "z"), (2, "or +1 (743) 555-3824!", None), (3, None, None)], "doc_id long, text string, `k.x` string")
     a = {r["doc_id"]: r for r in pii.pseudonymise(df, key="one", keep=("k.x",)).collect()}
