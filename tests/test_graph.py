@@ -235,7 +235,50 @@ def test_empty_geojson_is_an_error(spark, tmp_path):
         raise AssertionError("no error")
 
 
-def test_rows_of_the_others(spark, sf_dir):
+def plain_reach(urls, arcs, found, max_pages=50, enough=10):
+    """{site: [page, ...]} in the order of visits; urls: page -> (site, address), arcs: page -> [(pos, address)]."""
+    at, homes = {}, {}
+    for page in sorted(urls):
+        at.setdefault(urls[page][1], page)
+        homes.setdefault(urls[page][0], page)
+    out = {}
+    for site, home in homes.items():
+        queue, order, met = [home], [], 0
+        while queue and len(order) < max_pages:
+            page = queue.pop(0)
+            if page in order:
+                continue
+            order.append(page)
+            met += page in found
+            if met < enough:
+                queue += [at[d] for _, d in sorted(arcs.get(page, []), key=lambda x: (x[0], at.get(x[1], 0))) if d in at and urls[at[d]][0] == site]
+        out[site] = order
+    return out
+
+
+def test_site_reach_ends_after_enough_pages(spark):
+    urls = {i: ("a.example.com", f"https://a.example.com/{i}") for i in range(30)}
+    arcs = {i: [(0, urls[j][1]) for j in (2 * i + 1, 2 * i + 2) if j < 30] for i in range(30)}
+    arcs = {i: [(k, d) for k, (_, d) in enumerate(ds)] for i, ds in arcs.items()}
+    p = spark.createDataFrame([(i, u, "") for i, (_, u) in urls.items()], "page_id long, url string, html string")
+    links = spark.createDataFrame([(i, urls[i][1], k, d) for i, ds in arcs.items() for k, d in ds], "page_id long, src_url string, pos int, dst_url string")
+    for good, enough in (([1, 2, 3], 3), ([1, 2, 3], 4), ([0], 1), ([5, 6, 20], 2)):
+        found = spark.createDataFrame([(g,) for g in good + good[:1]], "page_id long")
+        got = [r["page_id"] for r in sorted(pages.site_reach(p, links, found=found, enough=enough).collect(), key=lambda r: r["rank"])]
+        assert got == plain_reach(urls, arcs, set(good), enough=enough)["a.example.com"], (good, enough)
+
+
+def test_site_reach_query_is_breadth_first(spark, sf_dir):
     from acrelane.plans import registry
+    from acrelane.plans.graph_queries import page_arcs
 
-    assert registry.QUERIES["site_reach"](spark, sf_dir).count() > 0
+    t = registry.Tables(spark, sf_dir)
+    urls = {r["page_id"]: (r["site"], r["u"]) for r in t("pages").select("page_id", pages.host(F.col("url")).alias("site"), pages.bare_url(F.col("url")).alias("u")).collect()}
+    arcs = defaultdict(list)
+    for r in page_arcs(t).collect():
+        arcs[r["page_id"]].append((r["pos"], r["dst_url"]))
+    found = {r["page_id"] for r in pages.score_pages(t("bid_pages")).collect()}
+    got = defaultdict(list)
+    for r in sorted(registry.QUERIES["site_reach"](spark, sf_dir).collect(), key=lambda r: r["rank"]):
+        got[r["site"]].append(r["page_id"])
+    assert found and got == plain_reach(urls, arcs, found)
