@@ -29,8 +29,10 @@ BANDS, BAND_ROWS = 10, 3
 WINDOW_WORDS, WINDOW_SPAN = 20, 32
 #: A shorter run of equal words is no passage, if its window stands at two places only; at more, two others may share a longer one around it.
 PASSAGE_WORDS = WINDOW_WORDS + WINDOW_SPAN - 1
-#: A side of a join that is counted to have at most so many rows (a few numbers, or one document's line numbers) is broadcast.
+#: A side of a join that is counted to have at most so many rows (an id and a few numbers) is broadcast.
 SMALL_SIDE = 250_000
+#: So is a side of lists, if all of them together are counted to have at most so many entries (a line number and a hash each, 32 bytes).
+SMALL_LISTS = 1_000_000
 #: Scripts without spaces between words (Thai to Lao, Burmese, Khmer, kana, Han): each character is a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
@@ -170,8 +172,8 @@ def units(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS)
     return out.withColumnRenamed("k0", "id")
 
 
-def _is_small(side: DataFrame) -> bool:
-    return side.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+def _is_small(side: DataFrame, most: int = SMALL_SIDE) -> bool:
+    return side.limit(most + 1).count() <= most
 
 
 def _small(side: DataFrame) -> DataFrame:
@@ -198,8 +200,9 @@ def _collisions(lines: DataFrame) -> DataFrame:
 def _shingles(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(unit, shingles array) of wanted paragraphs (id, line, unit), once a unit."""
     lists = wanted.groupBy("id").agg(F.collect_set(F.struct("line", "unit")).alias("want"))  # bounded by a document's own lines
+    lists = F.broadcast(lists) if _is_small(wanted, SMALL_LISTS) else lists
     docs = df.select(col(id_col).alias("owner"), col(text_col).alias("text"))
-    chosen = docs.join(_small(lists), F.col("owner").eqNullSafe(F.col("id"))).select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
+    chosen = docs.join(lists, F.col("owner").eqNullSafe(F.col("id"))).select("text", F.col("want.line").alias("lines"), F.col("want.unit").alias("units"))
 
     def run(batches):
         for batch in batches:
