@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from acrelane.functions.geo import mercator_metres
 from acrelane.functions.text import clean_street, longest, norm_company, norm_text, text_fold
+from acrelane.operators.clusters import split_by_pointers
 from acrelane.shared import with_ordinal, written
 
 #: Weights of filled fields in a row's score.  Fixed values.
@@ -115,12 +116,27 @@ def duplicate_groups(facility: DataFrame) -> DataFrame:
     return rows.withColumns({"group_key": key, "kind": kind}).filter("group_key is not null").drop("_street", "_a", "_n", "_na", "_alone")
 
 
-def split_clusters(groups: DataFrame, max_metres: float = 250.0) -> DataFrame:
+#: Groups of at most so many members are folded in one row; larger ones go by successor pointers.
+FOLDED_MEMBERS = 1000
+
+
+def split_clusters(groups: DataFrame, max_metres: float = 250.0, folded: int = FOLDED_MEMBERS) -> DataFrame:
     """(group_key, cluster_no, facility_id): members in order of id; a new cluster begins where the distance to the cluster's first member is over
-    max_metres; an unknown distance joins.  Clusters of one are left out.
+    max_metres; an unknown distance joins.  Clusters of one are left out, and so are rows without a group.
 
-    A group is one company's facilities at one address; the fold is over that group's own ids and coordinates.
+    Groups of at most folded members are folded each in one row, larger ones take successor pointers and spread over tasks; the result is the same.
     """
+    sizes = written(groups.filter("group_key is not null").groupBy("group_key").agg(F.count("*").alias("_size")), "sizes")
+    large = sizes.filter(F.col("_size") > folded).select("group_key")
+    out = _folded_clusters(groups.join(sizes.filter(F.col("_size") <= folded).select("group_key"), "group_key", "left_semi"), max_metres)
+    if not large.isEmpty():
+        out = out.unionByName(split_by_pointers(groups.join(large, "group_key", "left_semi"), max_metres))
+    big = out.groupBy("group_key", "cluster_no").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return out.join(big, ["group_key", "cluster_no"])
+
+
+def _folded_clusters(groups: DataFrame, max_metres: float) -> DataFrame:
+    """(group_key, cluster_no, facility_id), clusters of one included, by a fold over each group's own ids and coordinates."""
     xs = F.array_sort(F.collect_list(F.struct("facility_id", "lon", "lat")))
     rows = groups.groupBy("group_key").agg(xs.alias("xs"))
 
@@ -130,9 +146,7 @@ def split_clusters(groups: DataFrame, max_metres: float = 250.0) -> DataFrame:
         return F.struct(no.alias("no"), F.when(far, x["lon"]).otherwise(s["lon"]).alias("lon"), F.when(far, x["lat"]).otherwise(s["lat"]).alias("lat"), F.concat(s["out"], F.array(F.struct(no.alias("no"), x["facility_id"].alias("id")))).alias("out"))
 
     zero = F.struct(F.lit(-1).alias("no"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.array().cast("array<struct<no:int,id:bigint>>").alias("out"))
-    out = rows.select("group_key", F.explode(F.aggregate("xs", zero, step)["out"]).alias("o")).select("group_key", F.col("o.no").alias("cluster_no"), F.col("o.id").alias("facility_id"))
-    big = out.groupBy("group_key", "cluster_no").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return out.join(big, ["group_key", "cluster_no"])
+    return rows.select("group_key", F.explode(F.aggregate("xs", zero, step)["out"]).alias("o")).select("group_key", F.col("o.no").alias("cluster_no"), F.col("o.id").alias("facility_id"))
 
 
 def propose_facilities(groups: DataFrame) -> DataFrame:
