@@ -95,7 +95,7 @@ def successors(members: DataFrame, max_metres: float) -> DataFrame:
 
 def beginnings(jumps: DataFrame, starts: DataFrame) -> DataFrame:
     """(group_key, rank) reached from starts by jumps (group_key, rank, next), whose length doubles each round."""
-    reached = starts
+    reached, before = starts, None
     while True:
         new = reached.join(jumps, ["group_key", "rank"]).select("group_key", F.col("next").alias("rank"))
         new = written(new, "reached")
@@ -104,6 +104,9 @@ def beginnings(jumps: DataFrame, starts: DataFrame) -> DataFrame:
         reached = reached.unionAll(new)
         far = jumps.select("group_key", F.col("rank").alias("next"), F.col("next").alias("_to"))
         jumps = written(jumps.join(far, ["group_key", "next"]).select("group_key", "rank", F.col("_to").alias("next")), "jumps")
+        if before is not None:
+            dropped(before)
+        before = jumps
 
 
 def split_by_pointers(groups: DataFrame, max_metres: float) -> DataFrame:
