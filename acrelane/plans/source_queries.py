@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acrelane.operators import routing
 from acrelane.plans.registry import query
-from acrelane.shared import shared_path
+from acrelane.shared import shared_path, with_ordinal
 from acrelane.sources import readers, sinks
 
 
@@ -91,24 +91,29 @@ def src_speed_table(t):
     return edges.groupBy("highway").agg(F.count("*").alias("n_edges"), F.max("mph").alias("mph"))
 
 
-def _document(t):
-    return sinks.lookup_document(t("company"), t("facility_type"))
-
-
 @query("src_lookup_json", "SELECT 'companies' AS section, CAST(company_id AS VARCHAR) AS id, name AS label FROM {company} c WHERE name <> '' UNION ALL SELECT 'facilityTypes', CAST(facility_type_id AS VARCHAR), name FROM {facility_type} t WHERE name <> '' UNION ALL SELECT 'companyWebsites', CAST(company_id AS VARCHAR), coalesce(website, '') FROM {company} c WHERE name <> ''")
 def src_lookup_json(t):
     path = shared_path(t.spark, "lookups")
-    _document(t).write.text(path)
-    return readers.read_lookups(t.spark, path)
+    sinks.write_lookups(t("company"), t("facility_type"), path)
+    return readers.read_lookups(t.spark, path, by_line=True)
+
 
+def _lines(section, ids, values, table):
+    return f"SELECT {section} AS section, {ids} AS key, CASE WHEN row_number() OVER (ORDER BY {ids}) > 1 THEN ',' ELSE '' END || '\"' || {ids} || '\":\"' || {values} || '\"' AS line FROM {{{table}}} x WHERE name <> ''"
 
-def _object(ids, values, table, where):
-    return f"(SELECT '{{{{' || string_agg('\"' || {ids} || '\":\"' || {values} || '\"', ',' ORDER BY {ids}) || '}}}}' FROM {{{table}}} x WHERE {where})"
 
+_LINES_SQL = " UNION ALL ".join([_lines(0, "company_id", "name", "company"), _lines(1, "facility_type_id", "name", "facility_type"), _lines(2, "company_id", "coalesce(website, '')", "company"),
+                                 "SELECT * FROM (VALUES (0, NULL, '{{\"companies\":{{'), (1, NULL, '}},\"facilityTypes\":{{'), (2, NULL, '}},\"companyWebsites\":{{'), (3, NULL, '}}}}')) v"])
 
-@query("sink_lookup_json", "SELECT '{{\"companies\":' || " + _object("company_id", "name", "company", "name <> ''") + " || ',\"facilityTypes\":' || " + _object("facility_type_id", "name", "facility_type", "name <> ''") + " || ',\"companyWebsites\":' || " + _object("company_id", "coalesce(website, '')", "company", "name <> ''") + " || '}}' AS document")
+
+@query("sink_lookup_json", f"SELECT row_number() OVER (ORDER BY section, key NULLS FIRST) AS line_no, line FROM ({_LINES_SQL}) x")
 def sink_lookup_json(t):
-    return _document(t)
+    """The document's lines, numbered as the written parts hold them."""
+    path = shared_path(t.spark, "lookups")
+    sinks.write_lookups(t("company"), t("facility_type"), path)
+    place = F.concat_ws("-", "_file", F.lpad(F.col("_block").cast("string"), 20, "0"), F.lpad(F.col("_id").cast("string"), 20, "0"))
+    lines = readers.in_file_order(t.spark, path).select(place.alias("place"), F.col("value").alias("line"))
+    return with_ordinal(lines, "place", "line_no").select("line_no", "line")
 
 
 @query("sink_csv", "SELECT CAST(facility_id AS VARCHAR) AS facility_id, name FROM {facility} f UNION ALL SELECT CAST(facility_id AS VARCHAR), name FROM {facility} f")

@@ -5,12 +5,76 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acrelane.functions.text import blank_null
 from acrelane.operators.roads import road_graph
+from acrelane.shared import written
+
+
+def in_file_order(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """(_file, _block, _id, value): pieces of text files between separators.  _block is the first byte of the range that a task reads and _id the order
+    in it, so files of any size are cut into ranges and the three columns give back the order of a file."""
+    rows = spark.read.option("lineSep", separator).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+
+
+def _earlier(value: Column | str) -> Column:
+    """Sum of value over the pieces before one in its range."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy("_file", "_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _earlier_blocks(value: Column | str) -> Column:
+    """Sum of value over the ranges before one in its file."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _depth_change(text: Column) -> Column:
+    """Brackets that a piece opens less those that it closes, with the brace that ends it; text starts outside of a string."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"[^"]*"', ""), r'"[^"]*$', "")
+    opened, closed = (F.char_length(F.regexp_replace(bare, rf"[^{b}]", "")) for b in (r"{\[", r"}\]"))
+    return (opened - closed - F.when(F.char_length(F.regexp_replace(text, r'[^"]', "")) % 2 == 0, 1).otherwise(0)).cast("bigint")
+
+
+def feature_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(feature): the JSON text of each member of the features of FeatureCollections.
+
+    A document is read in byte ranges, cut at closing braces.  Whether a piece starts inside of a string, and how deep, is a running sum over the
+    pieces: within each range for both cases, then over the ranges, of which there is one row each.  A feature ends where the depth is back at that
+    of the list; only its own pieces are put together.  A large file is thus many tasks, whatever the order of members or the white space in it.
+    """
+    pieces = in_file_order(spark, path, "}")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # escapes hide quotes
+    pieces = pieces.withColumns({"_plain": plain, "_quotes": F.char_length(F.regexp_replace(plain, r'[^"]', "")).cast("bigint")})
+    pieces = pieces.withColumn("_inside", _earlier("_quotes") % 2)
+    quoted, open_ = _depth_change(F.concat(F.lit('"'), "_plain")), _depth_change(F.col("_plain"))
+    pieces = pieces.withColumns({"_if0": F.when(F.col("_inside") == 0, open_).otherwise(quoted), "_if1": F.when(F.col("_inside") == 0, quoted).otherwise(open_)}).drop("_plain")
+    for case in ("0", "1"):
+        pieces = pieces.withColumn(f"_sum{case}", _earlier(f"_if{case}"))
+    pieces = written(pieces, "pieces")
+
+    blocks = pieces.groupBy("_file", "_block").agg(*[F.sum(c).alias(c) for c in ("_quotes", "_if0", "_if1")])
+    blocks = blocks.withColumn("_case", _earlier_blocks("_quotes") % 2)
+    blocks = blocks.withColumn("_base", _earlier_blocks(F.when(F.col("_case") == 0, F.col("_if0")).otherwise(F.col("_if1"))))
+    case = F.col("_case") == 0
+    at = F.col("_base") + F.when(case, F.col("_sum0")).otherwise(F.col("_sum1"))
+    rows = pieces.join(blocks.select("_file", "_block", "_case", "_base"), ["_file", "_block"]).select("_file", "_block", "_id", "value", at.alias("_at"), (at + F.when(case, F.col("_if0")).otherwise(F.col("_if1"))).alias("_then"))
+    head = r'(?s)^.*"features"\s*:\s*\['
+    behind = F.regexp_replace("value", head, "")
+    opens = F.col("value").rlike(head) & ((F.col("_at") <= 1) | ((F.col("_at") == 2) & F.col("value").rlike(r"^\s*\]")))
+    closes = ((F.col("_at") == 2) | opens) & behind.rlike(r"^\s*\]")
+    rows = rows.withColumns({"_event": F.when(closes, "close").when(opens, "open"), "value": F.when(opens, behind).otherwise(F.col("value")), "_end": (F.col("_then") == 2).cast("bigint")})
+
+    ends = rows.groupBy("_file", "_block").agg(F.sum("_end").alias("_ends"), F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col("_id"))).alias("_last"))
+    state = F.last("_last", ignorenulls=True).over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("_file", "_block", _earlier_blocks("_ends").alias("_first"), state.alias("_before"))
+    state = F.last("_event", ignorenulls=True).over(Window.partitionBy("_file", "_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_no": _earlier("_end"), "_state": state}).join(ends, ["_file", "_block"]).filter(F.coalesce("_state", "_before") == "open")
+    parts = rows.groupBy("_file", (F.col("_first") + F.col("_no")).alias("_no")).agg(F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))).alias("p"))
+    text = F.concat(F.array_join("p.value", "}"), F.lit("}"))
+    return parts.select(F.regexp_replace(text, r"^[\s,]+", "").alias("feature"))
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
@@ -18,9 +82,8 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
 
     Coordinates are taken as WGS84 where the file names no system.  No feature at all is an error.
     """
-    geometry = "struct<type:string, coordinates:string>"
-    schema = f"type string, features array<struct<type:string, properties:struct<{', '.join(':'.join(p.strip().split(' ', 1)) for p in properties.split(','))}>, geometry:{geometry}>>"
-    rows = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f")).filter("f.geometry is not null and f.geometry.type is not null")
+    fields = f"properties struct<{properties}>, geometry struct<type string, coordinates string>"
+    rows = feature_texts(spark, path).select(F.from_json("feature", fields).alias("f")).filter("f.geometry is not null and f.geometry.type is not null")
     if rows.isEmpty():
         raise ValueError(f"{path} has no feature with a geometry")
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
@@ -122,8 +185,21 @@ def read_road_graph(spark: SparkSession, path: str, box: tuple[float, float, flo
     return nodes, edges
 
 
-def read_lookups(spark: SparkSession, path: str, sections: Sequence[str] = ("companies", "facilityTypes", "companyWebsites")) -> DataFrame:
-    """(section, id, label) of a document of maps {section: {id: name}}."""
-    schema = T.StructType([T.StructField(s, T.MapType(T.StringType(), T.StringType())) for s in sections])
-    rows = spark.read.option("multiLine", True).schema(schema).json(path)
-    return reduce(DataFrame.unionAll, [rows.select(F.lit(s).alias("section"), F.explode(s).alias("id", "label")) for s in sections])
+def read_lookups(spark: SparkSession, path: str, sections: Sequence[str] = ("companies", "facilityTypes", "companyWebsites"), by_line: bool = False) -> DataFrame:
+    """(section, id, label) of a document of maps {section: {id: name}}.
+
+    by_line reads a document with one entry a line, as sinks.write_lookups makes it, in ranges of lines, so that no task takes it whole: an entry belongs
+    to the last section named before it.  Without, each file is one JSON text of any layout.
+    """
+    if not by_line:
+        schema = T.StructType([T.StructField(s, T.MapType(T.StringType(), T.StringType())) for s in sections])
+        rows = spark.read.option("multiLine", True).schema(schema).json(path)
+        return reduce(DataFrame.unionAll, [rows.select(F.lit(s).alias("section"), F.explode(s).alias("id", "label")) for s in sections])
+    lines = written(in_file_order(spark, path).withColumn("_section", F.nullif(F.regexp_extract("value", r'^[\s{},]*"([^"\\]*)"\s*:\s*\{\s*$', 1), F.lit(""))), "lines")
+    place = F.struct("_file", "_block", "_id")
+    heads = lines.filter("_section is not null").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.col("_section").alias("section")))).alias("heads"))  # a handful: one a section and document
+    entry = F.regexp_replace("value", r"^[\s,]+|[\s,]+$", "")
+    rows = lines.filter(F.col("_section").isNull() & entry.startswith('"')).crossJoin(F.broadcast(heads))
+    section = F.element_at(F.filter("heads", lambda h: h["place"] < place), -1)["section"]
+    rows = rows.select(section.alias("section"), F.explode(F.from_json(F.concat(F.lit("{"), entry, F.lit("}")), "map<string,string>")).alias("id", "label"))
+    return rows.filter(F.col("section").isin(*sections))

@@ -48,17 +48,39 @@ def write_table(df: DataFrame, target: str, mode: str = "overwrite", url: str |
         df.write.mode(mode).saveAsTable(target)
 
 
-def lookup_document(company: DataFrame, ftype: DataFrame) -> DataFrame:
-    """One row (document): JSON of companies, facilityTypes and companyWebsites by id; rows without id or name are skipped."""
-    def entries(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+def lookup_entries(company: DataFrame, ftype: DataFrame) -> DataFrame:
+    """(section, key, value) of the lookup document: names of companies (section 0) and of types (1), and websites of companies or '' (2); rows without id
+    or name are skipped, of rows with one id the least name counts."""
+    def entries(df: DataFrame, section: int, key: str, value: Column) -> DataFrame:
         kept = df.filter(F.col(key).isNotNull() & (F.coalesce("name", F.lit("")) != ""))
-        return kept.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda e: F.struct(e["k"].cast("string"), e["v"]))).alias(name))
+        least = kept.groupBy(F.col(key).cast("bigint").alias("key")).agg(F.min(F.struct("name", value.alias("value"))).alias("x"))
+        return least.select(F.lit(section).alias("section"), "key", F.col("x.value").alias("value"))
 
-    companies = entries(company, "company_id", F.col("name"), "companies")
-    types = entries(ftype, "facility_type_id", F.col("name"), "facilityTypes")
-    sites = entries(company, "company_id", F.coalesce("website", F.lit("")), "companyWebsites")
-    rows = companies.crossJoin(types).crossJoin(sites)  # one row each
-    return rows.select(F.to_json(F.struct("companies", "facilityTypes", "companyWebsites")).alias("document"))
+    site = F.coalesce("website", F.lit(""))
+    return entries(company, 0, "company_id", F.col("name")).unionAll(entries(ftype, 1, "facility_type_id", F.col("name"))).unionAll(entries(company, 2, "company_id", site))
+
+
+#: Sections of the lookup document, in their order; fixed values.
+SECTIONS = ("companies", "facilityTypes", "companyWebsites")
+
+
+def lookup_lines(company: DataFrame, ftype: DataFrame) -> DataFrame:
+    """(section, key, line): the lookup document by its lines, one entry each; in order of section and key (null first: the line that opens a section) they
+    are one JSON text.  Sections are there even if they are empty."""
+    entries = lookup_entries(company, ftype)
+    first = entries.groupBy(F.col("section").alias("_section")).agg(F.min("key").alias("_first"))
+    rows = entries.join(F.broadcast(first), F.col("section") == F.col("_section"))  # a row a section
+    text = F.to_json(F.map_from_arrays(F.array(F.col("key").cast("string")), F.array("value")))
+    line = F.concat(F.when(F.col("key") == F.col("_first"), "").otherwise(","), F.regexp_extract(text, r"(?s)^\{(.*)\}$", 1))
+    opening = ", ".join(f"({i}, cast(null as bigint), '{'},' if i else '{'}\"{name}\":{{')" for i, name in enumerate(SECTIONS))
+    frame = company.sparkSession.sql(f"select * from values {opening}, ({len(SECTIONS)}, cast(null as bigint), '}}}}') as t(section, key, line)")
+    return rows.select("section", "key", line.alias("line")).unionAll(frame)
+
+
+def write_lookups(company: DataFrame, ftype: DataFrame, path: str) -> None:
+    """The lookup document as a folder of parts, which in order of their names are one JSON text (hadoop fs -getmerge joins them): lines are dealt to
+    ranges of section and key, so no task holds a whole section."""
+    lookup_lines(company, ftype).repartitionByRange("section", "key").sortWithinPartitions("section", "key").select("line").write.mode("overwrite").text(path)
 
 
 def write_table_files(df: DataFrame, path: str, fmt: str = "csv") -> None:
