@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acrelane.functions.text import FALSE_WORDS, TRUE_WORDS, blank_null, split_site
-from acrelane.shared import with_ordinal
+from acrelane.shared import dropped, shared_path, with_ordinal, written
 
 
 def typed_projection(df: DataFrame, schema: T.StructType, sources: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -74,6 +74,46 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], seq: str, stamp:
     return old.join(fresh.select(*key), [*key], "left_anti").unionByName(fresh.select(*old.columns))
 
 
+def keyed_part(key: Sequence[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+
+
+def create_keyed_table(df: DataFrame, table: str, key: Sequence[str], parts: int = 64, buckets: int = 8) -> None:
+    """A table of the catalogue for upsert_into: _part, a hash of the key, divides it into folders, which are bucketed by the key."""
+    rows = df.withColumn("_part", keyed_part(key, parts))
+    rows.repartition(buckets, *key).write.partitionBy("_part").bucketBy(buckets, *key).sortBy(*key).mode("overwrite").option("path", shared_path(df.sparkSession, table)).saveAsTable(table)
+
+
+def upsert_merge(base: DataFrame, fresh: DataFrame, key: Sequence[str]) -> DataFrame:
+    """base without the keys of fresh, and fresh.  A base bucketed by the key is not shuffled: fresh comes to its buckets."""
+    return base.join(fresh.select(*key).hint("shuffle_hash"), [*key], "left_anti").unionByName(fresh)
+
+
+def upsert_into(new: DataFrame, table: str, key: Sequence[str], seq: str, parts: int = 64, stamp: Column | None = None) -> int:
+    """upsert() on a table of create_keyed_table (with the same parts): only folders that hold a key of new are read and written again.
+
+    Returns the number of these folders.  Each is exchanged as a whole at the end of the job, so a lost executor leaves no half-written one.
+    """
+    spark = new.sparkSession
+    columns = spark.table(table).columns
+    fresh = last_by(new, key, seq)
+    if stamp is not None:
+        fresh = fresh.withColumn("updated_at", stamp)
+    fresh = written(fresh.withColumn("_part", keyed_part(key, parts)).select(*columns), "fresh")
+    touched = [r[0] for r in fresh.select("_part").distinct().collect()]  # at most parts numbers
+    if touched:
+        merged = upsert_merge(spark.table(table).filter(F.col("_part").isin(touched)), fresh, key)
+        # the writer's own option does not reach tables of the catalogue
+        mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            merged.select(*columns).write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    dropped(fresh)
+    return len(touched)
+
+
 def upsert_acres(acres: DataFrame, counts: DataFrame, crop: DataFrame) -> DataFrame:
     """crop_acres with measured counts(region_id, code, year, pixel_count, acres) put in by region, crop and year; unknown codes are left out."""
     rows = counts.join(crop.select("crop_type_id", F.col("cdl_code").alias("code")), "code").select(*acres.columns)

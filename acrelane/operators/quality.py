@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from acrelane.functions.geo import bad_latlon
@@ -52,3 +52,28 @@ def baseline_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def import_summary(df: DataFrame, company: str, tag_col: str, tag: str) -> DataFrame:
     """One row: records, distinct companies, and records that carry the tag."""
     return df.agg(F.count("*").alias("n_records"), F.count_distinct(company).alias("n_companies"), F.count_if(F.contains(F.coalesce(tag_col, F.lit("")), F.lit(tag))).alias("n_tagged"))
+
+
+def _counts(rules: dict[str, Column]) -> list[Column]:
+    return [F.count("*").alias("n_rows"), *[F.count_if(c).alias(label) for label, c in rules.items()]]
+
+
+def check_suite(tables: dict[str, DataFrame], rules: dict[str, dict[str, Column]]) -> DataFrame:
+    """(table_name, rule, n): the rows of each table and, for each of its rules, the rows that break it (a null condition breaks none).
+
+    Rule n_rows is the number of rows.  A table is scanned once for all its rules, with the columns they name.
+    """
+    out = []
+    for name, df in tables.items():
+        labels = ["n_rows", *rules.get(name, {})]
+        one = df.agg(*_counts(rules.get(name, {})))
+        pairs = F.array(*[F.struct(F.lit(label).alias("rule"), F.col(f"`{label}`").alias("n")) for label in labels])
+        out.append(one.select(F.lit(name).alias("table_name"), F.inline(pairs)))
+    return reduce(DataFrame.unionAll, out)
+
+
+def observed(df: DataFrame, name: str, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """df, and an Observation that holds n_rows and the rows that break each rule once df has been written or read: a load is checked while it is done,
+    without a scan of its own."""
+    watch = Observation(name)
+    return df.observe(watch, *_counts(rules)), watch

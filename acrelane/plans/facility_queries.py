@@ -221,6 +221,18 @@ def range_check(t):
     return quality.range_check(rows.withColumn("lat", F.col("lat") * 2.3))
 
 
+_RULES = {
+    "facility": {"no_city": "city IS NULL", "no_point": "lon IS NULL OR lat IS NULL", "outside": "abs(lat) > 90 OR abs(lon) > 180", "bad_zip": "NOT (length(postal_code) = 5)"},
+    "parcels": {"blank_owner": "trim(owner) = ''", "no_use": "usedesc IS NULL", "acres_differ": "abs(ll_gisacre - gisacre) > 100"},
+    "company": {"no_name": "coalesce(trim(name), '') = ''"},
+}
+
+
+@query("check_suite", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{r}' AS rule, count(*) AS n FROM {{{t}}} t WHERE {c}" for t, rules in _RULES.items() for r, c in ({"n_rows": "TRUE"} | rules).items()))
+def check_suite(t):
+    return quality.check_suite({n: t(n) for n in _RULES}, {n: {r: F.expr(c) for r, c in rules.items()} for n, rules in _RULES.items()})
+
+
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {{{n}}} t" for n in _TABLES)
 
 

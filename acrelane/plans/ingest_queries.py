@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from acrelane.operators import ingest
 from acrelane.plans.facility_queries import path_of, site_of
 from acrelane.plans.registry import query
+from acrelane.shared import shared_path
 
 _STAGED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("geoid", T.StringType()), T.StructField("acres", T.DoubleType()), T.StructField("homestead", T.BooleanType()), T.StructField("any_id", T.StringType()), T.StructField("yearbuilt", T.IntegerType())])
 
@@ -43,13 +44,27 @@ def seed_bridge(t):
 _DIR = "(SELECT detail_url, company, city, phone, seq FROM {directory} d)"
 
 
-@query("upsert_replace", f"SELECT detail_url, company, city, phone, updated_at FROM (SELECT *, 'old' AS updated_at, row_number() OVER (PARTITION BY detail_url ORDER BY seq DESC) AS rn FROM {_DIR} d WHERE seq < 600) o WHERE rn = 1 AND detail_url NOT IN (SELECT detail_url FROM {_DIR} d WHERE seq >= 500) UNION ALL SELECT detail_url, company, city, phone, 'now' FROM (SELECT *, row_number() OVER (PARTITION BY detail_url ORDER BY seq DESC) AS rn FROM {_DIR} d WHERE seq >= 500) n WHERE rn = 1")
+_UPSERT = f"SELECT detail_url, company, city, phone, updated_at FROM (SELECT *, 'old' AS updated_at, row_number() OVER (PARTITION BY detail_url ORDER BY seq DESC) AS rn FROM {_DIR} d WHERE seq < 600) o WHERE rn = 1 AND detail_url NOT IN (SELECT detail_url FROM {_DIR} d WHERE seq >= 500) UNION ALL SELECT detail_url, company, city, phone, 'now' FROM (SELECT *, row_number() OVER (PARTITION BY detail_url ORDER BY seq DESC) AS rn FROM {_DIR} d WHERE seq >= 500) n WHERE rn = 1"
+
+
+@query("upsert_replace", _UPSERT)
 def upsert_replace(t):
     rows = t("directory").select("detail_url", "company", "city", "phone", "seq")
     old = ingest.last_by(rows.filter("seq < 600"), ["detail_url"], "seq").drop("seq").withColumn("updated_at", F.lit("old"))
     return ingest.upsert(old, rows.filter("seq >= 500"), ["detail_url"], "seq", F.lit("now"))
 
 
+@query("upsert_stored", _UPSERT)
+def upsert_stored(t):
+    """The same rows by a stored table, of which the folders of new keys are exchanged."""
+    rows = t("directory").select("detail_url", "company", "city", "phone", "seq")
+    old = ingest.last_by(rows.filter("seq < 600"), ["detail_url"], "seq").drop("seq").withColumn("updated_at", F.lit("old"))
+    table = "upsert_" + shared_path(t.spark, "t").rpartition("-")[2]
+    ingest.create_keyed_table(old, table, ["detail_url"], parts=16)
+    ingest.upsert_into(rows.filter("seq >= 500"), table, ["detail_url"], "seq", 16, F.lit("now"))
+    return t.spark.table(table).drop("_part")
+
+
 _LAST = "arg_max({c}, seq) FILTER (WHERE trim({c}) <> '')"
 
 
