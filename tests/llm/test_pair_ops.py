@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from decimal import Decimal
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -148,19 +149,73 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+GO = np.random.default_rng(edit_embedding.SEED).integers(0, 2, (edit_embedding.CLASSES, edit_embedding.PERIOD), dtype=np.int8).tolist()
+
+
+def plain_fingerprint(text):
+    """The walk step by step: show the character, then by the bit of its class and the step go on or stay; the digits at the sampled steps."""
+    if not text:
+        return "0" * 128
+    shown, at = [], 0
+    while at < len(text):
+        shown.append(ord(text[at]))
+        mixed = ord(text[at]) * -1640531527 & 0xFFFFFFFF
+        at += GO[mixed >> 16 & 127][(len(shown) - 1) % edit_embedding.PERIOD]
+    out, rng = "", random.Random(edit_embedding.SEED)
+    for _ in range(128):
+        # the sample looks at the last record of its process below the length of the walk
+        step, record = 0, 1
+        while True:
+            record = int(record / (1 - rng.random())) + 1
+            if record - 1 < len(shown):
+                step = record - 1
+            if record >= 1 << 40:
+                break
+        h = 0
+        for k in range(6):
+            code = shown[step + k] if step + k < len(shown) else -1
+            h = ((h ^ (code + 0x9E3779B97F4A7C15) % 2**64) * 0xBF58476D1CE4E5B9) % 2**64
+            h ^= h >> 29
+        out += "0123456789abcdef"[h >> 60]
+    return out
+
+
 def test_edit_query(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in queries.QUERIES["op2_edit_embedding"](spark, sf_dir).collect()}
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
-    prints = dict(zip([i for i, _ in rows], edit_embedding.fingerprints_of([t for _, t in rows]), strict=True))
+    prints = {i: plain_fingerprint(t) for i, t in rows}
     for k, (i, text) in enumerate(rows):
         j, after = rows[(k + 1) % len(rows)]
         edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        changed = plain_fingerprint(edited)
         r = got[i]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), prints[i])
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), prints[i], changed)
         assert abs(r["near_next"] - sum(map(str.__eq__, prints[i], prints[j])) / 128) < 1e-12
+        assert abs(r["near_edited"] - sum(map(str.__eq__, prints[i], changed)) / 128) < 1e-12
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) >= 0.99 * len(got)
 
 
+def test_edit_bands_find_what_brute_force_finds(spark):
+    """Recall of banding and verification over texts with few to many edits: every pair that is alike enough shares a component."""
+    rng = random.Random(12)
+    rows = []
+    for base in range(40):
+        text = [rng.choice("abcdefgh ijklmnop") for _ in range(rng.randrange(400, 4000))]
+        rows.append((len(rows), "".join(text)))
+        for edits in (1, 2, 4, 8):
+            copy = list(text)
+            for _ in range(edits):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 2])] = rng.choice(["", "Z", "YX"])
+            rows.append((len(rows), "".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in edit_embedding.near_duplicates(frame(spark, rows)).collect()}
+    prints = dict(zip([i for i, _ in rows], edit_embedding.fingerprints_of([t for _, t in rows]), strict=True))
+    alike = [(a, b) for a in prints for b in prints if a < b and sum(map(str.__eq__, prints[a], prints[b])) >= 0.8 * 128]
+    found = sum(got[a] == got[b] for a, b in alike)
+    assert len(alike) > 150 and found >= 0.99 * len(alike)
+    assert all(a // 5 == got[a] // 5 for a in got)
+
+
 def test_edit_fingerprint_follows_edits():
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefghij klmnop") for _ in range(4000))

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import tokenizers
+import zstandard
 from pyspark.sql import functions as F
 
 from acrelane.llm import bpe, langid, packing, pii, queries, token_counts
@@ -186,6 +187,32 @@ def test_language_edges(spark, docs, edge):
     assert langid.identify(edge, {}).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_is_the_least_size(spark, docs):
+    """Against sizes added up one by one, and ties: the language that more rows have, of equally many the first by name."""
+    model = langid.learn(docs.filter(~langid.held_out()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for i, text in texts.items():
+        if not text or not any(c.isalpha() for c in text):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        data, sizes = text.lower().encode(), {}
+        for lang, raw in model.items():
+            pack = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(pack.compress(data[k : k + langid.BLOCK])) for k in range(0, len(data), langid.BLOCK))
+        least = min(sizes.values())
+        second = sorted(sizes.values())[1]
+        assert got[i]["lang_pred"] == next(lang for lang in model if sizes[lang] == least)
+        assert got[i]["rejected"] == (1 - least / second < langid.LEAST_MARGIN)
+    same = [(k, "the same words in two languages", lang) for k, lang in enumerate(["zz", "zz", "aa", "bb"])]
+    rows = spark.createDataFrame(same, "doc_id long, text string, lang string")
+    tied = langid.learn(rows)
+    assert list(tied) == ["zz", "aa", "bb"]
+    for order, first in ((tied, "zz"), ({k: tied[k] for k in ("aa", "bb")}, "aa")):
+        tie = {k: order[first] for k in order}
+        assert {(r["lang_pred"], r["score"], r["rejected"]) for r in langid.identify(rows, tie).collect()} == {(first, 0.0, True)}
+
+
 @pytest.mark.parametrize("domain", [1, 2, 10, 97, 1000])
 def test_feistel_is_a_permutation(domain):
     assert sorted(pii.permute(i, domain, b"k", "x") for i in range(domain)) == list(range(domain))
