@@ -69,3 +69,21 @@ def test_lookups_are_one_document(spark, small_ranges, tmp_path):
     (tmp_path / "whole.json").write_text(json.dumps({"companies": {"1": "x"}, "other": {"2": "y"}}, indent=1))
     for by_line in (False, True):
         assert [tuple(r) for r in readers.read_lookups(spark, str(tmp_path / "whole.json"), by_line=by_line).collect()] == [("companies", "1", "x")]
+
+
+def test_tables_by_jdbc(spark, tmp_path):
+    """The database that comes with Spark: written, appended, read whole, with a filter that reaches it, and in parts."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(100).selectExpr("id", "concat('n', id) as name", "case when id % 2 = 0 then id / 4 end as half")
+    sinks.write_table(rows.filter("id < 10"), "app.fields", url=url, properties=driver)
+    sinks.write_table(rows.filter("id < 60"), "app.fields", url=url, properties=driver)  # replaced
+    sinks.write_table(rows.filter("id >= 60"), "app.fields", "append", url=url, properties=driver)
+    want = sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, readers.read_table(spark, url, table="app.fields", properties=driver).collect())) == want
+    some = readers.read_table(spark, url, "id >= 90 and half is not null", "app.fields", properties=driver)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual" in plan[plan.index("PushedFilters"):]
+    assert sorted(r[0] for r in some.collect()) == [90, 92, 94, 96, 98]
+    parts = readers.read_table(spark, url, None, "app.fields", ("id", 0, 100, 5), driver)
+    assert parts.rdd.getNumPartitions() == 5 and sorted(map(tuple, parts.collect())) == want
