@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from acrelane.functions.text import blank_null
 from acrelane.operators.roads import road_graph
-from acrelane.shared import written
+from acrelane.shared import dropped, written
 
 
 def in_file_order(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
@@ -31,11 +31,14 @@ def _earlier_blocks(value: Column | str) -> Column:
     return F.coalesce(F.sum(value).over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def _count_of(text: Column, characters: str) -> Column:
+    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+
+
 def _depth_change(text: Column) -> Column:
     """Brackets that a piece opens less those that it closes, with the brace that ends it; text starts outside of a string."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"[^"]*"', ""), r'"[^"]*$', "")
-    opened, closed = (F.char_length(F.regexp_replace(bare, rf"[^{b}]", "")) for b in (r"{\[", r"}\]"))
-    return (opened - closed - F.when(F.char_length(F.regexp_replace(text, r'[^"]', "")) % 2 == 0, 1).otherwise(0)).cast("bigint")
+    bare = F.regexp_replace(text, r'"[^"]*("|$)', "")
+    return (_count_of(bare, "{[") - _count_of(bare, "}]") - F.when(_count_of(text, '"') % 2 == 0, 1).otherwise(0)).cast("bigint")
 
 
 def feature_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +50,7 @@ def feature_texts(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = in_file_order(spark, path, "}")
     plain = F.regexp_replace("value", r"(?s)\\.", "")  # escapes hide quotes
-    pieces = pieces.withColumns({"_plain": plain, "_quotes": F.char_length(F.regexp_replace(plain, r'[^"]', "")).cast("bigint")})
+    pieces = pieces.withColumns({"_plain": plain, "_quotes": _count_of(plain, '"').cast("bigint")})
     pieces = pieces.withColumn("_inside", _earlier("_quotes") % 2)
     quoted, open_ = _depth_change(F.concat(F.lit('"'), "_plain")), _depth_change(F.col("_plain"))
     pieces = pieces.withColumns({"_if0": F.when(F.col("_inside") == 0, open_).otherwise(quoted), "_if1": F.when(F.col("_inside") == 0, quoted).otherwise(open_)}).drop("_plain")
@@ -62,8 +65,8 @@ def feature_texts(spark: SparkSession, path: str) -> DataFrame:
     at = F.col("_base") + F.when(case, F.col("_sum0")).otherwise(F.col("_sum1"))
     rows = pieces.join(blocks.select("_file", "_block", "_case", "_base"), ["_file", "_block"]).select("_file", "_block", "_id", "value", at.alias("_at"), (at + F.when(case, F.col("_if0")).otherwise(F.col("_if1"))).alias("_then"))
     head = r'(?s)^.*"features"\s*:\s*\['
-    behind = F.regexp_replace("value", head, "")
-    opens = F.col("value").rlike(head) & ((F.col("_at") <= 1) | ((F.col("_at") == 2) & F.col("value").rlike(r"^\s*\]")))
+    behind = F.when(F.contains("value", F.lit('"features"')), F.regexp_replace("value", head, "")).otherwise(F.col("value"))
+    opens = F.contains("value", F.lit('"features"')) & F.col("value").rlike(head) & ((F.col("_at") <= 1) | ((F.col("_at") == 2) & F.col("value").rlike(r"^\s*\]")))
     closes = ((F.col("_at") == 2) | opens) & behind.rlike(r"^\s*\]")
     rows = rows.withColumns({"_event": F.when(closes, "close").when(opens, "open"), "value": F.when(opens, behind).otherwise(F.col("value")), "_end": (F.col("_then") == 2).cast("bigint")})
 
@@ -74,7 +77,9 @@ def feature_texts(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumns({"_no": _earlier("_end"), "_state": state}).join(ends, ["_file", "_block"]).filter(F.coalesce("_state", "_before") == "open")
     parts = rows.groupBy("_file", (F.col("_first") + F.col("_no")).alias("_no")).agg(F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))).alias("p"))
     text = F.concat(F.array_join("p.value", "}"), F.lit("}"))
-    return parts.select(F.regexp_replace(text, r"^[\s,]+", "").alias("feature"))
+    features = written(parts.select(F.regexp_replace(text, r"^[\s,]+", "").alias("feature")), "features")
+    dropped(pieces)
+    return features
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
