@@ -124,3 +124,13 @@ def test_filters_check_their_arguments(spark):
         with pytest.raises(ValueError):
             call()
     assert parcels.latitude_band(df, 3, 8).count() == 1
+
+
+def test_centroid_is_worked_out_once(spark):
+    from acrelane.functions import geo
+
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))])
+    rows = spark.range(2).select(geo.polygon_centroid(F.array(ring)).alias("c"), geo.polygon_centroid(F.array(F.slice(ring, 1, 2))).alias("none"))
+    assert [(r["c"]["lon"], r["c"]["lat"], r["none"]) for r in rows.collect()] == [(1.0, 1.0, None)] * 2
+    # two aggregates over rings and points for each column, and no more
+    assert rows._jdf.queryExecution().analyzed().toString().count("aggregate(") == 4
