@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-from acrelane.shared import col, shared_folder, written  # noqa: F401
+from acrelane.shared import col, shared_folder, ship, written  # noqa: F401
 
 #: Texts are handled in slices of about this many bytes, so that a worker's memory does not follow the batch size.
 SLICE_BYTES = 8 << 20
@@ -32,23 +29,6 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's Python files to the executors, once an application: Spark's file server hands them out."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).parents[1]
-    name = Path(tempfile.mkdtemp(prefix="acrelane-")) / "acrelane.zip"
-    with zipfile.ZipFile(name, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(name))
-    _shipped.add(context.applicationId)
-
-
 def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow by a function that needs this package on the executors."""
     ship(df.sparkSession)

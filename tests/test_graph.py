@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from acrelane.operators import entities, hierarchy, pages, routing
+from acrelane.operators import cells, entities, hierarchy, pages, routing
 from acrelane.sources import readers
 
 
@@ -282,3 +282,35 @@ def test_site_reach_query_is_breadth_first(spark, sf_dir):
     for r in sorted(registry.QUERIES["site_reach"](spark, sf_dir).collect(), key=lambda r: r["rank"]):
         got[r["site"]].append(r["page_id"])
     assert found and got == plain_reach(urls, arcs, found)
+
+
+def test_cells_are_dijkstra(spark):
+    rng = random.Random(7)
+    wide, high = 9, 20
+    pairs = [(wide * y + x, wide * y + x + 1) for y in range(high) for x in range(wide - 1)] + [(wide * y + x, wide * y + x + wide) for y in range(high - 1) for x in range(wide)]
+    # ties in time and in both, edges of no weight, one-way and missing ones
+    edges = [(a, b, float(rng.randint(0, 3)), float(rng.randint(0, 3))) for p in pairs for a, b in (p, p[::-1]) if rng.random() < 0.9] + [(5, 6, 9.0, 9.0), (300, 301, 1.0, 1.0)]
+    df = spark.createDataFrame([*edges, (0, 179, None, 1.0)], "src long, dst long, travel_time double, length_m double")
+    places = spark.createDataFrame([(i, (i % wide) * 0.01, (i // wide) * 0.01) for i in range(wide * high)] + [(300, None, None)], "node long, lon double, lat double")
+    targets = [rng.randrange(wide * high) for _ in range(15)] + [301, 9999]
+    asked = [(rng.randrange(wide * high), t) for t in targets * 3] + [(300, 301), (0, 301), (9999, 9999), (9998, 9999)]
+    ways = heap_search(edges, set(targets))
+    given = spark.createDataFrame([(t,) for t in targets], "node long")
+    for wanted, want in ((None, ways), (spark.createDataFrame(asked, "node long, target long"), {(t, n): ways[t, n] for n, t in asked if (t, n) in ways})):
+        times = cells.CellTimes(df, places, given, wanted, cell_nodes=40, border_nodes=40, top_nodes=10)
+        assert times.levels > 1
+        rows = times.rows().collect()
+        assert {(r["target"], r["node"]): (int(r["t"]), int(r["m"])) for r in rows} == want and len(rows) == len(want)
+
+
+def test_drive_times_by_cells_and_without(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(1000), rng.randrange(1000), rng.uniform(0.1, 2), rng.uniform(1, 900)) for _ in range(2500)]
+    df = spark.createDataFrame(edges, "src long, dst long, travel_time double, length_m double")
+    places = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(1000)], "node long, lon double, lat double")
+    seeds = [(1, 0), (2, 17), (3, 17)]
+    got = told(routing.drive_times(df, spark.createDataFrame(seeds, "facility_id long, node long"), nodes=places))
+    ways = heap_search(edges, {n for _, n in seeds})
+    assert got == {(f, n): w for f, at in seeds for (start, n), w in ways.items() if start == at}
+    with pytest.raises(cells.NoCells):  # neighbours that lie anywhere: then the hierarchy is taken
+        cells.CellTimes(df, places, places.filter("node = 0"), cell_nodes=50, top_nodes=50)
