@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,29 +91,32 @@ def best_page(scored: DataFrame, order: str = "page_id", least: int = 15) -> Dat
     return scored.filter(F.col("score") >= least).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def site_reach(pages: DataFrame, links: DataFrame, homes: DataFrame | None = None, max_pages: int = 50, found: DataFrame | None = None, enough: int = 10) -> DataFrame:
+def site_reach(pages: DataFrame, links: DataFrame, homes: DataFrame | None = None, max_pages: int = 50, found: DataFrame | Callable[[DataFrame], DataFrame] | None = None, enough: int = 10) -> DataFrame:
     """(site, page_id, level, rank) of the first max_pages pages of each site in breadth-first order from its home page.
 
     homes: (site, page_id); by default the lowest page id of each host.  Links to pages that are not stored are dropped.  A page's place is that
     of the earliest link to it.  Every level is written, so lineage stays short; sites stop at the cap, which is the feature.  found: (page_id) of pages
-    that are looked for; links are followed only from pages up to which fewer than enough of them were met, the page itself included.
+    that are looked for, or a function that gives those among the pages (page_id) of a level, so that only pages that are reached need be judged;
+    links are followed only from pages up to which fewer than enough of them were met, the page itself included.
     """
     stored = pages.select("page_id", bare_url(F.col("url")).alias("_url"), host(F.col("url")).alias("site"))
-    ids = stored.groupBy("_url").agg(F.min("page_id").alias("dst"))
-    arcs = written(links.join(ids, F.col("dst_url") == F.col("_url")).groupBy(F.col("page_id").alias("src"), "dst").agg(F.min("pos").alias("pos")), "arcs")
+    ids = stored.groupBy("_url").agg(F.min("page_id").alias("dst"), F.min("site").alias("_site"))
+    arcs = written(links.join(ids, F.col("dst_url") == F.col("_url")).groupBy(F.col("page_id").alias("src"), "dst").agg(F.min("pos").alias("pos"), F.min("_site").alias("_site")), "arcs")
     start = homes if homes is not None else stored.groupBy("site").agg(F.min("page_id").alias("page_id"))
     good = F.lit(0).cast("int").alias("good")
 
     def marked(rows: DataFrame) -> DataFrame:
         if found is None:
             return rows.select("*", good)
-        return rows.join(found.select("page_id", F.lit(1).alias("_good")).distinct(), "page_id", "left").withColumn("good", F.coalesce("_good", F.lit(0))).drop("_good")
+        level = written(rows, "level")
+        hits = found(level.select("page_id").distinct()) if callable(found) else found
+        return level.join(hits.select("page_id", F.lit(1).alias("_good")).distinct(), "page_id", "left").withColumn("good", F.coalesce("_good", F.lit(0))).drop("_good")
 
     seen = written(marked(start.select("site", "page_id", F.lit(0).alias("level"), F.lit(1).alias("rank"))), "reach")
     so_far = F.sum("good").over(Window.partitionBy("site").orderBy("rank"))  # over max_pages rows at most
     for level in range(1, max_pages + 1):
         front = seen.withColumn("_met", so_far).filter((F.col("level") == level - 1) & (F.col("_met") < enough))
-        met = front.select("site", F.col("page_id").alias("src"), "rank").join(arcs, "src").join(pages.select(F.col("page_id").alias("dst"), host(F.col("url")).alias("_site")), "dst").filter("site = _site")
+        met = front.select("site", F.col("page_id").alias("src"), "rank").join(arcs, "src").filter("site = _site")
         new = met.groupBy("site", F.col("dst").alias("page_id")).agg(F.min(F.struct("rank", "pos", "dst")).alias("o")).join(seen.select("site", "page_id"), ["site", "page_id"], "left_anti")
         sizes = seen.groupBy("site").agg(F.max("rank").alias("_n"))
         w = Window.partitionBy("site").orderBy("o")

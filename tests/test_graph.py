@@ -314,3 +314,30 @@ def test_drive_times_by_cells_and_without(spark):
     assert got == {(f, n): w for f, at in seeds for (start, n), w in ways.items() if start == at}
     with pytest.raises(cells.NoCells):  # neighbours that lie anywhere: then the hierarchy is taken
         cells.CellTimes(df, places, places.filter("node = 0"), cell_nodes=50, top_nodes=50)
+
+
+def test_site_reach_judges_pages_that_are_reached(spark, sf_dir):
+    urls = {i: ("a.example.com", f"https://a.example.com/{i}") for i in range(30)}
+    arcs = {i: [(k, urls[j][1]) for k, j in enumerate((2 * i + 1, 2 * i + 2)) if j < 30] for i in range(30)}
+    p = spark.createDataFrame([(i, u, "") for i, (_, u) in urls.items()], "page_id long, url string, html string")
+    links = spark.createDataFrame([(i, urls[i][1], k, d) for i, ds in arcs.items() for k, d in ds], "page_id long, src_url string, pos int, dst_url string")
+    asked = []
+
+    def found(ids):
+        asked.append(sorted(r["page_id"] for r in ids.collect()))
+        return ids.filter("page_id in (1, 2, 4)")
+
+    got = [r["page_id"] for r in sorted(pages.site_reach(p, links, found=found, enough=2).collect(), key=lambda r: r["rank"])]
+    assert got == plain_reach(urls, arcs, {1, 2, 4}, enough=2)["a.example.com"] and sorted(sum(asked, [])) == sorted(got)
+
+
+def test_page_arcs_reach_the_next_ids_of_a_site(spark, tmp_path):
+    from acrelane.plans import registry
+    from acrelane.plans.graph_queries import page_arcs
+
+    ids = [0, 1, 118, 119, 120, 121, 239, 240, 241, 360, 1000]
+    spark.createDataFrame([(i, f"http://{'ab'[i % 2]}.example.com/{i}", "") for i in ids], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    arcs = page_arcs(registry.Tables(spark, str(tmp_path)))
+    got = sorted((r["page_id"], r["pos"]) for r in arcs.collect())
+    assert got == sorted((a, b) for a in ids for b in ids if a < b <= a + 120 and a % 2 == b % 2)
+    assert "run" in arcs._jdf.queryExecution().optimizedPlan().toString()  # by runs, not by site alone
