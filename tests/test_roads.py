@@ -104,3 +104,28 @@ def test_ways_of_a_whole_table(spark, sf_dir):
             want.append((path[0], path[-1], round(sum(apart(at[x], at[y]) for x, y in zip(path, path[1:], strict=False)), 3), ",".join(dict.fromkeys(tags))))
     got = [(r["src"], r["dst"], r["length_m"], r["highway"]) for r in registry.QUERIES["src_road_map"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(want) and len(got) < len(steps)
+
+
+def test_rounds_hold_what_is_left(spark, monkeypatch):
+    """Links get fewer from round to round, and edges between junctions take no part in the doubling."""
+    wide, high, sizes = 20, 20, defaultdict(list)
+    plain = roads.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        sizes[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(roads, "written", counted)
+    pairs = [(wide * y + x, wide * y + x + 1) for y in range(high) for x in range(wide - 1)] + [(wide * y + x, wide * y + x + wide) for y in range(high - 1) for x in range(wide)]
+    pairs += [(10, 1000), (1000, 1001), (1001, 1002)] + [(2000 + i, 2000 + (i + 1) % 4) for i in range(4)]
+    rows = [(a, b, 1.0, "track", None, k, 0, a > b) for k, p in enumerate(pairs) for a, b in (p, p[::-1])]
+    df = spark.createDataFrame(rows, "src long, dst long, length_m double, highway string, surface string, way long, step int, back boolean")
+    of = {r["node"]: r["component"] for r in roads.components(df).collect()}
+    assert of == {n: 2000 if n >= 2000 else 0 for p in pairs for n in p}
+    assert sum(sizes["links"]) < 2.5 * sizes["links"][0]
+    got = sorted((r["src"], r["dst"], r["length_m"]) for r in roads.simplify(df).collect())
+    corners = {0: (1, wide), wide - 1: (wide - 2, 2 * wide - 1), wide * (high - 1): (wide * (high - 2), wide * (high - 1) + 1), wide * high - 1: (wide * high - 2, wide * (high - 1) - 1)}
+    want = [(a, b, 1.0) for p in pairs for a, b in (p, p[::-1]) if not {a, b} & ({1000, 1001} | corners.keys())]
+    want += [(10, 1002, 3.0), (1002, 10, 3.0)] + [(a, b, 2.0) for p in corners.values() for a, b in (p, p[::-1])]
+    assert got == sorted(want) and max(sizes["chains"]) < len(rows) / 10
