@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,41 @@ def test_haul_matrix_statuses(spark):
     assert near <= {"ok", "route_failed"}
 
 
+def test_haul_matrix_of_places(spark, monkeypatch):
+    """Rows that share an id or have none keep their own place, and tables between the steps do not grow with the pairs."""
+    sizes = []
+    monkeypatch.setattr(routing, "written", lambda df, label, put=routing.written: sizes.append(df.count()) or put(df, label))
+    nodes = spark.createDataFrame([(i, -98.0 + i * 0.01, 38.0) for i in range(4)], "node long, lon double, lat double")
+    edges = spark.createDataFrame([(i, i + 1, 1609.344, "trunk", None) for i in range(3)], "src long, dst long, length_m double, highway string, surface string")
+    fields = [(i, "A", -98.0 - i * 1e-4, 38.0) for i in range(120)] + [(500, "B", -98.0, 38.0), (500, "B", -97.98, 38.0), (None, "C", -97.99, 38.0), (501, "D", None, None), (502, "E", -80.0, 38.0)]
+    stops = spark.createDataFrame([(i, f"S{i}", -97.97 + i * 1e-4, 38.0) for i in range(60)], "facility_id long, facility_name string, facility_lon double, facility_lat double")
+    rows = routing.haul_matrix(spark.createDataFrame(fields, "field_id long, owner_name string, lon double, lat double"), stops, nodes, edges).collect()
+    assert len(rows) == 123 * 60 + 2 and max(sizes) <= 125 + 60 * 25
+    told = lambda field: sorted((round(r["drive_miles"], 6), r["status"]) for r in rows if r["field_id"] == field and r["facility_id"] == 7)
+    assert told(500) == [(1.0, "ok"), (3.0, "ok")] and told(None) == [(2.0, "ok")] and told(3) == [(3.0, "ok")]
+    assert [(r["field_id"], r["status"], r["is_closest_facility"]) for r in rows if r["facility_id"] is None] in ([(i, "no_facility_within_prefilter_miles", False) for i in a] for a in ((501, 502), (502, 501)))
+    # equal minutes to one node: crow miles decide; rows without an id have no closest facility
+    assert {r["field_id"]: r["facility_id"] for r in rows if r["is_closest_facility"]} == {i: 0 for i in [*range(120), 500]}
+    assert sum(r["is_closest_facility"] for r in rows) == 122
+
+
+def test_elimination_is_closure():
+    rng = np.random.default_rng(3)
+    for _ in range(60):  # ties, empty roads, parts that are not reached, all or no nodes as hubs
+        n, m, k = rng.integers(1, 25), rng.integers(0, 60), rng.integers(0, 4)
+        d, first = np.full((n, n), complex(np.inf)), np.full((n, k), complex(np.inf))
+        d[rng.integers(0, n, m), rng.integers(0, n, m)] = rng.integers(0, 4, m) + 1j * rng.integers(0, 4, m)
+        first[rng.integers(0, n, k), np.arange(k)] = rng.integers(0, 3, k)
+        hubs = np.flatnonzero(rng.random(n) < rng.choice([0, 0.3, 1]))
+        every = cells.closure(d.copy())
+        want = np.concatenate([every[:, hubs], cells.through(every, first, first.copy())], axis=1)
+        got = cells.eliminated(d, hubs, first)
+        there = np.isfinite(want.real)
+        assert (there == np.isfinite(got.real)).all() and (want[there] == got[there]).all()
+    with pytest.raises(ValueError):
+        cells.eliminated(np.array([[np.inf, 1, np.inf], [np.inf, np.inf, -2], [0, np.inf, np.inf]], complex), np.array([0]), np.zeros((3, 0), complex))
+
+
 def test_site_reach_is_breadth_first(spark):
     urls = {i: f"https://a.example.com/{i}" for i in range(8)} | {20: "https://b.example.com/", 21: "https://b.example.com/x"}
     p = spark.createDataFrame([(i, u, "") for i, u in urls.items()], "page_id long, url string, html string")
