@@ -24,6 +24,8 @@ LEAST_OVERLAP, STRETCH = 0.8, 24
 BLOCK_TOKENS = 2_000_000
 #: Longer items are cut into parts of so many tokens, each of which is looked for.
 ITEM_TOKENS = 512
+#: Documents are looked through in runs of so many places, each with the tokens around that an item may reach.
+RUN_PLACES = 128
 
 
 def token_hashes(text: Column) -> Column:
@@ -97,10 +99,21 @@ def _pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, masks:
     places = items.select("key", "tokens", F.posexplode("tokens").alias("at", "_"))
     places = places.select("key", "at", F.posexplode(seeds(F.col("tokens"), F.col("at"), True)).alias("mask", "seed")).filter("seed is not null")
     # a seed of one item is looked up as (key, at); the tokens come from a second, smaller broadcast
-    tokens = docs.select(col(id_col).alias("id"), token_hashes(col(text_col)).alias("doc")).filter("size(doc) > 0")
-    rows = tokens.select("id", "doc", F.posexplode("doc").alias("p", "_"))
-    rows = rows.select("id", "doc", "p", F.explode(seeds(F.col("doc"), F.col("p"))).alias("seed")).filter("seed is not null")
-    hits = rows.join(F.broadcast(places), "seed").select("id", "key", "doc", "mask", "at", (F.col("p") - F.col("at")).alias("doc_start"))
+    around = max(n for _, ns in masks for n in ns)
+    doc = docs.select(col(id_col).alias("id"), token_hashes(col(text_col)).alias("doc"))
+
+    def run(start: Column) -> Column:
+        low = F.greatest(F.lit(0), start - around)
+        return F.struct(start.alias("start"), low.alias("low"), F.slice("doc", low + 1, start + (RUN_PLACES + around) - low).alias("doc"))
+
+    # a row for each run: Spark keeps all hits of such a row at once, so neither these nor the tokens beside them follow a document's length
+    runs = F.when(F.size("doc") > 0, F.transform(F.sequence(F.lit(0), F.size("doc") - 1, F.lit(RUN_PLACES)), run))
+    rows = doc.select("id", F.explode(runs).alias("run")).select("id", "run.start", "run.low", "run.doc")
+    own = F.slice("doc", F.col("start") - F.col("low") + 1, F.lit(RUN_PLACES))
+    rows = rows.select("id", "low", "doc", (F.col("start") - F.col("low")).alias("skip"), F.posexplode(own).alias("p", "_")).withColumn("p", F.col("p") + F.col("skip"))
+    rows = rows.select("id", "low", "doc", "p", F.explode(seeds(F.col("doc"), F.col("p"))).alias("seed")).filter("seed is not null")
+    # doc_start counts from the run's first token, until the item is compared
+    hits = rows.join(F.broadcast(places), "seed").select("id", "low", "key", "doc", "mask", "at", (F.col("p") - F.col("at")).alias("doc_start"))
     laid = hits.join(F.broadcast(items.select("key", "tokens")), "key")
 
     def same(i: Column) -> Column:
@@ -115,7 +128,11 @@ def _pass(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, masks:
             fits = fits & same(before + o)
         again = F.when(F.col("mask") == m, fits).otherwise(again)
     laid = laid.filter(~again)
-    equal = F.transform("tokens", lambda t, i: F.when(F.get(F.col("doc"), F.col("doc_start") + i) == t, 1).otherwise(0))
+    # only the tokens beside the item go on
+    first = F.greatest(F.lit(0), F.col("doc_start"))
+    beside = F.slice("doc", first + 1, F.greatest(F.lit(0), F.col("doc_start") + F.size("tokens") - first))
+    laid = laid.select("id", "key", "tokens", (F.col("doc_start") + F.col("low")).alias("doc_start"), (F.col("doc_start") - first).alias("shift"), beside.alias("beside"))
+    equal = F.transform("tokens", lambda t, i: F.when(F.get(F.col("beside"), F.col("shift") + i) == t, 1).otherwise(0))
     checked = laid.select("id", "key", "doc_start", F.size("tokens").alias("n_item"), equal.alias("equal"))
     n = F.aggregate("equal", F.lit(0), lambda a, b: a + b)
     checked = checked.withColumn("n_matched", n)

@@ -443,6 +443,19 @@ def test_decontamination_of_short_items_and_of_cuts(spark):
     assert got == {(1, 1): 9, (2, 2): 24}
 
 
+def test_decontamination_of_long_documents_with_many_hits(spark):
+    """The hits of one document may not each carry the document: here these were 40,000 copies of 40,000 tokens."""
+    rng = random.Random(28)
+    item = words(rng, 30)
+    # an item across the end of a run of places, at every token of it
+    across = [(10 + k, " ".join([*words(rng, decontamination.RUN_PLACES - k), *item, *words(rng, 300)])) for k in range(-2, 32)]
+    cut = [(50, " ".join(item[5:])), (51, " ".join([*words(rng, 2 * decontamination.RUN_PLACES), *item[:25]]))]
+    bench = spark.createDataFrame([(1, "yes"), (2, " ".join(item))], "item_id long, text string")
+    found = decontamination.contaminated(frame(spark, [(1, "yes " * 40_000), *across, *cut]), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["doc_start"]) for r in found}
+    assert got == {(1, 1): (1, 0), **{(i, 2): (30, decontamination.RUN_PLACES + 10 - i) for i, _ in across}, (50, 2): (25, -5), (51, 2): (25, 2 * decontamination.RUN_PLACES)}
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello é"), (1, 70, "ann", None), (2, 0, None, "x"), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, None, "cy", "lost")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
