@@ -456,6 +456,12 @@ def test_decontamination_of_long_documents_with_many_hits(spark):
     assert got == {(1, 1): (1, 0), **{(i, 2): (30, decontamination.RUN_PLACES + 10 - i) for i, _ in across}, (50, 2): (25, -5), (51, 2): (25, 2 * decontamination.RUN_PLACES)}
 
 
+def test_benchmark_passages_stage_on_a_document_with_many_hits(spark, tmp_path):
+    spark.createDataFrame([(1, "yes")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.benchmark_passages(spark, frame(spark, [(1, "yes " * 40_000), (2, "no " * 40_000), (3, None)]), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello é"), (1, 70, "ann", None), (2, 0, None, "x"), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, None, "cy", "lost")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
