@@ -339,6 +339,34 @@ def test_cells_are_dijkstra(spark):
         assert {(r["target"], r["node"]): (int(r["t"]), int(r["m"])) for r in rows} == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("given_pairs", [False, True])
+def test_no_ways_are_stored_between_levels(spark, monkeypatch, given_pairs):
+    """Stored are the graph and what cells reach, whose rows follow the graph; the ways of border nodes to all targets were stored at each level."""
+    stored = {}
+
+    def counted(df, label, put=cells.written):
+        out = put(df, label)
+        stored.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(cells, "written", counted)
+    monkeypatch.setattr(cells, "UNIT_TARGETS", 400)  # several blocks
+    rng = random.Random(9)
+    wide, high = 6, 30
+    pairs = [(wide * y + x, wide * y + x + 1) for y in range(high) for x in range(wide - 1)] + [(wide * y + x, wide * y + x + wide) for y in range(high - 1) for x in range(wide)]
+    edges = [(a, b, float(rng.randint(1, 9)), float(rng.randint(1, 9))) for p in pairs for a, b in (p, p[::-1])]
+    df = spark.createDataFrame(edges, "src long, dst long, travel_time double, length_m double")
+    places = spark.createDataFrame([(i, (i % wide) * 0.01, (i // wide) * 0.01) for i in range(wide * high)], "node long, lon double, lat double")
+    targets = list(range(0, wide * high, 2))
+    asked = spark.createDataFrame([(n, t) for n in range(0, wide * high, 5) for t in targets if (n + t) % 3], "node long, target long") if given_pairs else None
+    times = cells.CellTimes(df, places, spark.createDataFrame([(t,) for t in targets], "node long"), asked, cell_nodes=24, border_nodes=40, top_nodes=30)
+    assert times.levels > 1
+    rows = times.rows().collect()
+    want = {(t, n): w for (t, n), w in heap_search(edges, set(targets)).items() if not given_pairs or n % 5 == 0 and (n + t) % 3}
+    assert {(r["target"], r["node"]): (int(r["t"]), int(r["m"])) for r in rows} == want and len(rows) == len(want)
+    assert "times" not in stored and max(n for label, ns in stored.items() if label != "asked" for n in ns) < 4 * len(edges)
+
+
 def test_drive_times_by_cells_and_without(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(1000), rng.randrange(1000), rng.uniform(0.1, 2), rng.uniform(1, 900)) for _ in range(2500)]
