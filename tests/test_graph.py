@@ -118,6 +118,19 @@ def test_haul_matrix_statuses(spark):
     assert near <= {"ok", "route_failed"}
 
 
+def test_haul_matrix_stores_ids_and_ways_only(spark, monkeypatch):
+    """Of a facility beside a node, names, places and derived numbers were shuffled twice and stored; facilities that share an id stay rows of their own."""
+    stored = {}
+    monkeypatch.setattr(routing, "written", lambda df, label, put=routing.written: stored.update({label: df.columns}) or put(df, label))
+    nodes = spark.createDataFrame([(i, -98.0 + i * 0.01, 38.0) for i in range(4)], "node long, lon double, lat double")
+    edges = spark.createDataFrame([(i, i + 1, 1609.344, "trunk", None) for i in range(3)], "src long, dst long, length_m double, highway string, surface string")
+    fields = spark.createDataFrame([(1, "A", -98.0, 38.0)], "field_id long, owner_name string, lon double, lat double")
+    stops = spark.createDataFrame([(7, "S", -97.99, 38.0), (7, "T", -97.98, 38.0), (None, "U", -97.97, 38.0)], "facility_id long, facility_name string, facility_lon double, facility_lat double")
+    rows = routing.haul_matrix(fields, stops, nodes, edges).collect()
+    assert sorted((r["facility_name"], r["facility_id"], round(r["drive_miles"], 6), r["status"]) for r in rows) == [("S", 7, 1.0, "ok"), ("T", 7, 2.0, "ok"), ("U", None, 3.0, "ok")]
+    assert set(stored["ahead"]) == {"_rcx", "_rcy", "_node", "_stop", "minutes", "miles"}
+
+
 def test_haul_matrix_of_places(spark, monkeypatch):
     """Rows that share an id or have none keep their own place, and tables between the steps do not grow with the pairs."""
     sizes = []
